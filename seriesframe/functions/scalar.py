@@ -91,16 +91,26 @@ def safe_ratio(num, den, eps: float = S.EPS) -> Column:
     return F.try_divide(_c(num), _c(den) + F.lit(eps))
 
 
-def round_doubles(df, digits: int = 6):
-    """Round every double column half-even at ``digits`` and fold -0.0 into 0.0.
-
-    Used on the outputs of registered queries so that results compare across
-    engines whose summation order differs in the last bits.
+def quantize(col) -> Column:
+    """Snap a double to a binary grid, half-even; -0.0 becomes 0.0.
+
+    The grid step is ``2^max(-20, floor(log2|x|) - 30)``: absolute ~1e-6 for
+    small values, 31 significant bits for large ones. A binary grid has no
+    ties for values computed from decimal data, so two engines whose
+    summation order differs in the last bits land on the same grid point
+    (a decimal grid would split exact halves such as x.xxxxxx5).
     """
+    c = _c(col)
+    step = F.pow(F.lit(2.0), F.greatest(F.lit(-20.0), F.floor(F.log2(F.abs(c))) - F.lit(30.0)))
+    return F.rint(c / step) * step + F.lit(0.0)
+
+
+def round_doubles(df):
+    """Quantize every double column (outputs of registered queries)."""
     out = []
     for f in df.schema.fields:
         if f.dataType.typeName() in ("double", "float"):
-            out.append((np_round(F.col(f.name), digits) + F.lit(0.0)).alias(f.name))
+            out.append(quantize(F.col(f.name)).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)

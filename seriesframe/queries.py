@@ -1,8 +1,8 @@
 """Registered queries and their SQL twins (the DuckDB oracle).
 
-Every query reads the driver tables of ``sf_dir`` in full. Outputs pass through
-``round_doubles`` (half-even at 6 decimals) on both sides so that engines with a
-different summation order compare equal.
+Every query reads the driver tables of ``sf_dir`` in full. Double outputs are
+quantized to multiples of 2^-20 on both sides (``scalar.quantize`` / ``oracle.rnd``)
+so that engines with a different summation order compare equal.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from seriesframe import schema as S
 from seriesframe.functions import aqi as A
 from seriesframe.functions.scalar import limit_expr, round_doubles
+from seriesframe import oracle as O
 from seriesframe.sources import testdata as TD
 
 QUERIES: dict = {}
@@ -33,8 +34,7 @@ def register(name, sql=None):
 
 def sql_round(select_sql: str, cols_double: list[str], other: list[str]) -> str:
     """Wrap SQL so that the listed double columns are rounded like ``round_doubles``."""
-    parts = [f"round_even(CAST({c} AS DOUBLE) * 1000000.0, 0) / 1000000.0 + 0.0 AS {c}"
-             for c in cols_double]
+    parts = [f"{O.rnd(c)} AS {c}" for c in cols_double]
     parts += other
     return f"SELECT {', '.join(parts)} FROM ({select_sql}) q_"
 
@@ -106,3 +106,140 @@ _AQI_OTHER = ["aqi", "main_pollutant", "category"]
 register("aqi_daily", sql_round(
     aqi_sql_select(masked_pollutants_sql(TD.POLLUTANTS_SQL, ["Date"]), ["Date"] + S.POLLUTANTS),
     _AQI_DOUBLES, ["Date"] + _AQI_OTHER))(aqi_daily_df)
+
+
+# ---------------------------------------------------------------------------
+# window features
+# ---------------------------------------------------------------------------
+from seriesframe import oracle as O  # noqa: E402
+from seriesframe.operators import windows as WN  # noqa: E402
+
+_BASE = ["Date"] + S.TARGETS
+_BASE_ST = ["station", "Date"] + S.TARGETS
+
+
+def _feature_query(name, spark_fn, sql_exprs, station=False, extra_other=()):
+    src_sql = TD.SERIES_STATION_SQL if station else TD.SERIES_SQL
+    keys = ["station"] if station else []
+    base = _BASE_ST if station else _BASE
+    exprs = sql_exprs(keys, ["Date"])
+    others = [c for c in base if c not in S.TARGETS] + list(extra_other)
+    doubles = S.TARGETS + [n for n in exprs if n not in extra_other]
+    register(name, O.wrap_round(O.select_with(src_sql, base, exprs), doubles, others))(spark_fn)
+
+
+def _series(spark, sf_dir, station=False):
+    return TD.series(spark, sf_dir, by_station=station)
+
+
+_feature_query(
+    "lag_features",
+    lambda spark, d: WN.create_lag_features(_series(spark, d)),
+    lambda k, o: O.lag_sql(S.TARGETS, S.LAG_STEPS, k, o))
+_feature_query(
+    "lag_features_station",
+    lambda spark, d: WN.create_lag_features(_series(spark, d, True), keys=["station"]),
+    lambda k, o: O.lag_sql(S.TARGETS, S.LAG_STEPS, k, o), station=True)
+_feature_query(
+    "rolling_features",
+    lambda spark, d: WN.create_rolling_features(_series(spark, d)),
+    lambda k, o: O.rolling_sql(S.TARGETS, S.ROLLING_WINDOWS, S.ROLLING_STATS, k, o))
+_feature_query(
+    "rolling_median",
+    lambda spark, d: WN.create_rolling_features(_series(spark, d), stats=["median"]),
+    lambda k, o: O.rolling_sql(S.TARGETS, S.ROLLING_WINDOWS, ["median"], k, o))
+_feature_query(
+    "trend_features",
+    lambda spark, d: WN.create_trend_features(_series(spark, d)),
+    lambda k, o: O.trend_sql(S.POLLUTANTS, S.TREND_WINDOWS, k, o))
+_feature_query(
+    "calendar_ratio_interaction",
+    lambda spark, d: WN.create_interaction_features(WN.create_ratio_features(
+        WN.create_seasonal_features(_series(spark, d)))),
+    lambda k, o: {**O.seasonal_sql(), **O.ratio_sql(S.TARGETS), **O.interaction_sql(S.TARGETS)},
+    extra_other=("dayofweek", "month"))
+_feature_query(
+    "all_features",
+    lambda spark, d: WN.create_all_features(_series(spark, d)),
+    lambda k, o: O.all_features_sql(S.TARGETS, k, o),
+    extra_other=("dayofweek", "month"))
+_feature_query(
+    "all_features_station",
+    lambda spark, d: WN.create_all_features(_series(spark, d, True), keys=["station"]),
+    lambda k, o: O.all_features_sql(S.TARGETS, k, o), station=True,
+    extra_other=("dayofweek", "month"))
+
+
+def _simple_lags_sql():
+    exprs = O.lag_sql(S.TARGETS, list(range(1, 13)), [], ["Date"], name="{c}_t-{k}", col_major=False)
+    inner = O.select_with(
+        f"SELECT *, row_number() OVER (ORDER BY Date) - 1 AS idx_, count(*) OVER () AS n_ "
+        f"FROM ({TD.SERIES_SQL}) z_", _BASE + ["idx_", "n_"], exprs)
+    trimmed = f"SELECT * EXCLUDE (idx_, n_) FROM ({inner}) t_ WHERE idx_ >= 12 AND idx_ < n_ - 1"
+    return O.wrap_round(trimmed, S.TARGETS + list(exprs), ["Date"])
+
+
+register("simple_lags", _simple_lags_sql())(
+    lambda spark, d: WN.create_simple_lags(_series(spark, d)))
+
+
+def _events(spark, d):
+    return TD.table(spark, d, "events").select("event_id", "ts", "user_id", "value")
+
+
+register("row_index_events", """
+SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS row_idx
+FROM events""")(lambda spark, d: WN.row_index(
+    _events(spark, d), keys=["user_id"], order=["ts", "event_id"], block="day").select(
+        "event_id", "user_id", "row_idx"))
+
+
+def _events_rolling(spark, d):
+    ev = _events(spark, d)
+    out = WN.create_rolling_features(ev, ["value"], windows=[30], stats=["mean", "min"],
+                                     order=["ts", "event_id"], bucket_rows=500, block="day")
+    out = WN.create_lag_features(out, ["value"], lag_steps=[30], order=["ts", "event_id"],
+                                 bucket_rows=500, block="day")
+    return out.select("event_id", "value", "value_rolling_mean_30", "value_rolling_min_30",
+                      "value_lag_30")
+
+
+register("events_blocked_window", O.wrap_round("""
+SELECT event_id, value,
+  avg(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS value_rolling_mean_30,
+  min(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS value_rolling_min_30,
+  lag(value, 30) OVER (ORDER BY ts, event_id) AS value_lag_30
+FROM events""", ["value", "value_rolling_mean_30", "value_rolling_min_30", "value_lag_30"],
+    ["event_id"]))(_events_rolling)
+
+
+# ---------------------------------------------------------------------------
+# fills and interpolation (E6-E8) on a series with outages; so2 zeros = missing
+# ---------------------------------------------------------------------------
+from seriesframe.functions.scalar import zero_to_missing  # noqa: E402
+
+_FILL_COLS = ["co", "no2", "so2"]
+
+
+def _outages(spark, d):
+    return TD.pollutants_with_outages(spark, d).withColumn("so2", zero_to_missing("so2"))
+
+
+_OUTAGES_Z_SQL = (f"SELECT Date, co, no2, o3, pm10, pm25, CASE WHEN so2 = 0 THEN NULL ELSE so2 END AS so2 "
+                  f"FROM ({TD.OUTAGES_SQL}) g_")
+
+
+def _fill_query(name, method, final=False, limit=S.FORWARD_FILL_LIMIT):
+    def fn(spark, d):
+        return WN.fill(_outages(spark, d), _FILL_COLS, method, limit=limit, final_fill=final)
+    sql = O.fill_sql(_OUTAGES_Z_SQL, _FILL_COLS, method, [], ["Date"],
+                     ["Date", "o3", "pm10", "pm25"], limit=limit, final=final)
+    register(name, O.wrap_round(sql, S.POLLUTANTS, ["Date"]))(fn)
+
+
+_fill_query("fill_interpolate_time", "interpolate")
+_fill_query("fill_interpolate_linear", "linear")
+_fill_query("fill_forward_limit", "forward_fill")
+_fill_query("fill_backward_limit", "backward_fill")
+_fill_query("fill_interpolate_final", "interpolate", final=True)
+_fill_query("fill_backward_then_final", "backward_fill", final=True)

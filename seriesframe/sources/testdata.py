@@ -205,3 +205,29 @@ SELECT p.station, p.Date, p.co, p.no2, p.o3, p.pm10, p.pm25, p.so2,
 FROM ({POLLUTANTS_STATION_SQL}) p JOIN ({WEATHER_STATION_SQL}) w
   ON p.station = w.station AND p.Date = w.Date
 """
+
+
+# ---------------------------------------------------------------------------
+# series with sensor outages (runs of missing days) for the fill operators
+# ---------------------------------------------------------------------------
+def pollutants_with_outages(spark, sf_dir) -> DataFrame:
+    """Daily pollutants where ``co`` misses 10-day and ``no2`` 3-day runs.
+
+    The outage pattern is a function of the day of the year; every row of the
+    input stays in the output.
+    """
+    p = pollutants(spark, sf_dir)
+    doy = F.dayofyear("Date")
+    return p.withColumns({
+        "co": F.when(doy % 40 >= 10, F.col("co")),
+        "no2": F.when(doy % 23 >= 3, F.col("no2")),
+    })
+
+
+OUTAGES_SQL = f"""
+SELECT Date,
+       CASE WHEN dayofyear(Date) % 40 >= 10 THEN co END AS co,
+       CASE WHEN dayofyear(Date) % 23 >= 3 THEN no2 END AS no2,
+       o3, pm10, pm25, so2
+FROM ({POLLUTANTS_SQL}) o_
+"""
