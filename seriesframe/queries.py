@@ -243,3 +243,201 @@ _fill_query("fill_forward_limit", "forward_fill")
 _fill_query("fill_backward_limit", "backward_fill")
 _fill_query("fill_interpolate_final", "interpolate", final=True)
 _fill_query("fill_backward_then_final", "backward_fill", final=True)
+
+
+# ---------------------------------------------------------------------------
+# statistics and cleaning
+# ---------------------------------------------------------------------------
+from seriesframe.operators import clean as CL  # noqa: E402
+from seriesframe.operators import stats as ST  # noqa: E402
+from seriesframe.plans import pipelines as PL  # noqa: E402
+from seriesframe.sources import readers as RD  # noqa: E402
+
+_POL = ["Date"] + S.POLLUTANTS
+
+
+def _q_names():
+    return [f"{c}_q{p}" for c in S.POLLUTANTS for p in (25, 75)]
+
+
+register("quantiles", O.wrap_round(
+    "SELECT " + ", ".join(f"quantile_cont({c}, {p / 100}) AS {c}_q{p}" for c in S.POLLUTANTS
+                          for p in (25, 75)) + f" FROM ({TD.OUTAGES_SQL}) a_",
+    _q_names(), []))(lambda spark, d: ST.quantiles(TD.pollutants_with_outages(spark, d), S.POLLUTANTS))
+
+register("quantiles_station", O.wrap_round(
+    "SELECT station, " + ", ".join(f"quantile_cont({c}, {p / 100}) AS {c}_q{p}" for c in S.POLLUTANTS
+                                   for p in (25, 75)) + f" FROM ({TD.POLLUTANTS_STATION_SQL}) a_ GROUP BY station",
+    _q_names(), ["station"]))(
+    lambda spark, d: ST.quantiles(TD.pollutants(spark, d, True), S.POLLUTANTS, keys=["station"]))
+
+register("missing_rates", O.wrap_round(
+    "SELECT " + ", ".join(f"avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) * 100 AS {c}_missing"
+                          for c in S.POLLUTANTS) + f" FROM ({TD.OUTAGES_SQL}) a_",
+    [f"{c}_missing" for c in S.POLLUTANTS], []))(
+    lambda spark, d: ST.missing_rates(TD.pollutants_with_outages(spark, d), S.POLLUTANTS))
+
+register("mean_std", O.wrap_round(
+    "SELECT " + ", ".join(f"avg({c}) AS {c}_mean, stddev_samp({c}) AS {c}_std" for c in S.POLLUTANTS)
+    + f" FROM ({TD.OUTAGES_SQL}) a_",
+    [f"{c}_{s}" for c in S.POLLUTANTS for s in ("mean", "std")], []))(
+    lambda spark, d: ST.mean_std(TD.pollutants_with_outages(spark, d), S.POLLUTANTS))
+
+register("mask_outliers", O.wrap_round(
+    O.mask_sql(TD.POLLUTANTS_SQL, _POL, S.POLLUTANTS, [], S.POLLUTANT_LIMITS, 3.0, 4.0),
+    S.POLLUTANTS, ["Date"]))(lambda spark, d: CL.mask_outliers(TD.pollutants(spark, d)))
+
+register("mask_outliers_station", O.wrap_round(
+    O.mask_sql(TD.POLLUTANTS_STATION_SQL, ["station"] + _POL, S.POLLUTANTS, ["station"],
+               S.POLLUTANT_LIMITS, 3.0, 4.0),
+    S.POLLUTANTS, ["station", "Date"]))(
+    lambda spark, d: CL.mask_outliers(TD.pollutants(spark, d, True), keys=["station"]))
+
+
+def _iqr_detect(spark, d):
+    out = CL.detect_outliers_iqr(TD.pollutants(spark, d), "pm25", factor=1.5)
+    return CL.detect_outliers_zscore(out.withColumnRenamed("pm25_outlier", "pm25_iqr"), "pm25",
+                                     threshold=3.0).withColumnRenamed("pm25_outlier", "pm25_z") \
+        .select("Date", "pm25", "pm25_iqr", "pm25_z")
+
+
+register("detect_outliers", O.wrap_round(f"""
+SELECT Date, pm25, {O.iqr_flag_sql('pm25', 1.5)} AS pm25_iqr, {O.z_flag_sql('pm25', 3.0)} AS pm25_z
+FROM ({TD.POLLUTANTS_SQL}) a_,
+     (SELECT quantile_cont(pm25, 0.25) AS q1_pm25, quantile_cont(pm25, 0.75) AS q3_pm25,
+             avg(pm25) AS mu_pm25, stddev_samp(pm25) AS sd_pm25 FROM ({TD.POLLUTANTS_SQL}) b_) s_
+""", ["pm25"], ["Date", "pm25_iqr", "pm25_z"]))(_iqr_detect)
+
+
+def _outlier_report_sql():
+    stages = []
+    src = TD.POLLUTANTS_SQL
+    s1 = O.mask_sql(src, _POL, S.POLLUTANTS, [], S.POLLUTANT_LIMITS, None, None)
+    s2 = O.mask_sql(src, _POL, S.POLLUTANTS, [], S.POLLUTANT_LIMITS, 3.0, None)
+    s3 = O.mask_sql(src, _POL, S.POLLUTANTS, [], S.POLLUTANT_LIMITS, 3.0, 4.0)
+    for c in S.POLLUTANTS:
+        for m, a, b in (("domain", src, s1), ("iqr", s1, s2), ("zscore", s2, s3)):
+            stages.append(f"SELECT '{c}' AS \"column\", '{m}' AS method, "
+                          f"CAST((SELECT count({c}) FROM ({a}) x_) - (SELECT count({c}) FROM ({b}) y_) AS BIGINT) AS removed")
+    return " UNION ALL ".join(stages)
+
+
+register("outlier_report", _outlier_report_sql())(lambda spark, d: CL.outlier_report(TD.pollutants(spark, d)))
+
+
+def _quality_sql(src, cols, keys=()):
+    parts = []
+    for c in cols:
+        parts.append(f"""
+SELECT '{c}' AS "column", count(*) AS total_rows,
+  avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) * 100 AS missing_rate, 'double' AS dtype,
+  min({c}) AS min, max({c}) AS max, avg({c}) AS mean, stddev_samp({c}) AS std,
+  CASE WHEN count({c}) > 20 THEN CAST(sum(CASE WHEN {O.iqr_flag_sql(c, 1.5)} THEN 1 ELSE 0 END) AS BIGINT) END AS outliers
+FROM ({src}) a_, (SELECT quantile_cont({c}, 0.25) AS q1_{c}, quantile_cont({c}, 0.75) AS q3_{c} FROM ({src}) b_) s_""")
+    return O.wrap_round(" UNION ALL ".join(parts), ["missing_rate", "min", "max", "mean", "std"],
+                        ["column", "total_rows", "dtype", "outliers"])
+
+
+register("quality_report", _quality_sql(TD.OUTAGES_SQL, S.POLLUTANTS))(
+    lambda spark, d: CL.quality_report(TD.pollutants_with_outages(spark, d), S.POLLUTANTS))
+
+
+def _impute_query(name, method, above, cols=("co", "no2", "so2")):
+    cols = list(cols)
+
+    def fn(spark, d):
+        return CL.impute(TD.pollutants_with_outages(spark, d), cols, method=method,
+                         seasonal_above=above)
+    register(name, O.wrap_round(
+        O.impute_sql(TD.OUTAGES_SQL, _POL, cols, [], ["Date"], method=method, seasonal_above=above),
+        S.POLLUTANTS, ["Date"]))(fn)
+
+
+_impute_query("impute_auto", "auto", S.POLLUTANT_SEASONAL_ABOVE)
+_impute_query("impute_auto_weather_threshold", "auto", S.WEATHER_SEASONAL_ABOVE)
+_impute_query("impute_seasonal", "seasonal", S.POLLUTANT_SEASONAL_ABOVE)
+_impute_query("impute_forward_fill", "forward_fill", S.POLLUTANT_SEASONAL_ABOVE)
+_impute_query("impute_backward_fill", "backward_fill", S.POLLUTANT_SEASONAL_ABOVE)
+
+
+def _seasonal_means_df(spark, d):
+    by_day, by_month = ST.seasonal_means(TD.pollutants_with_outages(spark, d), ["co", "no2"])
+    return by_day.join(by_month, "_m").select(
+        F.col("_m").alias("month"), F.col("_doy").alias("dayofyear"),
+        F.col("_sd_co").alias("co_day_mean"), F.col("_sd_no2").alias("no2_day_mean"),
+        F.col("_sm_co").alias("co_month_mean"), F.col("_sm_no2").alias("no2_month_mean"))
+
+
+register("seasonal_means", O.wrap_round(f"""
+SELECT d.month, d.dayofyear, d.co_day_mean, d.no2_day_mean, m.co_month_mean, m.no2_month_mean
+FROM (SELECT month(Date) AS month, dayofyear(Date) AS dayofyear, avg(co) AS co_day_mean,
+             avg(no2) AS no2_day_mean FROM ({TD.OUTAGES_SQL}) a_ GROUP BY 1, 2) d
+JOIN (SELECT month(Date) AS month, avg(co) AS co_month_mean, avg(no2) AS no2_month_mean
+      FROM ({TD.OUTAGES_SQL}) b_ GROUP BY 1) m ON d.month = m.month
+""", ["co_day_mean", "no2_day_mean", "co_month_mean", "no2_month_mean"], ["month", "dayofyear"]))(
+    _seasonal_means_df)
+
+
+def _dedupe(spark, d):
+    ev = TD.table(spark, d, "events").select(
+        "user_id", F.to_date("ts").alias("day"), "ts", "event_id", "event_type", "value")
+    return ST.dedupe_keep_last(ev, ["user_id", "day"], ["ts", "event_id"])
+
+
+register("dedupe_keep_last", O.wrap_round("""
+SELECT user_id, day, ts, event_id, event_type, value FROM (
+  SELECT user_id, CAST(ts AS DATE) AS day, ts, event_id, event_type, value,
+         row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS rn_
+  FROM events) e_ WHERE rn_ = 1""", ["value"], ["user_id", "day", "ts", "event_id", "event_type"]))(_dedupe)
+
+
+# ---------------------------------------------------------------------------
+# ingest and pipelines
+# ---------------------------------------------------------------------------
+register("weather_rows_parsed", O.wrap_round(
+    O.coerce_weather_rows_sql(TD.WEATHER_ROWS_SQL), S.WEATHER, ["Date"]))(
+    lambda spark, d: RD.coerce_weather_rows(TD.weather_rows(spark, d)))
+
+register("pollutants_raw_parsed", O.wrap_round(
+    O.coerce_pollutants_sql(TD.POLLUTANTS_RAW_SQL), S.POLLUTANTS, ["Date"]))(
+    lambda spark, d: RD.coerce_pollutants(TD.pollutants_raw(spark, d)))
+
+_W = ["Date"] + S.WEATHER
+
+
+def _weather_masked_sql():
+    return O.mask_sql(O.coerce_weather_rows_sql(TD.WEATHER_ROWS_SQL), _W, S.WEATHER, [],
+                      S.WEATHER_LIMITS, 3.0, None)
+
+
+register("weather_rows_masked", O.wrap_round(_weather_masked_sql(), S.WEATHER, ["Date"]))(
+    lambda spark, d: CL.mask_weather_outliers(RD.coerce_weather_rows(TD.weather_rows(spark, d))))
+
+
+def _daily_mean_sql():
+    aggs = [f"{O.np_round_sql(f'avg({c})')} AS {c}" for c in S.WEATHER]
+    return O.group_sql(_weather_masked_sql(), ["Date"], aggs)
+
+
+register("weather_daily_mean", O.wrap_round(_daily_mean_sql(), S.WEATHER, ["Date"]))(
+    lambda spark, d: ST.daily_mean(CL.mask_weather_outliers(
+        RD.coerce_weather_rows(TD.weather_rows(spark, d))), S.WEATHER))
+
+register("process_weather", O.wrap_round(
+    O.impute_sql(_daily_mean_sql(), _W, S.WEATHER, [], ["Date"], method="auto",
+                 seasonal_above=S.WEATHER_SEASONAL_ABOVE), S.WEATHER, ["Date"]))(
+    lambda spark, d: PL.process_weather(TD.weather_rows(spark, d)))
+
+
+def _process_pollutants_sql():
+    parsed = O.coerce_pollutants_sql(TD.POLLUTANTS_RAW_SQL)
+    kept = f"SELECT * FROM ({parsed}) k_ WHERE Date IS NOT NULL AND Date < DATE '2100-01-01'"
+    masked = O.mask_sql(kept, _POL, S.POLLUTANTS, [], S.POLLUTANT_LIMITS, 3.0, 4.0)
+    filled = O.impute_sql(masked, _POL, S.POLLUTANTS, [], ["Date"], method="auto",
+                          seasonal_above=S.POLLUTANT_SEASONAL_ABOVE)
+    rounded = O.replace_cols(filled, _POL, {c: O.np_round_sql(c) for c in S.POLLUTANTS})
+    return O.wrap_round(rounded, S.POLLUTANTS, ["Date"])
+
+
+register("process_pollutants", _process_pollutants_sql())(
+    lambda spark, d: PL.process_pollutants(TD.pollutants_raw(spark, d), None, "2100-01-01"))

@@ -231,3 +231,37 @@ SELECT Date,
        o3, pm10, pm25, so2
 FROM ({POLLUTANTS_SQL}) o_
 """
+
+
+# ---------------------------------------------------------------------------
+# raw pollutant text table (landing layout of a downloaded CSV)
+# ---------------------------------------------------------------------------
+RAW_HEADERS = {"date": "date", "pm25": " pm25", "pm10": " pm10", "o3": " o3",
+               "no2": " no2", "so2": " so2", "co": " co"}
+
+
+def pollutants_raw(spark, sf_dir) -> DataFrame:
+    """Daily pollutants as text with padded headers; ``pm10`` is blank on
+    every 50th day of the year and ``co`` has an unparsable cell on every
+    61st day, as in landed files."""
+    p = pollutants(spark, sf_dir)
+    doy = F.dayofyear("Date")
+    pm10 = F.when(doy % 50 == 0, F.lit(" ")).otherwise(F.col("pm10").cast("string"))
+    co = F.when(doy % 61 == 0, F.lit("-")).otherwise(F.col("co").cast("string"))
+    return p.select(F.date_format("Date", "yyyy/M/d").alias(RAW_HEADERS["date"]),
+                    F.col("pm25").cast("string").alias(RAW_HEADERS["pm25"]),
+                    pm10.alias(RAW_HEADERS["pm10"]),
+                    F.col("o3").cast("string").alias(RAW_HEADERS["o3"]),
+                    F.col("no2").cast("string").alias(RAW_HEADERS["no2"]),
+                    F.col("so2").cast("string").alias(RAW_HEADERS["so2"]),
+                    co.alias(RAW_HEADERS["co"]))
+
+
+POLLUTANTS_RAW_SQL = f"""
+SELECT strftime(Date, '%Y/%-m/%-d') AS "date",
+       CAST(pm25 AS VARCHAR) AS " pm25",
+       CASE WHEN dayofyear(Date) % 50 = 0 THEN ' ' ELSE CAST(pm10 AS VARCHAR) END AS " pm10",
+       CAST(o3 AS VARCHAR) AS " o3", CAST(no2 AS VARCHAR) AS " no2", CAST(so2 AS VARCHAR) AS " so2",
+       CASE WHEN dayofyear(Date) % 61 = 0 THEN '-' ELSE CAST(co AS VARCHAR) END AS " co"
+FROM ({POLLUTANTS_SQL}) r_
+"""
