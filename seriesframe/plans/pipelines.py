@@ -15,17 +15,23 @@ from seriesframe.functions.scalar import np_round, to_numeric
 from seriesframe.operators import clean as CL
 from seriesframe.operators import relational as R
 from seriesframe.operators import stats as ST
+from seriesframe.session import materialize
 from seriesframe.sources import readers as RD
 
 
 def process_pollutants(new_raw: DataFrame, history: DataFrame | None = None, now="2100-01-01",
-                       keys=(), seasonal_above=S.POLLUTANT_SEASONAL_ABOVE, digits=2) -> DataFrame:
+                       keys=(), seasonal_above=S.POLLUTANT_SEASONAL_ABOVE, digits=2,
+                       persist: str = "checkpoint") -> DataFrame:
     """Clean and impute the pollutant history with a new batch.
 
     B1-B5 on the batch, B9 (newer than the stored days), B10 (not in the
     future), G1 (append), D9 (one row per day, new beats old), B7, I3
     (domain, IQR 3, z 4), I7 + I5 (seasonal above 30 % missing, else time
     interpolation, final fill, clip at 0), H7 (2 decimals).
+
+    The deduplicated table and the masked table are each read by several
+    statistics passes; ``persist`` materializes them once (see
+    ``session.materialize``) instead of recomputing the upstream per pass.
     """
     keys = list(keys)
     new = RD.coerce_pollutants(new_raw, keys)
@@ -40,13 +46,14 @@ def process_pollutants(new_raw: DataFrame, history: DataFrame | None = None, now
         both = R.not_future(new, now).withColumn("_src", F.lit(1))
     both = both.where(F.col("Date").isNotNull())
     both = ST.dedupe_keep_last(both, keys + ["Date"], ["_src"] + S.POLLUTANTS).drop("_src")
-    masked = CL.mask_outliers(both, S.POLLUTANTS, keys)
+    both = materialize(both, persist)
+    masked = materialize(CL.mask_outliers(both, S.POLLUTANTS, keys), persist)
     filled = CL.impute(masked, S.POLLUTANTS, keys, method="auto", seasonal_above=seasonal_above)
     return filled.withColumns({c: np_round(c, digits) for c in S.POLLUTANTS})
 
 
 def process_weather(rows: DataFrame, keys=(), seasonal_above=S.WEATHER_SEASONAL_ABOVE,
-                    context: DataFrame | None = None) -> DataFrame:
+                    context: DataFrame | None = None, persist: str = "checkpoint") -> DataFrame:
     """Clean sub-daily weather rows into an imputed daily table.
 
     B6, B4, B7, B8, B3, B5, I4 (domain or clamp, IQR 3 on the rows), D7
@@ -55,9 +62,9 @@ def process_weather(rows: DataFrame, keys=(), seasonal_above=S.WEATHER_SEASONAL_
     the imputation statistics but is not emitted (quirk Q18).
     """
     keys = list(keys)
-    parsed = RD.coerce_weather_rows(rows, keys)
+    parsed = materialize(RD.coerce_weather_rows(rows, keys), persist)
     masked = CL.mask_weather_outliers(parsed, S.WEATHER, keys)
-    daily = ST.daily_mean(masked, S.WEATHER, keys)
+    daily = materialize(ST.daily_mean(masked, S.WEATHER, keys), persist)
     if context is not None:
         ctx = context.select(*keys, "Date", *S.WEATHER).withColumn("_ctx", F.lit(True))
         daily = R.newer_than(daily, ctx, keys).withColumn("_ctx", F.lit(False)).unionByName(ctx)
@@ -68,7 +75,8 @@ def process_weather(rows: DataFrame, keys=(), seasonal_above=S.WEATHER_SEASONAL_
 
 
 def update_dataset(final: DataFrame | None, weather_rows: DataFrame, pollutants_raw: DataFrame,
-                   pollutant_history: DataFrame | None = None, now="2100-01-01", keys=()):
+                   pollutant_history: DataFrame | None = None, now="2100-01-01", keys=(),
+                   persist: str = "checkpoint"):
     """Incremental update of the final table (J3): weather (J2) and pollutants
     (J1) processed, pollutant days after the newest final day and before
     ``now`` kept, inner-joined with weather on the day, appended.
@@ -77,8 +85,8 @@ def update_dataset(final: DataFrame | None, weather_rows: DataFrame, pollutants_
     revised (Q20). An empty weather batch leaves the table unchanged (Q19).
     """
     keys = list(keys)
-    weather = process_weather(weather_rows, keys)
-    pol = process_pollutants(pollutants_raw, pollutant_history, now, keys)
+    weather = process_weather(weather_rows, keys, persist=persist)
+    pol = process_pollutants(pollutants_raw, pollutant_history, now, keys, persist=persist)
     new = pol
     if final is not None:
         new = R.newer_than(new, final, keys)

@@ -441,3 +441,225 @@ def _process_pollutants_sql():
 
 register("process_pollutants", _process_pollutants_sql())(
     lambda spark, d: PL.process_pollutants(TD.pollutants_raw(spark, d), None, "2100-01-01"))
+
+
+# ---------------------------------------------------------------------------
+# splits, folds, metrics, scaling, sequences
+# ---------------------------------------------------------------------------
+from seriesframe.plans import learn as LN  # noqa: E402
+
+_POS_SQL = (f"SELECT *, row_number() OVER (ORDER BY Date) - 1 AS pos_, count(*) OVER () AS n_ "
+            f"FROM ({TD.SERIES_SQL}) s0_")
+
+register("chrono_split", f"""
+SELECT Date, CASE WHEN pos_ < n_ - CAST(floor(n_ * 0.2) AS BIGINT) THEN 'train' ELSE 'test' END AS split
+FROM ({_POS_SQL}) p_""")(lambda spark, d: LN.chrono_split(_series(spark, d)).select("Date", "split"))
+
+register("chrono_split3", f"""
+SELECT Date, CASE WHEN pos_ < CAST(floor(n_ * 0.6) AS BIGINT) THEN 'train'
+                  WHEN pos_ < CAST(floor(n_ * 0.6) AS BIGINT) + CAST(floor(n_ * 0.2) AS BIGINT) THEN 'val'
+                  ELSE 'test' END AS split
+FROM ({_POS_SQL}) p_""")(lambda spark, d: LN.chrono_split3(_series(spark, d)).select("Date", "split"))
+
+
+def _folds_df(spark, d):
+    f = LN.time_series_folds(_series(spark, d), n_splits=5)
+    return f.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("rows"), F.min("Date").alias("first_date"),
+                                         F.max("Date").alias("last_date"))
+
+
+register("time_series_folds", f"""
+SELECT fold, role, count(*) AS rows, min(Date) AS first_date, max(Date) AS last_date FROM (
+  SELECT p_.Date, f.fold,
+         CASE WHEN pos_ < n_ - (5 - f.fold) * (n_ // 6) THEN 'train'
+              WHEN pos_ < n_ - (5 - f.fold) * (n_ // 6) + (n_ // 6) THEN 'test' END AS role
+  FROM ({_POS_SQL}) p_, (SELECT unnest(range(0, 5)) AS fold) f) x_
+WHERE role IS NOT NULL GROUP BY fold, role""")(_folds_df)
+
+
+def _with_naive(spark, d):
+    s = _series(spark, d)
+    lagged = WN.create_lag_features(s, S.TARGETS, lag_steps=[1])
+    return lagged.withColumnsRenamed({f"{c}_lag_1": f"{c}_pred" for c in S.TARGETS})
+
+
+def _naive_metrics(spark, d):
+    test = LN.chrono_split(_with_naive(spark, d)).where(F.col("split") == "test")
+    return LN.evaluate(test)
+
+
+_NAIVE_SQL = (f"SELECT *, " + ", ".join(f"lag({c}, 1) OVER (ORDER BY Date) AS {c}_pred" for c in S.TARGETS)
+              + f" FROM ({_POS_SQL}) p_")
+
+
+def _long_sql(src, extra=""):
+    return " UNION ALL ".join(f"SELECT {extra}'{c}' AS feature, {c} AS y, {c}_pred AS yhat FROM ({src}) l_"
+                              for c in S.TARGETS)
+
+
+def _metrics_sql(long_sql, keys=("feature",)):
+    k = ", ".join(keys)
+    return f"""
+SELECT {k},
+  CASE WHEN var_pop(y) * count(y) = 0 THEN CASE WHEN sum((y - yhat) * (y - yhat)) = 0 THEN 1.0 ELSE 0.0 END
+       ELSE 1.0 - sum((y - yhat) * (y - yhat)) / (var_pop(y) * count(y)) END AS r2,
+  avg(abs(y - yhat)) AS mae, sqrt(avg((y - yhat) * (y - yhat))) AS rmse
+FROM ({long_sql}) m_ GROUP BY {k}"""
+
+
+register("naive_forecast_metrics", O.wrap_round(_metrics_sql(_long_sql(
+    f"SELECT * FROM ({_NAIVE_SQL}) t_ WHERE pos_ >= n_ - CAST(floor(n_ * 0.2) AS BIGINT)")),
+    ["r2", "mae", "rmse"], ["feature"]))(_naive_metrics)
+
+
+def _cv_naive(spark, d):
+    f = LN.time_series_folds(_with_naive(spark, d), n_splits=5).where(F.col("role") == "test")
+    per_fold, _ = ST.multi_rmse(LN.long_predictions(f, S.TARGETS, keys=["fold"]))
+    return per_fold
+
+
+_FOLD_TEST_SQL = f"""
+SELECT p_.*, f.fold FROM ({_NAIVE_SQL}) p_, (SELECT unnest(range(0, 5)) AS fold) f
+WHERE pos_ >= n_ - (5 - f.fold) * (n_ // 6) AND pos_ < n_ - (5 - f.fold) * (n_ // 6) + (n_ // 6)"""
+
+register("cv_naive_rmse", O.wrap_round(f"""
+SELECT fold, sqrt(avg(mse_)) AS rmse FROM (
+  SELECT fold, feature, avg((y - yhat) * (y - yhat)) AS mse_ FROM ({_long_sql(_FOLD_TEST_SQL, 'fold, ')}) a_
+  GROUP BY fold, feature) b_ GROUP BY fold""", ["rmse"], ["fold"]))(_cv_naive)
+
+
+def _scaled(spark, d):
+    s = _series(spark, d)
+    return ST.minmax_transform(s, ST.minmax_fit(s, S.TARGETS), S.TARGETS)
+
+
+_SCALED_SQL = ("SELECT Date, " + ", ".join(
+    f"CASE WHEN max({c}) OVER () - min({c}) OVER () = 0 THEN 0.0 ELSE ({c} - min({c}) OVER ()) / "
+    f"(max({c}) OVER () - min({c}) OVER ()) END AS {c}" for c in S.TARGETS) + f" FROM ({TD.SERIES_SQL}) s_")
+
+register("minmax_scaled", O.wrap_round(_SCALED_SQL, S.TARGETS, ["Date"]))(_scaled)
+
+
+def _sequences_long(spark, d, L=14):
+    seq = WN.create_sequences(_scaled(spark, d), S.TARGETS, seq_length=L)
+    ex = seq.select("Date", F.posexplode("X").alias("step", "row"))
+    return ex.select("Date", "step", *[F.col("row")[i].alias(c) for i, c in enumerate(S.TARGETS)])
+
+
+def _sequences_sql(L=14):
+    base = f"SELECT *, row_number() OVER (ORDER BY Date) - 1 AS pos_ FROM ({_SCALED_SQL}) z_"
+    parts = []
+    for s in range(L):
+        lags = ", ".join(f"lag({c}, {L - s}) OVER (ORDER BY Date) AS {c}" for c in S.TARGETS)
+        parts.append(f"SELECT Date, {s} AS step, {', '.join(S.TARGETS)} FROM "
+                     f"(SELECT Date, pos_, {lags} FROM ({base}) b_) c_ WHERE pos_ >= {L}")
+    return " UNION ALL ".join(parts)
+
+
+register("sequences", O.wrap_round(_sequences_sql(), S.TARGETS, ["Date", "step"]))(
+    lambda spark, d: _sequences_long(spark, d).withColumn("step", F.col("step").cast("int")))
+
+
+# ---------------------------------------------------------------------------
+# relational operators
+# ---------------------------------------------------------------------------
+from seriesframe.operators import relational as RL  # noqa: E402
+
+_CUTOFF = "1999-01-01"
+
+
+def _append_new(spark, d):
+    hist = TD.pollutants(spark, d).where(F.col("Date") < F.lit(_CUTOFF).cast("date"))
+    new = RL.not_future(RL.newer_than(TD.weather(spark, d), hist), "2100-01-01")
+    return RL.append(hist, new)
+
+
+register("append_newer_than", O.wrap_round(f"""
+SELECT Date, co, no2, o3, pm10, pm25, so2, NULL::DOUBLE AS Temp, NULL::DOUBLE AS Rain, NULL::DOUBLE AS Cloud,
+       NULL::DOUBLE AS Pressure, NULL::DOUBLE AS Wind, NULL::DOUBLE AS Gust
+FROM ({TD.POLLUTANTS_SQL}) h_ WHERE Date < DATE '{_CUTOFF}'
+UNION ALL
+SELECT Date, NULL, NULL, NULL, NULL, NULL, NULL, Temp, Rain, Cloud, Pressure, Wind, Gust
+FROM ({TD.WEATHER_SQL}) w_
+WHERE Date > (SELECT max(Date) FROM ({TD.POLLUTANTS_SQL}) x_ WHERE Date < DATE '{_CUTOFF}')
+  AND Date < DATE '2100-01-01'""", S.TARGETS, ["Date"]))(_append_new)
+
+register("join_on_date", O.wrap_round(TD.SERIES_SQL, S.TARGETS, ["Date"]))(
+    lambda spark, d: RL.join_on_date(TD.pollutants(spark, d), TD.weather(spark, d)))
+
+register("join_on_date_station", O.wrap_round(TD.SERIES_STATION_SQL, S.TARGETS, ["station", "Date"]))(
+    lambda spark, d: RL.join_on_date(TD.pollutants(spark, d, True), TD.weather(spark, d, True),
+                                     keys=["station"]))
+
+
+def _dates_to_load(spark, d):
+    hist = TD.pollutants(spark, d, True)
+    return RL.dates_to_load(hist, "2002-03-01", keys=["station"])
+
+
+register("dates_to_load", """
+SELECT station, CAST(unnest(generate_series(hw + INTERVAL 1 DAY, DATE '2002-02-28', INTERVAL 1 DAY)) AS DATE) AS Date
+FROM (SELECT s_nationkey AS station, max(CAST(l_shipdate AS DATE)) AS hw
+      FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_nationkey) h_""")(_dates_to_load)
+
+
+def _chart(spark, d):
+    return PL.chart_series(_series(spark, d), "pm25", "1996-01-01", "1997-12-31")
+
+
+register("chart_series", O.wrap_round(
+    f"SELECT Date, pm25 FROM ({TD.SERIES_SQL}) s_ WHERE Date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'",
+    ["pm25"], ["Date"]))(_chart)
+
+register("latest_row_station", O.wrap_round(f"""
+SELECT * EXCLUDE (rn_) FROM (SELECT *, row_number() OVER (PARTITION BY station ORDER BY Date DESC) AS rn_
+FROM ({TD.SERIES_STATION_SQL}) s_) t_ WHERE rn_ = 1""", S.TARGETS, ["station", "Date"]))(
+    lambda spark, d: RL.latest_row(_series(spark, d, True), keys=["station"]))
+
+
+def _top_days(spark, d):
+    a = aqi_daily_df(spark, d).select("Date", "aqi", "main_pollutant", "category",
+                                      F.col("Date").cast("string").alias("day"))
+    return RL.top_k(a, 20, "aqi", "day").drop("day")
+
+
+register("top_aqi_days", f"""
+SELECT Date, aqi, main_pollutant, category FROM ({aqi_sql_select(masked_pollutants_sql(TD.POLLUTANTS_SQL, ['Date']), ['Date'] + S.POLLUTANTS)}) a_
+ORDER BY aqi DESC, CAST(Date AS VARCHAR) ASC LIMIT 20""")(_top_days)
+
+
+def _units_report(spark, d):
+    last = RL.latest_row(_series(spark, d))
+    long = RL.unpivot_metrics(last, S.TARGETS, ["Date"])
+    return RL.with_units(long, spark).withColumn("text", RL.format_value()) \
+        .withColumn("day", F.date_format(F.date_add("Date", 1), "yyyy-MM-dd"))
+
+
+def _units_sql():
+    units = " UNION ALL ".join(
+        "SELECT '{}' AS metric, {} AS unit".format(m, "'" + u.replace("\n", "' || chr(10) || '") + "'")
+        for m, u in S.UNITS.items())
+    last = f"SELECT * FROM ({TD.SERIES_SQL}) s_ ORDER BY Date DESC LIMIT 1"
+    long = " UNION ALL ".join(f"SELECT Date, '{c}' AS metric, {c} AS value FROM ({last}) l_" for c in S.TARGETS)
+    return O.wrap_round(f"""
+SELECT l.Date, l.metric, l.value, u.unit, printf('%.3f', l.value) || ' ' || u.unit AS text,
+       strftime(l.Date + INTERVAL 1 DAY, '%Y-%m-%d') AS day
+FROM ({long}) l LEFT JOIN ({units}) u ON l.metric = u.metric""", ["value"], ["Date", "metric", "unit", "text", "day"])
+
+
+register("units_report", _units_sql())(_units_report)
+
+
+def _page_rows(spark, d):
+    pages = TD.table(spark, d, "pages")
+    rows = RD.rows_from_pages(pages)
+    return rows.select("page_id", F.col("row_no").cast("int").alias("row_no"),
+                       F.array_join("cells", "|").alias("cells"))
+
+
+register("rows_from_pages", r"""
+SELECT page_id, CAST(row_no AS INTEGER) AS row_no, array_to_string(cells, '|') AS cells FROM (
+  SELECT page_id, generate_subscripts(items, 1) - 1 AS row_no, unnest(items) AS item,
+         regexp_extract_all(unnest(items), '<a [^>]*>(.*?)</a>', 1) AS cells
+  FROM (SELECT page_id, regexp_extract_all(html, '<li>(.*?)</li>', 1)[3:10] AS items FROM pages) p_
+) x_ WHERE len(cells) > 0""")(_page_rows)

@@ -61,3 +61,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path below the shared checkpoint folder, for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df, how: str = "checkpoint"):
+    """Cut the lineage of a multi-consumer intermediate.
+
+    ``checkpoint`` writes it to the shared ``spark.checkpoint.dir`` (survives
+    executor loss, no recomputation of the upstream plan); ``cache`` keeps it
+    in executor memory/disk and falls back to recomputation on loss;
+    ``none`` leaves the plan lazy.
+    """
+    if how == "none":
+        return df
+    if how == "cache":
+        return df.persist()
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
