@@ -124,16 +124,19 @@ def with_carries(df_idx: DataFrame, keys: list[str], cols: list[str], time_col:
     summary = d.groupBy(*part).agg(
         *[F.max(f"_s_{c}").alias(f"_bl_{c}") for c in cols],
         *[F.min(f"_s_{c}").alias(f"_bf_{c}") for c in cols])
+    # both directions as running frames (an "unbounded following" frame is
+    # re-aggregated per row, quadratic in the partition size)
     w_left = Window.partitionBy(*keys).orderBy(BKT).rowsBetween(Window.unboundedPreceding, -1)
-    w_right = Window.partitionBy(*keys).orderBy(BKT).rowsBetween(1, Window.unboundedFollowing)
+    w_right = Window.partitionBy(*keys).orderBy(F.col(BKT).desc()).rowsBetween(
+        Window.unboundedPreceding, -1)
     carries = summary.select(
         *part,
         *[F.max(f"_bl_{c}").over(w_left).alias(f"_cl_{c}") for c in cols],
         *[F.min(f"_bf_{c}").over(w_right).alias(f"_cr_{c}") for c in cols])
     d = _attach(d, carries, part)
-    w = Window.partitionBy(*part).orderBy(idx_col)
-    w_run = w.rowsBetween(Window.unboundedPreceding, 0)
-    w_rest = w.rowsBetween(0, Window.unboundedFollowing)
+    w_run = Window.partitionBy(*part).orderBy(idx_col).rowsBetween(Window.unboundedPreceding, 0)
+    w_rest = Window.partitionBy(*part).orderBy(F.col(idx_col).desc()).rowsBetween(
+        Window.unboundedPreceding, 0)
     out = d.select(
         *[F.col(c) for c in df_idx.columns],
         *[F.coalesce(F.max(f"_s_{c}").over(w_run), F.col(f"_cl_{c}")).alias(f"_prev_{c}") for c in cols],

@@ -111,14 +111,20 @@ def train_forest(train_df, features, targets=S.TARGETS, params=None, seed=42, th
     p = {**DEFAULT_FOREST, **(params or {})}
     p["maxDepth"] = min(int(p["maxDepth"]), 30)
     data = train_df if assembled else assemble(train_df, features)
+    # every fit makes several passes: keep the assembled rows once instead of
+    # re-running the feature plan per pass and per target
+    data = data.select("features", *targets).persist()
 
     def fit(t):
         rf = RandomForestRegressor(featuresCol="features", labelCol=t, predictionCol=f"{t}_pred",
                                    seed=seed, **p)
         return t, rf.fit(data)
 
-    with ThreadPoolExecutor(max_workers=max(1, min(threads, len(targets)))) as ex:
-        return dict(ex.map(fit, targets))
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, min(threads, len(targets)))) as ex:
+            return dict(ex.map(fit, targets))
+    finally:
+        data.unpersist()
 
 
 def predict(models: dict, df, features, assembled=False):

@@ -663,3 +663,178 @@ SELECT page_id, CAST(row_no AS INTEGER) AS row_no, array_to_string(cells, '|') A
          regexp_extract_all(unnest(items), '<a [^>]*>(.*?)</a>', 1) AS cells
   FROM (SELECT page_id, regexp_extract_all(html, '<li>(.*?)</li>', 1)[3:10] AS items FROM pages) p_
 ) x_ WHERE len(cells) > 0""")(_page_rows)
+
+
+# ---------------------------------------------------------------------------
+# update of the final table (J3) and union of locations
+# ---------------------------------------------------------------------------
+def _update_first(spark, d):
+    out, _ = PL.update_dataset(None, TD.weather_rows(spark, d), TD.pollutants_raw(spark, d))
+    return out
+
+
+def _process_weather_sql():
+    return O.impute_sql(_daily_mean_sql(), _W, S.WEATHER, [], ["Date"], method="auto",
+                        seasonal_above=S.WEATHER_SEASONAL_ABOVE)
+
+
+def _process_pollutants_plain_sql():
+    parsed = O.coerce_pollutants_sql(TD.POLLUTANTS_RAW_SQL)
+    kept = f"SELECT * FROM ({parsed}) k_ WHERE Date IS NOT NULL AND Date < DATE '2100-01-01'"
+    masked = O.mask_sql(kept, _POL, S.POLLUTANTS, [], S.POLLUTANT_LIMITS, 3.0, 4.0)
+    filled = O.impute_sql(masked, _POL, S.POLLUTANTS, [], ["Date"], method="auto",
+                          seasonal_above=S.POLLUTANT_SEASONAL_ABOVE)
+    return O.replace_cols(filled, _POL, {c: O.np_round_sql(c) for c in S.POLLUTANTS})
+
+
+_UPDATE_SQL = f"""
+SELECT p.Date, p.co, p.no2, p.o3, p.pm10, p.pm25, p.so2, w.Temp, w.Rain, w.Cloud, w.Pressure, w.Wind, w.Gust
+FROM ({_process_pollutants_plain_sql()}) p JOIN ({_process_weather_sql()}) w ON p.Date = w.Date"""
+
+register("update_dataset", O.wrap_round(_UPDATE_SQL, S.TARGETS, ["Date"]))(_update_first)
+
+
+def _update_incremental(spark, d):
+    final = RL.join_on_date(TD.pollutants(spark, d), TD.weather(spark, d)).where(
+        F.col("Date") < F.lit(_CUTOFF).cast("date"))
+    out, _ = PL.update_dataset(final, TD.weather_rows(spark, d), TD.pollutants_raw(spark, d))
+    return out
+
+
+register("update_dataset_incremental", O.wrap_round(f"""
+SELECT * FROM ({TD.SERIES_SQL}) f_ WHERE Date < DATE '{_CUTOFF}'
+UNION ALL
+SELECT * FROM ({_UPDATE_SQL}) u_
+WHERE Date > (SELECT max(Date) FROM ({TD.SERIES_SQL}) g_ WHERE Date < DATE '{_CUTOFF}')
+  AND Date < DATE '2100-01-01'""", S.TARGETS, ["Date"]))(_update_incremental)
+
+
+def _union_locations(spark, d):
+    frames = {"north": TD.pollutants(spark, d), "south": TD.weather(spark, d), "east": None}
+    data, status = RL.union_locations(frames, spark)
+    counts = data.groupBy("station").agg(F.count(F.lit(1)).alias("rows"))
+    return status.join(counts, "station", "left")
+
+
+register("union_locations", f"""
+SELECT s.station, s.success, c.rows FROM
+  (SELECT 'north' AS station, true AS success UNION ALL SELECT 'south', true UNION ALL SELECT 'east', false) s
+LEFT JOIN (SELECT 'north' AS station, count(*) AS rows FROM ({TD.POLLUTANTS_SQL}) a_
+           UNION ALL SELECT 'south', count(*) FROM ({TD.WEATHER_SQL}) b_) c ON s.station = c.station""")(
+    _union_locations)
+
+
+# ---------------------------------------------------------------------------
+# model fits (K4-K9, J6, J8): metric-level checks only, no SQL twin
+# ---------------------------------------------------------------------------
+from seriesframe.plans import forecast as FC  # noqa: E402
+from seriesframe.session import materialize  # noqa: E402
+
+SMALL_FOREST = {"numTrees": 20, "maxDepth": 6, "featureSubsetStrategy": "sqrt"}
+_FITS: dict = {}
+
+
+def _forest(spark, d):
+    key = (d, id(spark))
+    if key not in _FITS:
+        feats = RL.drop_incomplete(WN.create_all_features(_series(spark, d)))
+        names = RL.split_xy(feats)
+        split = materialize(LN.chrono_split(feats))
+        train = split.where(F.col("split") == "train")
+        test = split.where(F.col("split") == "test")
+        models = LN.train_forest(train, names, S.TARGETS, SMALL_FOREST)
+        _FITS[key] = (models, names, test)
+    return _FITS[key]
+
+
+def _forest_metrics(spark, d):
+    models, names, test = _forest(spark, d)
+    return LN.evaluate(LN.predict(models, test, names))
+
+
+def _forest_importance(spark, d):
+    models, names, _ = _forest(spark, d)
+    imp = LN.feature_importance(models, names, spark)
+    return RL.top_k(imp, 20, "importance", "feature")
+
+
+def _forest_report(spark, d):
+    models, names, _ = _forest(spark, d)
+    pred = FC.forecast(models, _series(spark, d), names, tail_days=120)
+    return FC.forecast_report(pred, spark)
+
+
+def _feature_selection(spark, d):
+    feats = materialize(RL.drop_incomplete(WN.create_all_features(_series(spark, d))))
+    names = RL.split_xy(feats)
+    train = LN.chrono_split(feats).where(F.col("split") == "train")
+    top = LN.select_features(train, names, S.TARGETS, k=150,
+                             params={"numTrees": 10, "maxDepth": 5})
+    return spark.createDataFrame(list(enumerate(top)), "pos int, feature string")
+
+
+def _search(spark, d):
+    feats = RL.drop_incomplete(WN.create_all_features(_series(spark, d)))
+    names = RL.split_xy(feats)
+    idx = materialize(FR.with_row_index(feats, [], ["Date"], idx_col="_pos"))
+    space = {**LN.SEARCH_SPACE, "numTrees": (5, 15), "maxDepth": (3, 6)}
+    _, trials = LN.search_params(idx, names, S.TARGETS, n_trials=3, n_splits=3, n_startup=1,
+                                 n_warmup=1, space=space)
+    rows = [(t["trial"], t["score"], t["folds"], t["pruned"], str(t["params"])) for t in trials]
+    return spark.createDataFrame(rows, "trial int, cv_rmse double, folds int, pruned boolean, params string")
+
+
+def _sequence_regression(spark, d):
+    seq = WN.create_sequences(_scaled(spark, d), S.TARGETS, seq_length=14)
+    split = LN.chrono_split3(seq)
+    pred = LN.sequence_regression(split)
+    return LN.evaluate(pred.where(F.col("split") == "test"))
+
+
+from seriesframe.operators import frames as FR  # noqa: E402
+
+def _wide(fn):
+    """Model queries plan over the 330 feature columns: switch off constraint
+    propagation for the session (see ``session.wide_plans``); results are
+    unchanged, only optimizer time is saved. Left off, since the returned
+    DataFrame is planned again when it runs."""
+    def run(spark, d):
+        spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+        return fn(spark, d)
+    run.__name__ = fn.__name__
+    return run
+
+
+register("forest_metrics")(_wide(_forest_metrics))
+register("forest_importance_top20")(_wide(_forest_importance))
+register("forest_forecast_report")(_wide(_forest_report))
+register("feature_selection")(_wide(_feature_selection))
+register("search_params")(_wide(_search))
+register("sequence_regression_metrics")(_sequence_regression)
+
+
+# ---------------------------------------------------------------------------
+# per-row AQI over the whole lineitem table (scale variant of the flagship)
+# ---------------------------------------------------------------------------
+def _aqi_rows(spark, d):
+    li = TD.table(spark, d, "lineitem")
+    rows = li.select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("Date"),
+                     (F.col("l_quantity") / 6).alias("co"),
+                     (F.col("l_extendedprice") / 1400).alias("no2"),
+                     (F.col("l_extendedprice") / 1500).alias("o3"),
+                     (F.col("l_extendedprice") / 800).alias("pm10"),
+                     (F.col("l_extendedprice") / 80).alias("pm25"),
+                     (F.col("l_tax") * 1000).alias("so2"))
+    out = A.with_aqi(_masked(rows, ["l_orderkey", "l_linenumber", "Date"]), keep_sub_indices=False)
+    return out.select("l_orderkey", "l_linenumber", "Date", "aqi", "main_pollutant", "category")
+
+
+_AQI_ROWS_SRC = """
+SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS Date, l_quantity / 6 AS co,
+       l_extendedprice / 1400 AS no2, l_extendedprice / 1500 AS o3, l_extendedprice / 800 AS pm10,
+       l_extendedprice / 80 AS pm25, l_tax * 1000 AS so2 FROM lineitem"""
+
+register("aqi_rows", f"""
+SELECT l_orderkey, l_linenumber, Date, aqi, main_pollutant, category FROM ({aqi_sql_select(
+    masked_pollutants_sql(_AQI_ROWS_SRC, ['l_orderkey', 'l_linenumber', 'Date']),
+    ['l_orderkey', 'l_linenumber', 'Date'] + S.POLLUTANTS)}) a_""")(_aqi_rows)

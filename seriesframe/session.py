@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -19,6 +20,9 @@ LOCAL_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # 330-column feature plans: constraint inference over hundreds of
+    # aliases is super-linear in the optimizer; it adds no pushdown here
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
@@ -77,3 +81,20 @@ def materialize(df, how: str = "checkpoint"):
         return df.persist()
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def wide_plans(spark: SparkSession):
+    """Optimizer settings for plans with hundreds of derived columns.
+
+    Constraint propagation re-derives every alias constraint at each node; on
+    the 330 feature columns it dominates planning. It is switched off for the
+    duration and restored afterwards.
+    """
+    key = "spark.sql.constraintPropagation.enabled"
+    old = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        yield spark
+    finally:
+        spark.conf.set(key, old)
