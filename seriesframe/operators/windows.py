@@ -194,15 +194,16 @@ def create_sequences(df, cols=None, seq_length=14, keys=(), order=(S.DATE,),
                      bucket_rows=FR.DEFAULT_BUCKET_ROWS, block="month"):
     """Windows of ``seq_length`` rows and the following row as target.
 
-    Output: keys, the target row's date, ``X`` (array of ``seq_length`` rows,
-    each an array of the columns) and ``y`` (array of the target row's columns).
+    Output: keys, the target row's date, ``seq`` (array of ``seq_length`` rows,
+    each an array of the columns) and ``target`` (array of the target row's
+    columns).
     """
     cols = cols or S.TARGETS
     row = F.array(*[F.col(c) for c in cols])
-    exprs = {"X": (lambda w: F.collect_list(row).over(w.rowsBetween(-seq_length, -1))),
-             "y": (lambda w: row)}
+    exprs = {"seq": (lambda w: F.collect_list(row).over(w.rowsBetween(-seq_length, -1))),
+             "target": (lambda w: row)}
     out = FR.bounded(df, list(keys), list(order), seq_length, exprs, bucket_rows, block)
-    return out.where(F.size("X") == seq_length).select(*keys, order[0], "X", "y")
+    return out.where(F.size("seq") == seq_length).select(*keys, order[0], "seq", "target")
 
 
 # ---------------------------------------------------------------------------

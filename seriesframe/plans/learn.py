@@ -223,9 +223,8 @@ def sequence_regression(seq_df, targets=S.TARGETS, seq_length=14, split_col="spl
     """Next-row forecast from ``seq_length`` × k scaled windows (K9): the window
     is flattened into a vector and one linear model per target is fitted on
     the ``train`` rows; returns predictions for all rows."""
-    d = seq_df.withColumn("features", array_to_vector(F.flatten("X")))
-    for i, t in enumerate(targets):
-        d = d.withColumn(t, F.col("y")[i])
+    d = seq_df.withColumn("features", array_to_vector(F.flatten("seq")))
+    d = d.withColumns({t: F.col("target")[i] for i, t in enumerate(targets)})
     tr = d.where(F.col(split_col) == "train")
 
     def fit(t):

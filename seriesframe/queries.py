@@ -542,7 +542,7 @@ register("minmax_scaled", O.wrap_round(_SCALED_SQL, S.TARGETS, ["Date"]))(_scale
 
 def _sequences_long(spark, d, L=14):
     seq = WN.create_sequences(_scaled(spark, d), S.TARGETS, seq_length=L)
-    ex = seq.select("Date", F.posexplode("X").alias("step", "row"))
+    ex = seq.select("Date", F.posexplode("seq").alias("step", "row"))
     return ex.select("Date", "step", *[F.col("row")[i].alias(c) for i, c in enumerate(S.TARGETS)])
 
 

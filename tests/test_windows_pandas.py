@@ -71,8 +71,8 @@ def test_sequences_count(spark):
     seq = WN.create_sequences(sdf, ["x"], seq_length=14, bucket_rows=20)
     assert seq.count() == len(pdf) - 14
     first = seq.orderBy("Date").first()
-    np.testing.assert_allclose([r[0] for r in first["X"]], pdf.x.values[:14])
-    assert first["y"][0] == pdf.x.values[14]
+    np.testing.assert_allclose([r[0] for r in first["seq"]], pdf.x.values[:14])
+    assert first["target"][0] == pdf.x.values[14]
 
 
 def test_blocked_equals_plain_per_key(spark):
