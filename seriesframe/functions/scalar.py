@@ -105,12 +105,22 @@ def quantize(col) -> Column:
     return F.rint(c / step) * step + F.lit(0.0)
 
 
+def _quantize_sql(name: str) -> str:
+    c = f"`{name}`"
+    step = f"pow(2.0D, greatest(-20.0D, CAST(floor(log2(abs({c}))) AS DOUBLE) - 30.0D))"
+    return f"rint({c} / {step}) * {step} + 0.0D AS {c}"
+
+
 def round_doubles(df):
-    """Quantize every double column (outputs of registered queries)."""
-    out = []
+    """Quantize every double column (outputs of registered queries).
+
+    Same expression as :func:`quantize`, sent as one ``selectExpr`` so that a
+    343-column result is parsed and analysed once on the JVM side.
+    """
+    exprs = []
     for f in df.schema.fields:
         if f.dataType.typeName() in ("double", "float"):
-            out.append(quantize(F.col(f.name)).alias(f.name))
+            exprs.append(_quantize_sql(f.name))
         else:
-            out.append(F.col(f.name))
-    return df.select(*out)
+            exprs.append(f"`{f.name}`")
+    return df.selectExpr(*exprs)
