@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from seriesframe.llm import url_cascade
+from seriesframe.llm import url_cascade, warc
 
 QUERIES = {
     "op1_url_cascade": url_cascade.query,
+    "op2_warc_segments": warc.query,
 }
 SQL = {
     "op1_url_cascade": url_cascade.SQL,
+    "op2_warc_segments": warc.SQL,
 }
