@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from seriesframe.llm import url_cascade, warc
+from seriesframe.llm import bpe, chat, url_cascade, warc
 
 QUERIES = {
     "op1_url_cascade": url_cascade.query,
     "op2_warc_segments": warc.query,
+    "op5_bpe": bpe.query,
+    "op8_chat_events": chat.query,
 }
 SQL = {
     "op1_url_cascade": url_cascade.SQL,
     "op2_warc_segments": warc.SQL,
+    "op8_chat_events": chat.SQL,
 }
