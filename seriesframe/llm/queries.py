@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from seriesframe.llm import bpe, chat, url_cascade, warc
+from seriesframe.llm import bpe, chat, robust_quality, url_cascade, warc
 
 QUERIES = {
     "op1_url_cascade": url_cascade.query,
     "op2_warc_segments": warc.query,
     "op5_bpe": bpe.query,
+    "op7_robust_quality": robust_quality.query,
     "op8_chat_events": chat.query,
 }
 SQL = {
