@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seriesframe.llm import bpe, chat, robust_quality, url_cascade, warc
+from seriesframe.llm import bpe, chat, jaccard_rtree, robust_quality, url_cascade, warc
 
 QUERIES = {
     "op1_url_cascade": url_cascade.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_bpe": bpe.query,
     "op7_robust_quality": robust_quality.query,
     "op8_chat_events": chat.query,
+    "op9_jaccard_rtree": jaccard_rtree.query,
 }
 SQL = {
     "op1_url_cascade": url_cascade.SQL,
