@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from seriesframe.llm import bpe, chat, jaccard_rtree, robust_quality, url_cascade, warc
+from seriesframe.llm import (bpe, chat, decontam, jaccard_rtree, license_scan, robust_quality, secret_crf, toxicity_chain,
+                             url_cascade, warc)
 
 QUERIES = {
     "op1_url_cascade": url_cascade.query,
     "op2_warc_segments": warc.query,
+    "op3_license_compression": license_scan.query,
+    "op4_secret_crf": secret_crf.query,
     "op5_bpe": bpe.query,
+    "op6_decontam": decontam.query,
     "op7_robust_quality": robust_quality.query,
     "op8_chat_events": chat.query,
     "op9_jaccard_rtree": jaccard_rtree.query,
+    "op10_toxicity_chain": toxicity_chain.query,
 }
+#: The others depend on models, hashing or compression; their tests hold them against brute force.
 SQL = {
     "op1_url_cascade": url_cascade.SQL,
     "op2_warc_segments": warc.SQL,
