@@ -299,7 +299,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def link(docs: DataFrame, percent: int = 80, sample_docs: int = SAMPLE_DOCS, slice_rows: int = SLICE) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``class_id`` and ``component_id`` for every row of ``docs`` (doc_id, text)."""
+    """A row for every row of ``docs`` (doc_id, text).
+
+    Columns: doc_id, text_hash (of the lower-cased text), n_shingles, class_id
+    (equal sets), comp (linked classes) and component_id.
+    """
     docs = docs.select("doc_id", ascii_lower(text_of("text")).alias("_text"))
     points = shared(_points(docs, percent, sample_docs), "points")
     classes = (points.where("n > 0").groupBy("digest")
@@ -321,11 +325,30 @@ def link(docs: DataFrame, percent: int = 80, sample_docs: int = SAMPLE_DOCS, sli
         comps = components(links)
     least = classes.join(comps, "id", "left").select("id", "digest", "first", F.coalesce("comp", "id").alias("comp"))
     first = least.groupBy("comp").agg(F.min("first").alias("component_id"), F.min("id").alias("_"))
-    named = least.join(first, "comp").select(F.col("digest").alias("_digest"), F.col("id").alias("class_id"), "component_id")
-    out = points.select("doc_id", "n", "digest").join(named, F.col("digest") == F.col("_digest"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id",
+    named = least.join(first, "comp").select(F.col("digest").alias("_digest"), F.col("id").alias("class_id"), "comp", "component_id")
+    out = points.select("doc_id", "text_hash", "n", "digest").join(named, F.col("digest") == F.col("_digest"), "left")
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "class_id", "comp",
                       F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """One row of ``docs`` for each component: that of the smallest id, then of the least text hash.
+
+    Documents without words are in no group and are all kept.
+    """
+    hashed = F.xxhash64(ascii_lower(text_of("text")))
+    found = shared(link(docs, **options).where("n_shingles > 0").groupBy("doc_id", "text_hash", "comp").agg(F.count("*").alias("n")), "linked-docs")
+    best = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("m"))
+    first = F.col("doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("text_hash") == F.col("m.text_hash"))
+    ranked = found.join(best, "comp").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_other"), "n", first.alias("first"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_other"))
+    left = docs.withColumn("_hash", hashed).join(ranked.where("NOT first"), same, "left_anti")
+    repeated = ranked.where("first AND n > 1").select("_id", "_other")
+    if not repeated.isEmpty():
+        once = left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_hash"])
+        left = left.join(repeated, same, "left_anti").unionByName(once)
+    return left.select(docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return link(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

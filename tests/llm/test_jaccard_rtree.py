@@ -74,3 +74,14 @@ def test_bound_and_tree():
                 k = len(np.intersect1d(a, sets[j]))
                 if i % 7 != j % 7 and 100 * k >= 80 * (len(a) + len(sets[j]) - k):
                     assert (j, i) in got
+
+
+def test_one_row_of_each_group_stays(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    near = text + " more"
+    rows = [(7, text), (3, near), (3, near), (3, "other words that link with nothing at all"), (9, text.upper()), (None, text), (None, "alone with no id"), (5, None), (5, None), (8, "")]
+    docs = spark.createDataFrame([(a, b, 0, "") for a, b in rows], SCHEMA).repartition(2)
+    left = J.keep_first(docs)
+    assert left.columns == docs.columns
+    want = [(3, near), (3, rows[3][1]), (None, "alone with no id"), (5, None), (5, None), (8, "")]
+    assert sorted([(r.doc_id, r.text) for r in left.collect()], key=str) == sorted(want, key=str)
