@@ -40,12 +40,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesframe.llm.common import ascii_lower, read, shared, text_of
+from seriesframe.llm.common import read, shared, text_of
 from seriesframe.llm.components import components
 from seriesframe.llm.url_cascade import _hits, _level
 
 WORDS = 5
-SAMPLE_DOCS = 20_000
+SAMPLE_DOCS = 5_000
 MAX_FREQUENT = 200_000
 MAX_GROUPS = 4096
 FILTER_BITS = 1 << 25
@@ -59,20 +59,24 @@ def least_overlap(n, percent: int):
     return -(-percent * n // 100)
 
 
-def shingle_set(text: str, cache: dict) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a lower-cased text."""
-    words = text.translate(_BLANKS).split(" ")
-    words = [w for w in words if w]
+#: A-Z to a-z and every separator to a space, in UTF-8.
+_PLAIN = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+class WordHashes(dict):
+    """64-bit hash of each word seen."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def shingle_set(text: str, cache: WordHashes) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a text, its A-Z lower-cased."""
+    words = list(filter(None, text.encode().translate(_PLAIN).split(b" ")))
     if not words:
         return np.empty(0, np.uint64)
-    find = cache.get
-    hashes = []
-    for w in words:
-        h = find(w)
-        if h is None:
-            h = cache[w] = xxhash.xxh3_64_intdigest(w)
-        hashes.append(h)
-    h = np.array(hashes, np.uint64)
+    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
     size = min(WORDS, len(h))
     mixed = np.full(len(h) - size + 1, size if size < WORDS else 0, np.uint64)
     with np.errstate(over="ignore"):
@@ -84,16 +88,20 @@ def shingle_set(text: str, cache: dict) -> np.ndarray:
     return np.unique(mixed)
 
 
-_BLANKS = {c: " " for c in range(9, 14)}
-
-
 def groups_of(n: int) -> int:
     return min(MAX_GROUPS, 1 << max(4, (n // 4 - 1).bit_length() if n > 4 else 0))
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
+    """Counts by group in bytes; 255 stands for any number from there on."""
     g = groups_of(len(shingles))
-    return np.minimum(np.bincount((shingles & np.uint64(g - 1)).astype(np.int64), minlength=g), 65535).astype("<u2")
+    return np.minimum(np.bincount((shingles & np.uint64(g - 1)).astype(np.int64), minlength=g), 255).astype(np.uint8)
+
+
+def counts_of(vector: bytes) -> np.ndarray:
+    v = np.frombuffer(vector, np.uint8).astype(np.int64)
+    v[v == 255] = 1 << 40  # no bound
+    return v
 
 
 def _prefix(shingles: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
@@ -108,7 +116,7 @@ def _python(docs: DataFrame, schema: str, arrow: pa.Schema, make) -> DataFrame:
     """Rows made of each text by ``make(row id, text, cache)``."""
 
     def work(batches):
-        cache: dict = {}
+        cache = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -127,7 +135,7 @@ def _frequent(docs: DataFrame, sample_docs: int) -> np.ndarray:
     step = max(1, total // max(1, sample_docs))
     sample = docs.where(F.pmod(F.xxhash64("doc_id", "_text"), F.lit(step)) == 0).select("doc_id", "_text")
     found = _python(sample, "h array<long>", pa.schema([("h", pa.list_(pa.int64()))]), lambda _, t, c: [(shingle_set(t, c).view(np.int64),)])
-    top = (found.select(F.explode("h").alias("h")).groupBy("h").count().where("count >= 4")
+    top = (found.select(F.explode("h").alias("h")).groupBy("h").count().where("count >= 3")
            .orderBy(F.desc("count"), "h").limit(MAX_FREQUENT).select("h").collect())
     return np.sort(np.array([r.h for r in top], np.int64).view(np.uint64))
 
@@ -186,7 +194,7 @@ class Tree:
             v, low, high, own, one = (x[at] for x in self.levels[depth])
             fits = (100 * low <= size * 10000 // percent) & (100 * high >= percent * size) & ~(one & (own == comp))
             at, v, low = at[fits], v[fits], low[fits]
-            bound = np.minimum(np.minimum(v, vector).sum(1, dtype=np.int64), size)
+            bound = np.minimum(np.minimum(v, vector).sum(1), size)
             good = bound * (100 + percent) >= percent * (size + np.maximum(low, -(-percent * size // 100)))
             at, bound = at[good], bound[good]
             if depth == 0 or not len(at):
@@ -196,16 +204,22 @@ class Tree:
 
 
 def _fold(vector: np.ndarray, g: int) -> np.ndarray:
-    return np.minimum(vector.reshape(-1, g).sum(0, dtype=np.int64), 65535) if len(vector) > g else vector
+    return vector.reshape(-1, g).sum(0) if len(vector) > g else vector
+
+
+def _hopeless(rows: list, percent: int) -> bool:
+    """Whether sizes and components of a small block leave no pair."""
+    if len(rows) > 6:
+        return False
+    return not any(a[1] != b[1] and 100 * min(a[2], b[2]) >= percent * max(a[2], b[2]) for i, a in enumerate(rows) for b in rows[:i])
 
 
 def _search_block(rows: list, mode: str, percent: int):
     """Candidate pairs of one block; rows are (id, comp, n, vector, central, slice, pair of slices)."""
     m = len(rows)
-    low, high = min(r[2] for r in rows), max(r[2] for r in rows)
-    if m == 2 and (rows[0][1] == rows[1][1] or 100 * low < percent * high):
+    if _hopeless(rows, percent):
         return
-    vectors = [np.frombuffer(r[3], "<u2") for r in rows]
+    vectors = [counts_of(r[3]) for r in rows]
     count: dict = {}
     for r in rows:
         count[r[1]] = count.get(r[1], 0) + 1
@@ -226,28 +240,34 @@ def _search_block(rows: list, mode: str, percent: int):
         lo = 0 if mode == "star" else int(np.searchsorted(lengths, g))
         step = min(int(lengths[lo]), int(g))
         if (lo, step) not in trees:
-            trees[lo, step] = Tree(np.stack([_fold(v, step) for v in vectors[lo:]]).astype(np.int64), sizes[lo:], comps[lo:])
-        at, bound = trees[lo, step].search(_fold(vectors[q], step).astype(np.int64), int(sizes[q]), int(comps[q]), percent)
+            trees[lo, step] = Tree(np.stack([_fold(v, step) for v in vectors[lo:]]), sizes[lo:], comps[lo:])
+        at, bound = trees[lo, step].search(_fold(vectors[q], step), int(sizes[q]), int(comps[q]), percent)
         at = at + lo
         keep = (at != q) & (comps[at] != comps[q])
-        if mode != "star":
+        if mode == "all":
             keep &= (lengths[at] > g) | (at > q)
         if across:
             keep &= slices[at] != slices[q]
         at, bound = at[keep], bound[keep]
-        if mode == "best" and len(at):
-            at = at[[int(np.argmax(bound / (sizes[at] + sizes[q])))]]
-        for j in at:
-            yield (min(ids[q], ids[j]), max(ids[q], ids[j]))
+        share = bound / (sizes[at] + sizes[q])
+        if mode == "star":
+            yield from zip(ids[at].tolist(), [int(ids[q])] * len(at), share.tolist())
+        elif mode == "best" and len(at):
+            top = int(np.argmax(share))
+            yield int(ids[q]), int(ids[at[top]]), float(share[top])
+        elif mode == "all":
+            yield from ((min(int(ids[q]), j), max(int(ids[q]), j), 0.0) for j in ids[at].tolist())
 
 
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("share", pa.float64())])
 
 
 def _candidates(blocks: DataFrame, mode: str, percent: int, slice_rows: int) -> DataFrame:
     """Distinct pairs (a, b) of classes in one block and not in one component that the bound lets through.
 
-    ``blocks`` has h, id, comp, n, vector and central.
+    ``blocks`` has h, id, comp, n, vector and central. Modes: ``star`` gives
+    each class its likeliest central class, ``best`` its likeliest partner,
+    ``all`` every pair.
     """
     sizes = blocks.groupBy("h").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     sizes = sizes.select("h", F.ceil(F.col("rows") / slice_rows).cast("int").alias("slices"))
@@ -270,10 +290,14 @@ def _candidates(blocks: DataFrame, mode: str, percent: int, slice_rows: int) ->
     def _made(pairs):
         pairs = list(set(pairs))
         if pairs:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], schema=_PAIRS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pairs), _PAIRS)], schema=_PAIRS)
 
     near = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "id")
-    return near.mapInArrow(work, "a long, b long").distinct()
+    found = near.mapInArrow(work, "a long, b long, share double")
+    if mode == "all":
+        return found.select("a", "b").distinct()
+    best = found.groupBy("a").agg(F.max(F.struct("share", "b")).alias("m"))
+    return best.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
 
 
 def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -301,10 +325,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def link(docs: DataFrame, percent: int = 80, sample_docs: int = SAMPLE_DOCS, slice_rows: int = SLICE) -> DataFrame:
     """A row for every row of ``docs`` (doc_id, text).
 
-    Columns: doc_id, text_hash (of the lower-cased text), n_shingles, class_id
+    Columns: doc_id, text_hash, n_shingles, class_id
     (equal sets), comp (linked classes) and component_id.
     """
-    docs = docs.select("doc_id", ascii_lower(text_of("text")).alias("_text"))
+    docs = docs.select("doc_id", text_of("text").alias("_text"))
     points = shared(_points(docs, percent, sample_docs), "points")
     classes = (points.where("n > 0").groupBy("digest")
                .agg(F.min("doc_id").alias("first"), F.min(F.struct("text_hash", "doc_id")).alias("owner"), F.any_value("n").alias("n"),
@@ -321,8 +345,9 @@ def link(docs: DataFrame, percent: int = 80, sample_docs: int = SAMPLE_DOCS, sli
             placed = rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         pairs = shared(_candidates(placed, mode, percent, slice_rows), "pairs")
         new = shared(_verified(pairs, _sets(docs, classes, pairs), percent), "linked")
-        links = new if links is None else links.union(new)
-        comps = components(links)
+        if comps is None or not new.isEmpty():
+            links = new if links is None else links.union(new)
+            comps = components(links)
     least = classes.join(comps, "id", "left").select("id", "digest", "first", F.coalesce("comp", "id").alias("comp"))
     first = least.groupBy("comp").agg(F.min("first").alias("component_id"), F.min("id").alias("_"))
     named = least.join(first, "comp").select(F.col("digest").alias("_digest"), F.col("id").alias("class_id"), "comp", "component_id")
@@ -336,7 +361,7 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
 
     Documents without words are in no group and are all kept.
     """
-    hashed = F.xxhash64(ascii_lower(text_of("text")))
+    hashed = F.xxhash64(text_of("text"))
     found = shared(link(docs, **options).where("n_shingles > 0").groupBy("doc_id", "text_hash", "comp").agg(F.count("*").alias("n")), "linked-docs")
     best = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("m"))
     first = F.col("doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("text_hash") == F.col("m.text_hash"))
