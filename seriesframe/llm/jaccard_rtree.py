@@ -8,7 +8,8 @@ similarity of at least ``percent``. The steps:
    from here on, so that copies are neither compared nor expanded.
 2. Count vectors: shingles are hashed into ``G`` groups (a power of two near a
    quarter of the set's size); the counts are a point. The overlap of two sets
-   is at most the sum of the coordinate minima. Vectors of different lengths
+   is at most the sum of the coordinate minima (with at most ``MAX_GROUPS``
+   coordinates, as a class has a row in each of its blocks). Vectors of different lengths
    are folded to the shorter.
 3. Points are searched in blocks of classes that share a prefix shingle. In
    any fixed order of all shingles, sets that link share at least l of their
@@ -47,7 +48,7 @@ from seriesframe.llm.url_cascade import _hits, _level
 WORDS = 5
 SAMPLE_DOCS = 5_000
 MAX_FREQUENT = 200_000
-MAX_GROUPS = 4096
+MAX_GROUPS = 128
 FILTER_BITS = 1 << 25
 SLICE = 4096
 LEAF = 16
@@ -207,17 +208,39 @@ def _fold(vector: np.ndarray, g: int) -> np.ndarray:
     return vector.reshape(-1, g).sum(0) if len(vector) > g else vector
 
 
-def _hopeless(rows: list, percent: int) -> bool:
-    """Whether sizes and components of a small block leave no pair."""
-    if len(rows) > 6:
-        return False
-    return not any(a[1] != b[1] and 100 * min(a[2], b[2]) >= percent * max(a[2], b[2]) for i, a in enumerate(rows) for b in rows[:i])
+def _search_leaf(rows: list, mode: str, percent: int):
+    """Candidate pairs of a block that fits in one leaf: every pair that sizes and components allow is bounded."""
+    across = rows[0][6][0] != rows[0][6][1]
+    lead = min(rows, key=lambda r: (-r[4], r[0])) if mode == "star" else None
+    best: dict = {}
+    for i, q in enumerate(rows):
+        for r in rows[:i]:
+            low, high = (q[2], r[2]) if q[2] < r[2] else (r[2], q[2])
+            if q[1] == r[1] or 100 * low < percent * high or across and q[5] == r[5] or lead is not None and lead is not q and lead is not r:
+                continue
+            v, w = counts_of(q[3]), counts_of(r[3])
+            g = min(len(v), len(w))
+            bound = min(low, int(np.minimum(_fold(v, g), _fold(w, g)).sum()))
+            if bound * (100 + percent) < percent * (low + high):
+                continue
+            share = bound / (low + high)
+            if mode == "all":
+                yield min(q[0], r[0]), max(q[0], r[0]), 0.0
+            elif mode == "star":
+                other = r if lead is q else q
+                yield other[0], lead[0], share
+            else:
+                best[q[0]] = max(best.get(q[0], (0.0, 0)), (share, r[0]))
+                best[r[0]] = max(best.get(r[0], (0.0, 0)), (share, q[0]))
+    for key, (share, other) in best.items():
+        yield key, other, share
 
 
 def _search_block(rows: list, mode: str, percent: int):
     """Candidate pairs of one block; rows are (id, comp, n, vector, central, slice, pair of slices)."""
     m = len(rows)
-    if _hopeless(rows, percent):
+    if m <= LEAF:
+        yield from _search_leaf(rows, mode, percent)
         return
     vectors = [counts_of(r[3]) for r in rows]
     count: dict = {}
@@ -262,17 +285,19 @@ def _search_block(rows: list, mode: str, percent: int):
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("share", pa.float64())])
 
 
-def _candidates(blocks: DataFrame, mode: str, percent: int, slice_rows: int) -> DataFrame:
+def _candidates(blocks: DataFrame, vectors: DataFrame, mode: str, percent: int, slice_rows: int) -> DataFrame:
     """Distinct pairs (a, b) of classes in one block and not in one component that the bound lets through.
 
-    ``blocks`` has h, id, comp, n, vector and central. Modes: ``star`` gives
+    ``blocks`` has h, id, comp, n and central, ``vectors`` id and vector. Modes: ``star`` gives
     each class its likeliest central class, ``best`` its likeliest partner,
     ``all`` every pair.
     """
-    sizes = blocks.groupBy("h").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    sizes = sizes.select("h", F.ceil(F.col("rows") / slice_rows).cast("int").alias("slices"))
-    dealt = blocks.join(sizes, "h").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
-    dealt = dealt.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(
+    sizes = blocks.groupBy("h").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
+    sizes = sizes.where((F.col("lo") != F.col("hi")) & ((F.col("rows") > 2) | (100 * F.col("least") >= percent * F.col("most"))))
+    dealt = blocks.join(sizes.select("h", F.ceil(F.col("rows") / slice_rows).cast("int").alias("slices")), "h")
+    dealt = dealt.withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+    dealt = dealt.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    near = dealt.join(vectors, "id").select(
         "h", F.least("slice", "t").alias("i"), F.greatest("slice", "t").alias("j"), "id", "comp", "n", "vector", "central", "slice")
 
     def work(batches):
@@ -292,7 +317,7 @@ def _candidates(blocks: DataFrame, mode: str, percent: int, slice_rows: int) ->
         if pairs:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pairs), _PAIRS)], schema=_PAIRS)
 
-    near = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "id")
+    near = near.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "id")
     found = near.mapInArrow(work, "a long, b long, share double")
     if mode == "all":
         return found.select("a", "b").distinct()
@@ -335,15 +360,16 @@ def link(docs: DataFrame, percent: int = 80, sample_docs: int = SAMPLE_DOCS, sli
                     F.any_value("vector").alias("vector"), F.any_value("prefix").alias("prefix")))
     classes = shared(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     blocks = _blocks(classes, percent)
-    central = blocks.groupBy("id").agg(F.count("*").alias("shares")).join(classes.select("id", "n", "vector"), "id")
-    rows = blocks.join(central.select("id", "n", "vector", (F.col("shares") / F.col("n")).alias("central")), "id")
+    central = blocks.groupBy("id").agg(F.count("*").alias("shares")).join(classes.select("id", "n"), "id")
+    rows = blocks.join(central.select("id", "n", (F.col("shares") / F.col("n")).alias("central")), "id")
+    rows = shared(rows, "block-rows")
     links, comps = None, None
     for mode in ("star", "best", "all"):
         if comps is None:
             placed = rows.withColumn("comp", F.col("id"))
         else:
             placed = rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        pairs = shared(_candidates(placed, mode, percent, slice_rows), "pairs")
+        pairs = shared(_candidates(placed, classes.select("id", "vector"), mode, percent, slice_rows), "pairs")
         new = shared(_verified(pairs, _sets(docs, classes, pairs), percent), "linked")
         if comps is None or not new.isEmpty():
             links = new if links is None else links.union(new)
