@@ -21,9 +21,10 @@ similarity of at least ``percent``. The steps:
 4. In a block, an R-tree over the points (bounding boxes of counts, sizes and
    component) prunes by the summed minima; pairs that survive are verified on
    the whole sets. Rounds: first every class against the block's most central
-   class, then each against its best candidate outside its component, and then
-   against all that are left outside. Pairs inside a component are never
-   needed, so a group of near copies costs about as many pairs as classes.
+   class, then against all outside its component; where those are more pairs
+   than classes, each class is first joined with its best candidate. Pairs
+   inside a component are never needed, so a group of near copies costs about
+   as many pairs as classes.
 
 Blocks larger than ``SLICE`` are dealt to several tasks by pairs of slices.
 Everything between the steps is written to the shared folder.
@@ -159,19 +160,19 @@ def _points(docs: DataFrame, percent: int, sample_docs: int) -> DataFrame:
 
 
 def _blocks(classes: DataFrame, percent: int) -> DataFrame:
-    """``h``, ``id``: classes that share a prefix shingle and enough of them to have a partner."""
+    """``h``, ``id``, ``pos``: classes that share a prefix shingle and enough of them to have a partner."""
     spark = classes.sparkSession
     own = lambda: {"_h1": F.xxhash64(F.lit(3), F.col("h")), "_h2": F.xxhash64(F.lit(4), F.col("h"))}
-    signs = classes.select("id", F.explode("prefix").alias("h"))
+    signs = classes.select("id", F.posexplode("prefix").alias("pos", "h"))
     many = shared(signs.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "shared-shingles")
     bits = min(FILTER_BITS, max(64, -(-many.count() * 10 // 64) * 64))
     bloom = shared(_level(many.select("h").withColumns(own()), 1, bits, 4), "shared-filter")
-    near = signs.withColumns(own()).where(_hits(bloom.select("words").scalar(), bits, 4)).select("h", "id")
+    near = signs.withColumns(own()).where(_hits(bloom.select("words").scalar(), bits, 4)).select("h", "id", "pos")
     out = shared(near.join(many, "h"), "blocks")
     need = 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 10)
     for _ in range(2):
         enough = out.groupBy("id").agg(F.count("*").alias("shares")).join(classes.select("id", "n"), "id").where(F.col("shares") >= need)
-        left = out.join(enough.select("id"), "id", "left_semi").select("h", "id")
+        left = out.join(enough.select("id"), "id", "left_semi").select("h", "id", "pos")
         several = left.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
         out = shared(left.join(several, "h"), "blocks")
     return out
@@ -213,12 +214,16 @@ def _search_leaf(rows: list, mode: str, percent: int):
     across = rows[0][6][0] != rows[0][6][1]
     lead = min(rows, key=lambda r: (-r[4], r[0])) if mode == "star" else None
     best: dict = {}
+    known: dict = {}
     for i, q in enumerate(rows):
         for r in rows[:i]:
             low, high = (q[2], r[2]) if q[2] < r[2] else (r[2], q[2])
             if q[1] == r[1] or 100 * low < percent * high or across and q[5] == r[5] or lead is not None and lead is not q and lead is not r:
                 continue
-            v, w = counts_of(q[3]), counts_of(r[3])
+            for x in (q, r):
+                if x[0] not in known:
+                    known[x[0]] = counts_of(x[3])
+            v, w = known[q[0]], known[r[0]]
             g = min(len(v), len(w))
             bound = min(low, int(np.minimum(_fold(v, g), _fold(w, g)).sum()))
             if bound * (100 + percent) < percent * (low + high):
@@ -362,14 +367,16 @@ def link(docs: DataFrame, percent: int = 80, sample_docs: int = SAMPLE_DOCS, sli
     blocks = _blocks(classes, percent)
     central = blocks.groupBy("id").agg(F.count("*").alias("shares")).join(classes.select("id", "n"), "id")
     rows = blocks.join(central.select("id", "n", (F.col("shares") / F.col("n")).alias("central")), "id")
-    rows = shared(rows, "block-rows")
-    links, comps = None, None
-    for mode in ("star", "best", "all"):
-        if comps is None:
-            placed = rows.withColumn("comp", F.col("id"))
-        else:
-            placed = rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    # the count is known to suffice, so the search needs the prefix for one shared shingle only
+    plain = F.col("pos") < F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    rows = shared(rows.where(plain).drop("pos"), "block-rows")
+    links, comps, plan = None, None, ["star", "all"]
+    for mode in plan:
+        placed = rows.withColumn("comp", F.col("id")) if comps is None else rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         pairs = shared(_candidates(placed, classes.select("id", "vector"), mode, percent, slice_rows), "pairs")
+        if mode == "all" and "best" not in plan and pairs.count() > central.count():
+            plan += ["best", "all"]  # many pairs are left: first join what the likeliest of them join
+            continue
         new = shared(_verified(pairs, _sets(docs, classes, pairs), percent), "linked")
         if comps is None or not new.isEmpty():
             links = new if links is None else links.union(new)
