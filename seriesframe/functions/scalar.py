@@ -13,7 +13,12 @@ from pyspark.sql import functions as F
 from seriesframe import schema as S
 
 DATE_FORMATS = ["yyyy-M-d", "yyyy/M/d", "yyyy-M-d H:m:s", "yyyy/M/d H:m:s",
-                "d/M/yyyy", "M/d/yyyy"]
+                "M/d/yyyy", "d/M/yyyy"]
+#: Whole texts that are dates (with or without a time) and numbers; casts alone
+#: also take texts with a date in front and numbers with a type letter.
+ISO_DATE = (r"^\s*\d{4}(-\d{1,2}(-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?"
+            r"\s*(Z|UTC|[+-]\d{2}:?\d{2})?)?)?)?\s*$")
+NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\s*$|^\s*[+-]?inf(inity)?\s*$"
 
 
 def _c(col) -> Column:
@@ -27,7 +32,8 @@ def nan_to_null(col) -> Column:
 
 def to_numeric(col) -> Column:
     """Cast to double; unparsable text, NaN and blanks become NULL."""
-    return nan_to_null(_c(col).try_cast("double"))
+    c = _c(col)
+    return nan_to_null(F.when(c.cast("string").rlike(NUMBER), c.try_cast("double")))
 
 
 def blank_to_null(col) -> Column:
@@ -37,10 +43,14 @@ def blank_to_null(col) -> Column:
 
 
 def to_date_safe(col) -> Column:
-    """Parse a date from text or timestamp; bad values become NULL."""
+    """Parse a date from text or timestamp; bad values become NULL.
+
+    The whole text must be a date; ``3/4/2024`` is the fourth of March, and the
+    day comes first only where the month could not.
+    """
     c = _c(col).cast("string")
     parsed = [F.try_to_timestamp(c, F.lit(fmt)) for fmt in DATE_FORMATS]
-    return F.coalesce(_c(col).try_cast("date"), *[p.cast("date") for p in parsed])
+    return F.coalesce(F.when(c.rlike(ISO_DATE), _c(col).try_cast("date")), *[p.cast("date") for p in parsed])
 
 
 def np_round(col, digits: int = 2) -> Column:

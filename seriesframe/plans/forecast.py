@@ -1,8 +1,7 @@
 """Scoring and persistence.
 
-The forecast reads only the tail of each series that the features need
-(``tail_days``, a date filter pushed into the parquet scan), builds the
-features, keeps each series' latest complete row and scores it.
+The forecast builds the
+features over the whole series, keeps each series' latest complete row and scores it.
 """
 
 from __future__ import annotations
@@ -20,15 +19,12 @@ from seriesframe.operators import windows as WN
 from seriesframe.plans import learn as L
 
 
-def forecast(models: dict, series: DataFrame, features, keys=(), tail_days: int | None = None):
+def forecast(models: dict, series: DataFrame, features, keys=()):
     """Next-day values of the 12 targets from the latest complete row, with
-    AQI, main pollutant and health band (J6)."""
+    AQI, main pollutant and health band (J6). Lags count rows, so the whole
+    series is read; series without a complete row are in ``unscorable``."""
     keys = list(keys)
-    d = series
-    if tail_days is not None:
-        hw = series.groupBy(*keys).agg(F.max("Date").alias("_hw"))
-        d = _tail(d, hw, keys, tail_days)
-    feats = R.drop_incomplete(WN.create_all_features(d, keys=keys))
+    feats = R.drop_incomplete(WN.create_all_features(series, keys=keys))
     last = R.latest_row(feats, keys)
     aligned = R.align_features(last, features, keep=keys + ["Date"])
     pred = L.predict(models, aligned, features)
@@ -36,10 +32,13 @@ def forecast(models: dict, series: DataFrame, features, keys=(), tail_days: int
     return A.with_aqi(out, keep_sub_indices=False)
 
 
-def _tail(d, hw, keys, tail_days):
-    from seriesframe.operators import stats as ST
-    x = ST.attach(d, hw, keys)
-    return x.where(F.col("Date") > F.date_sub(F.col("_hw"), tail_days)).drop("_hw")
+def unscorable(series: DataFrame, keys) -> DataFrame:
+    """Keys, rows and days of the series that no complete feature row can score."""
+    keys = list(keys)
+    done = R.drop_incomplete(WN.create_all_features(series, keys=keys)).select(*keys).distinct()
+    every = series.groupBy(*keys).agg(F.count("*").alias("rows"), F.min("Date").alias("first_day"),
+                                      F.max("Date").alias("last_day"))
+    return every.join(done, keys, "left_anti")
 
 
 def forecast_report(pred: DataFrame, spark, keys=()):

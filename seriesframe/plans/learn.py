@@ -109,7 +109,8 @@ def train_forest(train_df, features, targets=S.TARGETS, params=None, seed=42, th
                  assembled=False):
     """One ``RandomForestRegressor`` per target (K4), fitted side by side."""
     p = {**DEFAULT_FOREST, **(params or {})}
-    p["maxDepth"] = min(int(p["maxDepth"]), 30)
+    if int(p["maxDepth"]) > 30:
+        raise ValueError("maxDepth: at most 30 is supported")
     data = train_df if assembled else assemble(train_df, features)
     # every fit makes several passes: keep the assembled rows once instead of
     # re-running the feature plan per pass and per target

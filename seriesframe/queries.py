@@ -661,7 +661,7 @@ register("rows_from_pages", r"""
 SELECT page_id, CAST(row_no AS INTEGER) AS row_no, array_to_string(cells, '|') AS cells FROM (
   SELECT page_id, generate_subscripts(items, 1) - 1 AS row_no, unnest(items) AS item,
          regexp_extract_all(unnest(items), '<a [^>]*>(.*?)</a>', 1) AS cells
-  FROM (SELECT page_id, regexp_extract_all(html, '<li>(.*?)</li>', 1)[3:10] AS items FROM pages) p_
+  FROM (SELECT page_id, regexp_extract_all(html, '<li>(.*?)</li>', 1) AS items FROM pages) p_
 ) x_ WHERE len(cells) > 0""")(_page_rows)
 
 
@@ -760,7 +760,7 @@ def _forest_importance(spark, d):
 
 def _forest_report(spark, d):
     models, names, _ = _forest(spark, d)
-    pred = FC.forecast(models, _series(spark, d), names, tail_days=120)
+    pred = FC.forecast(models, _series(spark, d), names)
     return FC.forecast_report(pred, spark)
 
 

@@ -8,8 +8,8 @@ the parquet scan.
 
 from __future__ import annotations
 
-import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,24 +60,22 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, fmt: str
     """Missing history becomes an empty typed table (A5)."""
     fmt = fmt or _fmt(path)
     try:
-        if path.startswith("/") and not os.path.exists(path):
-            return spark.createDataFrame([], schema)
         return spark.read.format(fmt).schema(schema).load(path) if fmt != "csv" else \
             spark.read.option("header", True).schema(schema).csv(path)
-    except Exception as e:  # noqa: BLE001 - only "path does not exist"
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
-            return spark.createDataFrame([], schema)
-        raise
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def rows_from_pages(pages: DataFrame, row_pattern: str = r"(?s)<li>(.*?)</li>",
-                    cell_pattern: str = r"(?s)<a [^>]*>(.*?)</a>", skip: int = 2,
-                    take: int = 8, key: str = "page_id") -> DataFrame:
+                    cell_pattern: str = r"(?s)<a [^>]*>(.*?)</a>", skip: int = 0,
+                    take: int | None = None, key: str = "page_id") -> DataFrame:
     """Rows of stored HTML pages (A4, re-aimed crawl): keep row elements
-    ``skip+1 .. skip+take`` of each page, take their cells, and drop rows
+    ``skip+1 .. skip+take`` of each page (all by default), take their cells, and drop rows
     whose cells cannot be read. Output: ``key, row_no, cells``."""
     rows = F.regexp_extract_all(F.col("html"), F.lit(row_pattern), 1)
-    kept = F.slice(rows, skip + 1, take)
+    kept = F.slice(rows, F.lit(skip + 1), F.size(rows) if take is None else F.lit(take))
     exploded = pages.select(key, F.posexplode(kept).alias("row_no", "row_html"))
     cells = F.regexp_extract_all(F.col("row_html"), F.lit(cell_pattern), 1)
     return exploded.select(key, "row_no", cells.alias("cells")).where(F.size("cells") > 0)

@@ -2,47 +2,91 @@
 
 The original pipeline has no streaming; its updates are batch increments
 behind a high-water mark. ``start_update_stream`` runs the same update for
-every micro-batch of newly landed files: ``foreachBatch`` processes the new
-rows, keeps only days after the stored high-water mark and appends them to
-the target table. Progress (which files were consumed) lives in the
-checkpoint location, so a restarted query resumes without re-reading.
+every micro-batch of newly landed files. The mark is taken once, when the run
+starts: days up to it are late and are not stored, all newer days are, in
+whatever batch they come. Within a run, a day that an earlier batch has stored
+is not stored again. So the result does not depend on how the files are dealt
+to batches. Progress (which files were consumed) lives in the checkpoint
+location, so a restarted query resumes without re-reading.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seriesframe import schema as S
 from seriesframe.operators import relational as R
-from seriesframe.session import scratch_path
+from seriesframe.operators import stats as ST
 
 
-def append_new_days(batch: DataFrame, target_path: str, keys=(), fmt: str = "parquet") -> int:
-    """Append the rows of ``batch`` that are newer than the stored table (B9 + G1)."""
-    spark = batch.sparkSession
+def _stored(spark: SparkSession, path: str, fmt: str) -> DataFrame | None:
     try:
-        stored = spark.read.format(fmt).load(target_path)
-        new = R.newer_than(batch, stored, keys)
-    except Exception as e:  # noqa: BLE001 - first batch: no table yet
-        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e):
+        return spark.read.format(fmt).load(path)
+    except AnalysisException as e:  # no table yet
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        new = batch
+        return None
+
+
+def _same(keys) -> list[str]:
+    return [*keys, S.DATE]
+
+
+def append_new_days(batch: DataFrame, target_path: str, keys=(), fmt: str = "parquet",
+                    mark: DataFrame | None = None, late_path: str | None = None) -> None:
+    """Append the days of ``batch`` after the mark that are not stored yet (B9 + G1).
+
+    ``mark`` has the newest stored day of each series when the run began (the
+    stored table itself by default). Late days that are not stored are written
+    to ``late_path`` where that is given.
+    """
+    stored = _stored(batch.sparkSession, target_path, fmt)
+    mark = stored if mark is None else mark
+    batch = batch.where(F.col(S.DATE).isNotNull())
+    new = batch if mark is None else R.newer_than(batch, mark, keys)
+    if stored is not None:
+        new = _not_in(new, stored, keys)
+    if late_path and mark is not None:
+        newest = mark.groupBy(*keys).agg(F.max(S.DATE).alias("_hw"))
+        late = ST.attach(batch, newest, list(keys)).where(F.col(S.DATE) <= F.col("_hw")).drop("_hw")
+        (late if stored is None else _not_in(late, stored, keys)).write.mode("append").format(fmt).save(late_path)
     new.write.mode("append").format(fmt).save(target_path)
-    return 0
+
+
+def _not_in(rows: DataFrame, stored: DataFrame, keys) -> DataFrame:
+    """Rows whose series and day are not stored; null keys are equal."""
+    other = stored.select(*[F.col(c).alias(f"_{c}") for c in _same(keys)]).distinct()
+    on = F.lit(True)
+    for c in _same(keys):
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rows.join(other, on, "left_anti")
 
 
 def start_update_stream(spark: SparkSession, source: DataFrame, process, target_path: str,
-                        keys=(), checkpoint: str | None = None, trigger_once: bool = True):
-    """Start a streaming query: ``process(batch_df) -> daily rows`` then append
-    the new days to ``target_path``. ``source`` is a ``readStream`` DataFrame."""
-    ckpt = checkpoint or scratch_path(spark, "update-stream")
+                        checkpoint: str, keys=(), trigger_once: bool = True, late_path: str | None = None):
+    """Start a streaming query: ``process(batch_df) -> daily rows``, then append
+    the new days to ``target_path``. ``source`` is a ``readStream`` DataFrame,
+    ``checkpoint`` a folder that all executors share and no other stream uses."""
+    stored = _stored(spark, target_path, "parquet")
+    mark = None
+    if stored is not None:  # as a table of its own: the target changes during the run
+        mark_path = f"{checkpoint.rstrip('/')}-mark-{uuid.uuid4().hex}"
+        stored.groupBy(*keys).agg(F.max(S.DATE).alias(S.DATE)).write.parquet(mark_path)
+        mark = spark.read.parquet(mark_path)
+    else:
+        mark = spark.createDataFrame([], source.select(*keys, F.lit(None).cast("date").alias(S.DATE)).schema) if keys \
+            else spark.createDataFrame([], f"{S.DATE} date")
 
     def run(batch_df, epoch_id):
         if batch_df.isEmpty():
             return  # an empty batch leaves the table unchanged
-        append_new_days(process(batch_df), target_path, keys)
+        append_new_days(process(batch_df), target_path, keys, mark=mark, late_path=late_path)
 
-    w = source.writeStream.foreachBatch(run).option("checkpointLocation", ckpt)
+    w = source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if trigger_once else w
     return w.start()
 

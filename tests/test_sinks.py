@@ -23,6 +23,7 @@ def test_write_read_series_and_empty(spark):
     assert back_csv.select(*df.columns).exceptAll(df).count() == 0
     empty = RD.read_or_empty(spark, base + "/missing", S.POLLUTANT_SCHEMA)
     assert empty.count() == 0 and empty.columns == S.POLLUTANT_SCHEMA.names
+    assert RD.read_or_empty(spark, base + "/fin*l", df.schema).count() == 10
 
 
 def test_model_roundtrip_and_metrics(spark):

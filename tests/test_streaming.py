@@ -27,3 +27,26 @@ def test_stream_append_is_idempotent(spark):
     q2.awaitTermination()
     assert spark.read.parquet(target).count() == n1
     assert spark.read.parquet(target).where(F.col("Date").isNull()).count() == 0
+
+
+def _run(spark, days_by_file, max_files, stored=()):
+    import datetime as dt
+    base = tempfile.mkdtemp(prefix="sf-batches-")
+    rows = lambda days: spark.createDataFrame([(dt.date(2024, 1, 1) + dt.timedelta(days=d), float(d)) for d in days], "Date date, v double")
+    if stored:
+        rows(stored).write.parquet(base + "/t")
+    for days in days_by_file:  # landed one after another
+        rows(days).coalesce(1).write.mode("append").parquet(base + "/in")
+    src = INC.landed_rows_stream(spark, base + "/in", "Date date, v double", max_files=max_files)
+    INC.start_update_stream(spark, src, lambda b: b.select("Date", "v"), base + "/t", base + "/ck", late_path=base + "/late").awaitTermination()
+    late = spark.read.parquet(base + "/late").count() if stored else 0
+    return sorted(r.v for r in spark.read.parquet(base + "/t").collect()), late
+
+
+def test_result_does_not_depend_on_batches(spark):
+    files = [range(10, 20), range(0, 10), range(5, 12)]
+    for max_files in (1, 100):
+        days, _ = _run(spark, files[:2], max_files)
+        assert days == [float(d) for d in range(20)]
+        days, late = _run(spark, files[:2], max_files, stored=(2, 3))
+        assert days == [float(d) for d in range(2, 20)] and late == 2
