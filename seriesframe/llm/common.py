@@ -36,9 +36,3 @@ def ascii_lower(c: Column) -> Column:
 
 def text_of(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows evenly, without a key."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n)
