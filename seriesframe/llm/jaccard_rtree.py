@@ -65,20 +65,53 @@ def least_overlap(n, percent: int):
 _PLAIN = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-class WordHashes(dict):
-    """64-bit hash of each word seen."""
+CHUNK = 1 << 18
+_BYTES = np.random.default_rng(5).integers(0, 2**64, 256, np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+
+def _powers(base: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(CHUNK, base, np.uint64)]))
 
 
-def shingle_set(text: str, cache: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of a text, its A-Z lower-cased."""
-    words = list(filter(None, text.encode().translate(_PLAIN).split(b" ")))
-    if not words:
+_POWERS, _INVERSE = _powers(int(_M1)), _powers(pow(int(_M1), -1, 1 << 64))
+
+
+def _chunk_hashes(chunk: bytes) -> np.ndarray:
+    """Hash of each word: its bytes as digits of a number to the base ``_M1``, taken from running sums."""
+    b = np.frombuffer(chunk, np.uint8)
+    edge = np.flatnonzero(np.diff(b != 32, prepend=False, append=False))
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[b] * _POWERS[:len(b)])])
+        return (sums[end] - sums[start]) * _INVERSE[start]
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hash of each word of a text with plain separators, in chunks cut between words.
+
+    A word longer than a chunk is hashed by itself.
+    """
+    found, at = [], 0
+    while at < len(data):
+        end = len(data) if len(data) - at <= CHUNK else data.rfind(b" ", at, at + CHUNK + 1)
+        if end >= 0:
+            found.append(_chunk_hashes(data[at:end]))
+        else:
+            end = data.find(b" ", at)
+            end = len(data) if end < 0 else end
+            found.append(np.array([xxhash.xxh3_64_intdigest(data[at:end])], np.uint64))
+        at = end + 1
+    return found[0] if len(found) == 1 else np.concatenate([np.empty(0, np.uint64), *found])
+
+
+def shingle_set(text: str) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a text, its A-Z lower-cased."""
+    h = word_hashes(text.encode().translate(_PLAIN))
+    if not len(h):
+        return h
     size = min(WORDS, len(h))
     mixed = np.full(len(h) - size + 1, size if size < WORDS else 0, np.uint64)
     with np.errstate(over="ignore"):
@@ -87,7 +120,8 @@ def shingle_set(text: str, cache: WordHashes) -> np.ndarray:
             mixed ^= mixed >> np.uint64(29)
         mixed *= _M2
         mixed ^= mixed >> np.uint64(32)
-    return np.unique(mixed)
+    mixed.sort()
+    return mixed[np.concatenate([np.ones(1, bool), mixed[1:] != mixed[:-1]])]
 
 
 def groups_of(n: int) -> int:
@@ -115,16 +149,13 @@ def _prefix(shingles: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndar
 
 
 def _python(docs: DataFrame, schema: str, arrow: pa.Schema, make) -> DataFrame:
-    """Rows made of each text by ``make(row id, text, cache)``."""
+    """Rows made of each text by ``make(row id, text)``."""
 
     def work(batches):
-        cache = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = [r for key, text in zip(part.column(0), part.column(1)) for r in make(key.as_py(), text.as_py() or "", cache)]
-                if len(cache) > 500_000:
-                    cache.clear()
+                rows = [r for key, text in zip(part.column(0), part.column(1)) for r in make(key.as_py(), text.as_py() or "")]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
@@ -136,7 +167,7 @@ def _frequent(docs: DataFrame, sample_docs: int) -> np.ndarray:
     total = docs.count()
     step = max(1, total // max(1, sample_docs))
     sample = docs.where(F.pmod(F.xxhash64("doc_id", "_text"), F.lit(step)) == 0).select("doc_id", "_text")
-    found = _python(sample, "h array<long>", pa.schema([("h", pa.list_(pa.int64()))]), lambda _, t, c: [(shingle_set(t, c).view(np.int64),)])
+    found = _python(sample, "h array<long>", pa.schema([("h", pa.list_(pa.int64()))]), lambda _, t: [(shingle_set(t).view(np.int64),)])
     top = (found.select(F.explode("h").alias("h")).groupBy("h").count().where("count >= 3")
            .orderBy(F.desc("count"), "h").limit(MAX_FREQUENT).select("h").collect())
     return np.sort(np.array([r.h for r in top], np.int64).view(np.uint64))
@@ -148,8 +179,8 @@ def _points(docs: DataFrame, percent: int, sample_docs: int) -> DataFrame:
     arrow = pa.schema([("doc_id", docs.schema["doc_id"].dataType.simpleString() == "int" and pa.int32() or pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()),
                        ("digest", pa.binary()), ("vector", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
-    def make(key, text, cache):
-        s = shingle_set(text, cache)
+    def make(key, text):
+        s = shingle_set(text)
         if not len(s):
             return [(key["doc_id"], key["text_hash"], 0, None, None, None)]
         return [(key["doc_id"], key["text_hash"], len(s), xxhash.xxh3_128_digest(s.tobytes()), count_vector(s).tobytes(), _prefix(s, frequent.value, percent).view(np.int64))]
@@ -341,7 +372,7 @@ def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = texts.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_text")
     held = owners.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("id", "_text").dropDuplicates(["id"])
     arrow = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
-    return _python(held, "id long, shingles array<long>", arrow, lambda key, text, cache: [(key, shingle_set(text, cache).view(np.int64))])
+    return _python(held, "id long, shingles array<long>", arrow, lambda key, text: [(key, shingle_set(text).view(np.int64))])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
