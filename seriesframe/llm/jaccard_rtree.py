@@ -36,6 +36,8 @@ are their own component. Repeated and null ids are rows of their own;
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -53,6 +55,7 @@ MAX_GROUPS = 128
 FILTER_BITS = 1 << 25
 SLICE = 4096
 LEAF = 16
+SCAN = 128
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -240,34 +243,67 @@ def _fold(vector: np.ndarray, g: int) -> np.ndarray:
     return vector.reshape(-1, g).sum(0) if len(vector) > g else vector
 
 
+FEW = 6
+
+
+def _bounds(rows: list, pairs: list) -> list:
+    """The bound on the overlap for each (i, j) of ``pairs``, by vectors folded to the shorter of the two."""
+    out = [min(rows[i][2], rows[j][2]) for i, j in pairs]
+    if len(pairs) <= FEW:
+        known = {i: counts_of(rows[i][3]) for i in set(sum(pairs, ()))}
+        for k, (i, j) in enumerate(pairs):
+            g = min(len(known[i]), len(known[j]))
+            out[k] = min(out[k], int(np.minimum(_fold(known[i], g), _fold(known[j], g)).sum()))
+        return out
+    place, by_length, by_lengths, folded = [], {}, {}, {}
+    for r in rows:
+        place.append(len(by_length.setdefault(len(r[3]), [])))
+        by_length[len(r[3])].append(r[3])
+    for k, (i, j) in enumerate(pairs):
+        by_lengths.setdefault((len(rows[i][3]), len(rows[j][3])), []).append(k)
+    for both, ks in by_lengths.items():
+        g = min(both)
+        for n in both:
+            if (n, g) not in folded:
+                folded[n, g] = counts_of(b"".join(by_length[n])).reshape(-1, n // g, g).sum(1)
+        for at in range(0, len(ks), 4096):
+            part = ks[at:at + 4096]
+            left, right = (folded[n, g][[place[pairs[k][side]] for k in part]] for side, n in enumerate(both))
+            for k, v in zip(part, np.minimum(left, right).sum(1).tolist()):
+                out[k] = min(out[k], v)
+    return out
+
+
 def _search_leaf(rows: list, mode: str, percent: int):
-    """Candidate pairs of a block that fits in one leaf: every pair that sizes and components allow is bounded."""
+    """Candidate pairs of a block of up to ``SCAN`` rows, a tree of one leaf: every pair that sizes and components allow is bounded.
+
+    ``star`` has one query only, so it scans a block of any size this way.
+    """
     across = rows[0][6][0] != rows[0][6][1]
-    lead = min(rows, key=lambda r: (-r[4], r[0])) if mode == "star" else None
+
+    def fits(q, r):
+        low, high = (q[2], r[2]) if q[2] < r[2] else (r[2], q[2])
+        return q[1] != r[1] and 100 * low >= percent * high and not (across and q[5] == r[5])
+
+    m = len(rows)
+    if mode == "star":
+        lead = min(range(m), key=lambda i: (-rows[i][4], rows[i][0]))
+        pairs = [(i, lead) for i in range(m) if fits(rows[i], rows[lead])]
+    else:
+        pairs = [(i, j) for i in range(m) for j in range(i) if fits(rows[i], rows[j])]
     best: dict = {}
-    known: dict = {}
-    for i, q in enumerate(rows):
-        for r in rows[:i]:
-            low, high = (q[2], r[2]) if q[2] < r[2] else (r[2], q[2])
-            if q[1] == r[1] or 100 * low < percent * high or across and q[5] == r[5] or lead is not None and lead is not q and lead is not r:
-                continue
-            for x in (q, r):
-                if x[0] not in known:
-                    known[x[0]] = counts_of(x[3])
-            v, w = known[q[0]], known[r[0]]
-            g = min(len(v), len(w))
-            bound = min(low, int(np.minimum(_fold(v, g), _fold(w, g)).sum()))
-            if bound * (100 + percent) < percent * (low + high):
-                continue
-            share = bound / (low + high)
-            if mode == "all":
-                yield min(q[0], r[0]), max(q[0], r[0]), 0.0
-            elif mode == "star":
-                other = r if lead is q else q
-                yield other[0], lead[0], share
-            else:
-                best[q[0]] = max(best.get(q[0], (0.0, 0)), (share, r[0]))
-                best[r[0]] = max(best.get(r[0], (0.0, 0)), (share, q[0]))
+    for (i, j), bound in zip(pairs, _bounds(rows, pairs)):
+        q, r = rows[i], rows[j]
+        if bound * (100 + percent) < percent * (q[2] + r[2]):
+            continue
+        share = bound / (q[2] + r[2])
+        if mode == "all":
+            yield min(q[0], r[0]), max(q[0], r[0]), 0.0
+        elif mode == "star":
+            yield q[0], r[0], share
+        else:
+            best[q[0]] = max(best.get(q[0], (0.0, 0)), (share, r[0]))
+            best[r[0]] = max(best.get(r[0], (0.0, 0)), (share, q[0]))
     for key, (share, other) in best.items():
         yield key, other, share
 
@@ -275,7 +311,7 @@ def _search_leaf(rows: list, mode: str, percent: int):
 def _search_block(rows: list, mode: str, percent: int):
     """Candidate pairs of one block; rows are (id, comp, n, vector, central, slice, pair of slices)."""
     m = len(rows)
-    if m <= LEAF:
+    if m <= SCAN or mode == "star":
         yield from _search_leaf(rows, mode, percent)
         return
     vectors = [counts_of(r[3]) for r in rows]
@@ -288,15 +324,10 @@ def _search_block(rows: list, mode: str, percent: int):
     slices = np.array([r[5] for r in rows], np.int64)
     across = rows[0][6][0] != rows[0][6][1]
     lengths = np.array([len(v) for v in vectors])
-    if mode == "star":
-        lead = min(range(m), key=lambda i: (-rows[i][4], rows[i][0]))
-        wanted = [lead]
-    else:
-        wanted = range(m)
     trees: dict = {}
-    for q in wanted:
+    for q in range(m):
         g = lengths[q]
-        lo = 0 if mode == "star" else int(np.searchsorted(lengths, g))
+        lo = int(np.searchsorted(lengths, g))
         step = min(int(lengths[lo]), int(g))
         if (lo, step) not in trees:
             trees[lo, step] = Tree(np.stack([_fold(v, step) for v in vectors[lo:]]), sizes[lo:], comps[lo:])
@@ -309,9 +340,7 @@ def _search_block(rows: list, mode: str, percent: int):
             keep &= slices[at] != slices[q]
         at, bound = at[keep], bound[keep]
         share = bound / (sizes[at] + sizes[q])
-        if mode == "star":
-            yield from zip(ids[at].tolist(), [int(ids[q])] * len(at), share.tolist())
-        elif mode == "best" and len(at):
+        if mode == "best" and len(at):
             top = int(np.argmax(share))
             yield int(ids[q]), int(ids[at[top]]), float(share[top])
         elif mode == "all":
@@ -336,22 +365,22 @@ def _candidates(blocks: DataFrame, vectors: DataFrame, mode: str, percent: int,
     near = dealt.join(vectors, "id").select(
         "h", F.least("slice", "t").alias("i"), F.greatest("slice", "t").alias("j"), "id", "comp", "n", "vector", "central", "slice")
 
-    def work(batches):
+    def found_in(batches):
         key, rows = None, []
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns)):
                 if r[:3] != key:
                     if len(rows) > 1:
-                        yield from _made(_search_block(rows, mode, percent))
+                        yield from _search_block(rows, mode, percent)
                     key, rows = r[:3], []
                 rows.append((r[3], r[4], r[5], r[6], r[7], r[8], r[1:3]))
         if len(rows) > 1:
-            yield from _made(_search_block(rows, mode, percent))
+            yield from _search_block(rows, mode, percent)
 
-    def _made(pairs):
-        pairs = list(set(pairs))
-        if pairs:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*pairs), _PAIRS)], schema=_PAIRS)
+    def work(batches):
+        pairs = found_in(batches)
+        while part := list(islice(pairs, 1 << 14)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*set(part)), _PAIRS)], schema=_PAIRS)
 
     near = near.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "id")
     found = near.mapInArrow(work, "a long, b long, share double")

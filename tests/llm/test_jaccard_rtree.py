@@ -62,11 +62,12 @@ def test_empty_table(spark):
     assert J.link(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_bound_and_tree():
+@pytest.mark.parametrize("docs, times", [(60, 20), (J.SCAN + 40, 3)])
+def test_bound_and_tree(docs, times):
     rng = np.random.default_rng(0)
-    for _ in range(20):
+    for _ in range(times):
         base = rng.integers(0, 2**63, 300).astype(np.uint64)
-        sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(180, 290), False), rng.integers(0, 2**63, rng.integers(0, 60)).astype(np.uint64)])) for _ in range(60)]
+        sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(180, 290), False), rng.integers(0, 2**63, rng.integers(0, 60)).astype(np.uint64)])) for _ in range(docs)]
         rows = [(i, i % 7, len(s), J.count_vector(s).tobytes(), 0.0, 0, (0, 0)) for i, s in enumerate(sets)]
         got = {p[:2] for p in J._search_block(rows, "all", 80)}
         for i, a in enumerate(sets):
@@ -76,6 +77,16 @@ def test_bound_and_tree():
                     assert (j, i) in got
 
 
+def test_word_hashes():
+    """Equal words have equal hashes wherever they stand, in a chunk, across chunks and longer than one."""
+    words = ["ab", "ba", "b", "x" * (J.CHUNK + 5), "y" * J.CHUNK, "ab"] + ["w", "ww", "é"] * 200_000 + ["ab", "ba"]
+    data = ("  " + "  ".join(words) + " ").encode()
+    found = J.word_hashes(data).tolist()
+    assert len(found) == len(words)
+    assert len(set(zip(words, found))) == len(set(words)) == len(set(found))
+    assert len(J.word_hashes(b"")) == len(J.word_hashes(b"   ")) == 0
+
+
 def test_one_row_of_each_group_stays(spark):
     text = " ".join(f"w{i}" for i in range(40))
     near = text + " more"
