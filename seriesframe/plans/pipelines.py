@@ -53,16 +53,21 @@ def process_pollutants(new_raw: DataFrame, history: DataFrame | None = None, now
 
 
 def process_weather(rows: DataFrame, keys=(), seasonal_above=S.WEATHER_SEASONAL_ABOVE,
-                    context: DataFrame | None = None, persist: str = "checkpoint") -> DataFrame:
+                    context: DataFrame | None = None, persist: str = "checkpoint",
+                    after: DataFrame | None = None) -> DataFrame:
     """Clean sub-daily weather rows into an imputed daily table.
 
     B6, B4, B7, B8, B3, B5, I4 (domain or clamp, IQR 3 on the rows), D7
     (daily mean, 2 decimals), I7 + I5 (seasonal above 20 % missing, else
     time interpolation). ``context`` (optional daily history) takes part in
-    the imputation statistics but is not emitted (quirk Q18).
+    the imputation statistics but is not emitted (quirk Q18). With ``after``
+    only rows newer than that table's last day count, in every statistic too.
     """
     keys = list(keys)
-    parsed = materialize(RD.coerce_weather_rows(rows, keys), persist)
+    parsed = RD.coerce_weather_rows(rows, keys)
+    if after is not None:
+        parsed = R.newer_than(parsed, after, keys)
+    parsed = materialize(parsed, persist)
     masked = CL.mask_weather_outliers(parsed, S.WEATHER, keys)
     daily = materialize(ST.daily_mean(masked, S.WEATHER, keys), persist)
     if context is not None:
@@ -77,15 +82,15 @@ def process_weather(rows: DataFrame, keys=(), seasonal_above=S.WEATHER_SEASONAL_
 def update_dataset(final: DataFrame | None, weather_rows: DataFrame, pollutants_raw: DataFrame,
                    pollutant_history: DataFrame | None = None, now="2100-01-01", keys=(),
                    persist: str = "checkpoint"):
-    """Incremental update of the final table (J3): weather (J2) and pollutants
-    (J1) processed, pollutant days after the newest final day and before
+    """Incremental update of the final table (J3): weather rows newer than the
+    final table (J2) and pollutants (J1) processed, pollutant days after the newest final day and before
     ``now`` kept, inner-joined with weather on the day, appended.
 
     Returns ``(final_table, cleaned_pollutants)``; stored days are never
     revised (Q20). An empty weather batch leaves the table unchanged (Q19).
     """
     keys = list(keys)
-    weather = process_weather(weather_rows, keys, persist=persist)
+    weather = process_weather(weather_rows, keys, persist=persist, after=final)
     pol = process_pollutants(pollutants_raw, pollutant_history, now, keys, persist=persist)
     new = pol
     if final is not None:

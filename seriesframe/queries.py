@@ -405,18 +405,18 @@ register("pollutants_raw_parsed", O.wrap_round(
 _W = ["Date"] + S.WEATHER
 
 
-def _weather_masked_sql():
-    return O.mask_sql(O.coerce_weather_rows_sql(TD.WEATHER_ROWS_SQL), _W, S.WEATHER, [],
-                      S.WEATHER_LIMITS, 3.0, None)
+def _weather_masked_sql(where="true"):
+    parsed = f"SELECT * FROM ({O.coerce_weather_rows_sql(TD.WEATHER_ROWS_SQL)}) c_ WHERE {where}"
+    return O.mask_sql(parsed, _W, S.WEATHER, [], S.WEATHER_LIMITS, 3.0, None)
 
 
 register("weather_rows_masked", O.wrap_round(_weather_masked_sql(), S.WEATHER, ["Date"]))(
     lambda spark, d: CL.mask_weather_outliers(RD.coerce_weather_rows(TD.weather_rows(spark, d))))
 
 
-def _daily_mean_sql():
+def _daily_mean_sql(where="true"):
     aggs = [f"{O.np_round_sql(f'avg({c})')} AS {c}" for c in S.WEATHER]
-    return O.group_sql(_weather_masked_sql(), ["Date"], aggs)
+    return O.group_sql(_weather_masked_sql(where), ["Date"], aggs)
 
 
 register("weather_daily_mean", O.wrap_round(_daily_mean_sql(), S.WEATHER, ["Date"]))(
@@ -673,8 +673,8 @@ def _update_first(spark, d):
     return out
 
 
-def _process_weather_sql():
-    return O.impute_sql(_daily_mean_sql(), _W, S.WEATHER, [], ["Date"], method="auto",
+def _process_weather_sql(where="true"):
+    return O.impute_sql(_daily_mean_sql(where), _W, S.WEATHER, [], ["Date"], method="auto",
                         seasonal_above=S.WEATHER_SEASONAL_ABOVE)
 
 
@@ -687,11 +687,13 @@ def _process_pollutants_plain_sql():
     return O.replace_cols(filled, _POL, {c: O.np_round_sql(c) for c in S.POLLUTANTS})
 
 
-_UPDATE_SQL = f"""
+def _update_sql(where="true"):
+    return f"""
 SELECT p.Date, p.co, p.no2, p.o3, p.pm10, p.pm25, p.so2, w.Temp, w.Rain, w.Cloud, w.Pressure, w.Wind, w.Gust
-FROM ({_process_pollutants_plain_sql()}) p JOIN ({_process_weather_sql()}) w ON p.Date = w.Date"""
+FROM ({_process_pollutants_plain_sql()}) p JOIN ({_process_weather_sql(where)}) w ON p.Date = w.Date"""
+
 
-register("update_dataset", O.wrap_round(_UPDATE_SQL, S.TARGETS, ["Date"]))(_update_first)
+register("update_dataset", O.wrap_round(_update_sql(), S.TARGETS, ["Date"]))(_update_first)
 
 
 def _update_incremental(spark, d):
@@ -701,12 +703,13 @@ def _update_incremental(spark, d):
     return out
 
 
+_AFTER_FINAL = f"Date > (SELECT max(Date) FROM ({TD.SERIES_SQL}) g_ WHERE Date < DATE '{_CUTOFF}')"
+
 register("update_dataset_incremental", O.wrap_round(f"""
 SELECT * FROM ({TD.SERIES_SQL}) f_ WHERE Date < DATE '{_CUTOFF}'
 UNION ALL
-SELECT * FROM ({_UPDATE_SQL}) u_
-WHERE Date > (SELECT max(Date) FROM ({TD.SERIES_SQL}) g_ WHERE Date < DATE '{_CUTOFF}')
-  AND Date < DATE '2100-01-01'""", S.TARGETS, ["Date"]))(_update_incremental)
+SELECT * FROM ({_update_sql(_AFTER_FINAL)}) u_
+WHERE {_AFTER_FINAL} AND Date < DATE '2100-01-01'""", S.TARGETS, ["Date"]))(_update_incremental)
 
 
 def _union_locations(spark, d):
