@@ -1,28 +1,31 @@
 """License scan by conditional compression.
 
-A block of lines that speaks of a license is compressed alone and with each
-license template as a raw zstandard dictionary. The share of bytes that a
-template saves ranks the templates, and the best ones are confirmed in that
-order by exact wording differences: the words that must be put in, taken out or
-replaced to turn the template's closest notice into the words of the block. A
-confirmed license has differences of at most ``MAX_CHANGED`` of the notice's
-words, none of which is one of its telling words (names and versions).
-
-Blocks are lines with one of the cue words and the lines next to them that
-have one as well; lines longer than ``LONG`` characters are cut at sentences,
-so that a notice inside a paragraph is a block of its own. Texts are scanned
-whole, in Arrow batches; templates are fixed and small.
-
-Defined results: a row for each candidate block of each text; ``license`` is
-null where no template is confirmed, and ``nearest`` names the best ranked.
-Null and empty texts have no blocks. Repeated rows are all scanned.
+Blocks are lines with a cue word and the lines next to them that have one as
+well; lines longer than ``LONG`` characters are cut at sentences. A block is
+only where the search begins: notices are looked for in as many words on either
+side of it as the longest one can have, over line ends and comment marks, so
+that hard-wrapped notices are whole. Every notice of every template is compared
+by exact wording differences: the fewest words that must be put in, taken out or
+replaced to turn it into a part of the text. A confirmed notice has differences
+of at most ``MAX_CHANGED`` of its words, none of which is one of its telling
+words (names and versions), and no word put in that tells another license
+(``OTHER``). Each one found is compressed alone and with each license template
+as a raw zstandard dictionary; the share of bytes saved ranks the templates.
+Texts are scanned whole, in Arrow batches; templates are fixed and small.
+
+Defined results: a row with its own span for each confirmed notice, so several
+where there are several licenses; a row with a null ``license`` for each block
+that no confirmed notice touches. ``nearest`` names the template ranked best for
+the span. Null and empty texts have no blocks. Repeated rows are all scanned.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
+from collections import Counter
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -61,11 +64,19 @@ TEMPLATES = {
 }
 #: Notices whose wording replaces a telling word.
 SPELLED = {"sa": ("sharealike",), "nc": ("noncommercial",), "mit": ("hereby",), "bsd": ("redistribution",)}
-CUE = re.compile(r"licen[cs]e|copyright|spdx|creative commons|redistribut|public domain|permission is hereby", re.I).search
-WORDS = re.compile(r"\d+(?:\.\d+)*|[^\W\d_]+").findall
+_GAP = r"[\W_]{1,40}"  # also over a line's end and a comment mark
+CUE = re.compile(rf"licen[cs]e|copyright|spdx|creative{_GAP}commons|redistribut|public{_GAP}domain|permission{_GAP}is{_GAP}hereby", re.I)
+WORD = re.compile(r"\d+(?:\.\d+)*|[^\W\d_]+")
+WORDS = WORD.findall
 SENTENCES = re.compile(r"(?<=[.!?])\s+")
 LONG = 400
-MAX_CHANGED, CONFIRM = 0.25, 6
+MAX_CHANGED, CONFIRM = 0.25, len(TEMPLATES)
+#: Words that make a notice one of another license.
+OTHER = frozenset("nc sa nd noncommercial sharealike noderivatives noderivs lesser affero".split())
+#: Words on either side of a cue that a notice with all allowed changes can reach.
+REACH = max(int(len(WORDS(n)) * (1 + MAX_CHANGED)) for notices, _ in TEMPLATES.values() for n in notices)
+_ONE = 1 << 32  # a change; the rest of a cost is the distance of the match's start from the end, so that short ones win
+_NEVER = 1 << 20
 
 
 class Scanner:
@@ -73,66 +84,141 @@ class Scanner:
 
     def __init__(self, templates=TEMPLATES, level: int = 19):
         self.plain = zstandard.ZstdCompressor(level=level)
-        self.templates = []
+        self.templates, self.notices = [], []
         for name, (notices, telling) in templates.items():
             raw = zstandard.ZstdCompressionDict("\n".join(notices).lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            words = [WORDS(n.lower()) for n in notices]
-            self.templates.append((name, zstandard.ZstdCompressor(level=level, dict_data=raw), words, telling))
+            self.templates.append((name, zstandard.ZstdCompressor(level=level, dict_data=raw)))
+            for n in notices:
+                words = WORDS(n.lower())
+                tells = {next((x for x in (w, *SPELLED.get(w, ())) if x in words), w) for w in telling}
+                self.notices.append((name, words, Counter(words), tells))
 
-    def rank(self, block: str) -> list[tuple[float, str, list, list]]:
+    def rank(self, block: str) -> list[tuple[float, str]]:
         """Templates by the share of bytes that they save, best first."""
         data = block.lower().encode()
         alone = len(self.plain.compress(data))
-        out = [(1 - len(c.compress(data)) / alone, name, notices, telling) for name, c, notices, telling in self.templates]
-        return sorted(out, key=lambda r: (-r[0], r[1]))
+        return sorted(((1 - len(c.compress(data)) / alone, name) for name, c in self.templates), key=lambda r: (-r[0], r[1]))
+
+    def confirmed(self, words: list[str]) -> list[tuple[str, int, int, int]]:
+        """License, first word, end word and changed words of each confirmed notice, best first."""
+        bag = Counter(words)
+        found = []
+        for name, notice, count, tells in self.notices:
+            most = int(MAX_CHANGED * len(notice))
+            if all(t in bag for t in tells) and sum(min(c, bag[w]) for w, c in count.items()) >= len(notice) - most:
+                found += [(changed / len(notice), -len(notice), name, a, b, changed, tells) for a, b, changed in _matches(notice, words, tells, most)]
+        out, told = [], set()
+        for *_, name, a, b, changed, tells in sorted(found, key=lambda r: r[:5]):
+            here = {k for k in range(a, b) if words[k] in tells}
+            if here <= told or any(n == name and c < b and a < d for n, c, d, _ in out):
+                continue  # the same words, or the same license, in a closer notice
+            told |= here
+            out.append((name, a, b, changed))
+        return out
 
     def judge(self, block: str):
         """Confirmed license, nearest template, share saved, changed words."""
-        words = WORDS(block.lower())
         ranked = self.rank(block)
-        for saved, name, notices, telling in ranked[:CONFIRM]:
-            changed, notice = min(((_changes(n, words), n) for n in notices), key=lambda r: r[0] / len(r[1]))
-            told = all(t in words for w in telling for t in [next((s for s in SPELLED.get(w, ()) if s in notice), w)])
-            if told and changed <= MAX_CHANGED * len(notice):
-                return name, ranked[0][1], saved, changed
+        for name, _, _, changed in self.confirmed(WORDS(block.lower())):
+            return name, ranked[0][1], dict(map(reversed, ranked))[name], changed
         return None, ranked[0][1], ranked[0][0], None
 
-
-def _changes(notice: list[str], words: list[str]) -> int:
-    """Words to put in, take out or replace inside the part of ``words`` that answers to ``notice``."""
-    steps = difflib.SequenceMatcher(None, notice, words, autojunk=False).get_opcodes()
-    total = 0
-    for kind, a, b, c, d in steps:
-        edge = a == 0 or b == len(notice)  # what stands before or after the notice is not its wording
-        total += 0 if kind == "equal" else b - a if edge else max(b - a, d - c)
-    return total
+    def rows(self, text: str):
+        """Start, end, license, nearest, saved and changed words: one for each confirmed notice and each block without any."""
+        out = []
+        seeds = list(blocks(text))
+        for lo, hi in regions(text, seeds):
+            places = [m.span() for m in WORD.finditer(text, lo, hi)]
+            for name, a, b, changed in self.confirmed([text[x:y].lower() for x, y in places]):
+                start, end = places[a][0], places[b - 1][1]
+                out.append((start, end + (text[end:end + 1] in (".", "!", "?")), name, changed))
+        taken = [r[:2] for r in out]
+        out += [(a, b, None, None) for a, b in seeds if not any(x < b and a < y for x, y in taken)]
+        for a, b, name, changed in sorted(out, key=lambda r: r[:2]):
+            ranked = self.rank(text[a:b])
+            yield a, b, name, ranked[0][1], ranked[0][0] if name is None else dict(map(reversed, ranked))[name], changed
+
+
+def _matches(notice: list[str], words: list[str], tells: set, most: int):
+    """Parts of ``words`` (start, end, changes) that ``notice`` turns into by at most ``most`` words put in, taken
+    out or replaced, no telling word among them; of parts that overlap the one with the fewest changes."""
+    m = len(words)
+    enter = np.array([_NEVER if w in OTHER and w not in notice else 1 for w in words], np.int64) * _ONE
+    run = np.concatenate([[0], np.cumsum(enter)])
+    cost = m - np.arange(m + 1, dtype=np.int64)
+    at = {}
+    for k, w in enumerate(words):
+        at.setdefault(w, []).append(k)
+    for w in notice:
+        change = np.maximum(enter, _ONE * (_NEVER if w in tells else 1))
+        change[at.get(w, [])] = 0
+        here = cost + _ONE * (_NEVER if w in tells else 1)
+        np.minimum(here[1:], cost[:-1] + change, out=here[1:])
+        cost = run + np.minimum.accumulate(here - run)
+        if cost.min() >= (most + 1) * _ONE:
+            return
+    ends = np.flatnonzero(cost < (most + 1) * _ONE)
+    taken = np.zeros(m + 1, bool)
+    for b in ends[np.argsort(cost[ends], kind="stable")]:
+        changed, back = divmod(int(cost[b]), _ONE)
+        a = m - back
+        if a < b and not taken[a:b].any():
+            taken[a:b] = True
+            yield a, int(b), changed
+
+
+def regions(text: str, seeds):
+    """Stretches of ``REACH`` words on either side of each block, those that meet as one."""
+    held = None
+    for a, b in seeds:
+        lo, size = a, 16 * REACH
+        while lo and len(before := [m.start() for m in WORD.finditer(text, lo, a)]) <= REACH:
+            lo, size = max(0, lo - size), 2 * size
+        if lo:
+            lo = before[-REACH]
+        hi = next((m.start() for m in islice(WORD.finditer(text, b), REACH, None)), len(text))
+        if held and lo <= held[1]:
+            held = (held[0], max(hi, held[1]))
+        else:
+            if held:
+                yield held
+            held = (lo, hi)
+    if held:
+        yield held
 
 
 def blocks(text: str):
     """Start and end of each candidate block."""
-    if not CUE(text):
-        return
-    at, held = 0, None
-    for line in text.split("\n"):
-        pieces = [(at, at + len(line))]
-        if len(line) > LONG:
-            cuts = [0, *(c for m in SENTENCES.finditer(line) for c in m.span()), len(line)]
-            pieces = [(at + a, at + b) for a, b in zip(cuts[::2], cuts[1::2])]
+    cues = [m.span() for m in CUE.finditer(text)]
+    held, c, at = None, 0, 0
+    while c < len(cues):
+        at = text.rfind("\n", at, cues[c][0] + 1) + 1 or at
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        line = stop - at
+        pieces = [(at, stop)]
+        if line > LONG:
+            cuts = [at, *(at + x for m in SENTENCES.finditer(text[at:stop]) for x in m.span()), stop]
+            pieces = list(zip(cuts[::2], cuts[1::2]))
         for a, b in pieces:
-            if CUE(text, a, b):
-                if held and len(line) <= LONG and text[held[1]:a] == "\n":
+            while c < len(cues) and cues[c][1] <= a:
+                c += 1
+            if c < len(cues) and cues[c][0] < b:
+                if held and line <= LONG and text[held[1]:a] == "\n":
                     held = (held[0], b)
                 else:
                     if held:
                         yield held
                     held = (a, b)
-        at += len(line) + 1
+        while c < len(cues) and cues[c][1] <= stop + 1:
+            c += 1
+        at = stop + 1
     if held:
         yield held
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """A row for each candidate block of ``docs`` (doc_id, text)."""
+    """A row for each confirmed notice and each other candidate block of ``docs`` (doc_id, text)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "start", "end", "license", "nearest", "saved", "changed_words"]
     types = [docs.schema["doc_id"].dataType.simpleString() == "int" and pa.int32() or pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int32()]
@@ -143,8 +229,7 @@ def scan(docs: DataFrame) -> DataFrame:
             rows = []
             for key, text in zip(batch.column(0), batch.column(1)):
                 text = text.as_py() or ""
-                for a, b in blocks(text):
-                    found, nearest, saved, changed = scanner.judge(text[a:b])
+                for a, b, found, nearest, saved, changed in scanner.rows(text):
                     rows.append((key.as_py(), a, b, found, nearest, round(saved, 6), changed))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)

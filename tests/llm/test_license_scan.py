@@ -1,3 +1,5 @@
+import textwrap
+
 from seriesframe.llm import license_scan as L
 
 DOCS = "doc_id long, text string, license int"
@@ -37,3 +39,16 @@ def test_ranking_prefers_the_right_template():
 def test_blocks_join_lines_and_cut_sentences():
     text = "a\nCopyright X\nLicensed to all\nb\n" + "word " * 100 + ". The license. " + "word " * 50
     assert [text[a:b] for a, b in L.blocks(text)] == ["Copyright X\nLicensed to all", "The license."]
+
+
+def test_notices_hard_wrapped_and_commented():
+    s = L.Scanner()
+    for name, (notices, _) in L.TEMPLATES.items():
+        for n in notices:
+            for width in (24, 72, 80):
+                for mark in ("", "# ", "// ", " * "):
+                    body = "\n".join(mark + x for x in textwrap.wrap(n, width))
+                    text = f"{mark}some file of ours\n{mark.rstrip()}\n{body}\n{mark}and what stands after it\n"
+                    got = [r for r in s.rows(text) if r[2]]
+                    assert [r[2] for r in got] == [name], (text, got)
+                    assert L.WORDS(n) == [w for line in text[got[0][0]:got[0][1]].split("\n") for w in L.WORDS(line)]
