@@ -9,7 +9,7 @@ by exact wording differences: the fewest words that must be put in, taken out or
 replaced to turn it into a part of the text. A confirmed notice has differences
 of at most ``MAX_CHANGED`` of its words, none of which is one of its telling
 words (names and versions), and no word put in that tells another license
-(``OTHER``). Each one found is compressed alone and with each license template
+(``OTHER``). SPDX expressions are read exactly, each identifier by itself. Each one found is compressed alone and with each license template
 as a raw zstandard dictionary; the share of bytes saved ranks the templates.
 Texts are scanned whole, in Arrow batches; templates are fixed and small.
 
@@ -62,6 +62,7 @@ TEMPLATES = {
     "CC-BY-NC-4.0": (["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."], ["4.0", "nc"]),
     "CC0-1.0": (["Dedicated to the public domain under CC0 1.0."], ["domain", "1.0"]),
 }
+_NAMES = {name.lower(): name for name in TEMPLATES}
 #: Notices whose wording replaces a telling word.
 SPELLED = {"sa": ("sharealike",), "nc": ("noncommercial",), "mit": ("hereby",), "bsd": ("redistribution",)}
 _GAP = r"[\W_]{1,40}"  # also over a line's end and a comment mark
@@ -75,6 +76,11 @@ MAX_CHANGED, CONFIRM = 0.25, len(TEMPLATES)
 OTHER = frozenset("nc sa nd noncommercial sharealike noderivatives noderivs lesser affero".split())
 #: Words on either side of a cue that a notice with all allowed changes can reach.
 REACH = max(int(len(WORDS(n)) * (1 + MAX_CHANGED)) for notices, _ in TEMPLATES.values() for n in notices)
+TAG = "SPDX-License-Identifier:"
+_WORD = r"[a-z0-9](?:[a-z0-9.+-]*[a-z0-9+])?"
+_ID = rf"(?:\([ \t]*)*{_WORD}(?:[ \t]*\))*"
+SPDX = re.compile(rf"{TAG}[ \t]*({_ID}(?:[ \t]+(?:and|or|with)[ \t]+{_ID})*)", re.I)
+IDENTIFIER = re.compile(rf"(with[ \t]+)?({_WORD})", re.I)
 _ONE = 1 << 32  # a change; the rest of a cost is the distance of the match's start from the end, so that short ones win
 _NEVER = 1 << 20
 
@@ -86,7 +92,7 @@ class Scanner:
         self.plain = zstandard.ZstdCompressor(level=level)
         self.templates, self.notices = [], []
         for name, (notices, telling) in templates.items():
-            raw = zstandard.ZstdCompressionDict("\n".join(notices).lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            raw = zstandard.ZstdCompressionDict("\n".join([*notices, f"{TAG} {name}"]).lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.templates.append((name, zstandard.ZstdCompressor(level=level, dict_data=raw)))
             for n in notices:
                 words = WORDS(n.lower())
@@ -117,16 +123,17 @@ class Scanner:
         return out
 
     def judge(self, block: str):
-        """Confirmed license, nearest template, share saved, changed words."""
+        """The closest confirmed license, nearest template, share saved, changed words."""
+        sure = [r[2:] for r in self.rows(block) if r[2]]
         ranked = self.rank(block)
-        for name, _, _, changed in self.confirmed(WORDS(block.lower())):
-            return name, ranked[0][1], dict(map(reversed, ranked))[name], changed
-        return None, ranked[0][1], ranked[0][0], None
+        return min(sure, key=lambda r: r[3]) if sure else (None, ranked[0][1], ranked[0][0], None)
 
     def rows(self, text: str):
         """Start, end, license, nearest, saved and changed words: one for each confirmed notice and each block without any."""
         out = []
         seeds = list(blocks(text))
+        if seeds:
+            out += [(a, b, name, 0) for a, b, name in identifiers(text)]
         for lo, hi in regions(text, seeds):
             places = [m.span() for m in WORD.finditer(text, lo, hi)]
             for name, a, b, changed in self.confirmed([text[x:y].lower() for x, y in places]):
@@ -135,10 +142,26 @@ class Scanner:
         taken = [r[:2] for r in out]
         out += [(a, b, None, None) for a, b in seeds if not any(x < b and a < y for x, y in taken)]
         for a, b, name, changed in sorted(out, key=lambda r: r[:2]):
-            ranked = self.rank(text[a:b])
+            ranked = self.rank(text[a:b] if " " in text[a:b] else f"{TAG} {text[a:b]}")
             yield a, b, name, ranked[0][1], ranked[0][0] if name is None else dict(map(reversed, ranked))[name], changed
 
 
+def identifiers(text: str):
+    """Start, end and license of each identifier with a template in the SPDX expressions of a text.
+
+    The first one's span begins at the tag. Identifiers are exact: ``MIT-0`` is not ``MIT``.
+    """
+    for m in SPDX.finditer(text):
+        start = m.start()
+        for i in IDENTIFIER.finditer(text, *m.span(1)):
+            name = i[2].lower()
+            name = re.sub(r"-only$|-or-later$", "", name) if "gpl-" in name else name
+            name = _NAMES.get(name.removesuffix("+"))
+            if name and not i[1]:
+                yield start, i.end(), name
+            start = next((n.start(2) for n in IDENTIFIER.finditer(text, i.end(), m.end(1)) if n[2].lower() not in ("and", "or")), m.end(1))
+
+
 def _matches(notice: list[str], words: list[str], tells: set, most: int):
     """Parts of ``words`` (start, end, changes) that ``notice`` turns into by at most ``most`` words put in, taken
     out or replaced, no telling word among them; of parts that overlap the one with the fewest changes."""

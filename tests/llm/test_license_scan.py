@@ -52,3 +52,19 @@ def test_notices_hard_wrapped_and_commented():
                     got = [r for r in s.rows(text) if r[2]]
                     assert [r[2] for r in got] == [name], (text, got)
                     assert L.WORDS(n) == [w for line in text[got[0][0]:got[0][1]].split("\n") for w in L.WORDS(line)]
+
+
+def test_every_license_of_a_text(spark):
+    mit, apache = "Licensed under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    texts = {
+        f"{mit}\n{apache}": ["MIT", "Apache-2.0"], f"Either: {mit} Or: {apache}": ["MIT", "Apache-2.0"], f"{apache}\n\n{mit} {mit}": ["Apache-2.0", "MIT", "MIT"],
+        "// SPDX-License-Identifier: MIT": ["MIT"], "/* SPDX-License-Identifier: Apache-2.0 */": ["Apache-2.0"],
+        "# SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0-or-later WITH Classpath-exception-2.0\nx = 1": ["MIT", "Apache-2.0", "GPL-2.0"],
+        "SPDX-License-Identifier: MIT-0": [None], "Licensed under CC BY-NC-SA 4.0.": [None],
+        "\n".join(n for notices, _ in L.TEMPLATES.values() for n in notices): [name for name, (notices, _) in L.TEMPLATES.items() for _ in notices]}
+    texts |= {f"SPDX-License-Identifier: {name}": [name] for name in L.TEMPLATES}
+    got = L.scan(spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], DOCS)).collect()
+    for i, (text, want) in enumerate(texts.items()):
+        rows = sorted((r.start, r.end, r.license) for r in got if r.doc_id == i)
+        assert [r[2] for r in rows] == want, (text, rows)
+        assert all(a[1] <= b[0] for a, b in zip(rows, rows[1:]))
