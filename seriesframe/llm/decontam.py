@@ -4,10 +4,13 @@ Texts become sequences of template tokens: numbers, units after a number and
 names (capitalised words inside a sentence) are typed placeholders, all other
 words are lower-cased literals. Windows of ``WINDOW`` tokens, at least half of
 them literals, are hashed and hash-joined between documents and benchmark
-items. Windows that lie on one alignment of a document with an item must be
+items; where the first word of a window could be a name, it is read both ways.
+Windows that lie on one alignment of a document with an item must be
 slot-consistent: each slot value of the item stands for one value throughout.
-An item leaks where ``LEAST`` windows (or all that it has) match on one
-alignment; it is re-parameterised where a slot's value differs.
+Windows with at least one word are also joined word for word, whatever their
+share of slots. An item leaks where ``LEAST`` windows (or all that it has) of
+either sort match on one alignment; it is re-parameterised where a slot's value
+differs.
 
 Documents are read once. A bit map of ``BITS`` bits over the benchmark's
 window hashes, whose size never grows, turns most windows away before the join;
@@ -16,14 +19,16 @@ document and item meet in a group of at most as many rows as the item has
 windows and the document copies of it.
 
 Defined results: null texts have no tokens. Items with fewer tokens than a
-window are one window as a whole, and match where it is at least
-``SHORTEST`` tokens long. Repeated documents and items count once. Null ids are
+window are one window as a whole; below ``SHORTEST`` tokens it matches word for
+word only. Items of numbers and signs alone have no windows. Repeated documents and items count once. Null ids are
 ids of their own.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +40,7 @@ from seriesframe.llm.common import read, shared, text_of
 
 WINDOW = 10
 SHORTEST = 6
+VERBATIM = 64  # more than a window, so that verbatim windows have hashes of their own
 LEAST = 3
 BITS = 1 << 22
 #: Words that are units when they follow a number.
@@ -56,8 +62,8 @@ class Canon(dict):
 
     def __init__(self):
         super().__init__()
-        self.hashes: list[int] = []
-        self.kinds: list[int] = []
+        self.hashes = array("Q")
+        self.kinds = array("b")
 
     def __missing__(self, token: str) -> int:
         c = token[0]
@@ -78,39 +84,44 @@ class Canon(dict):
 
 
 def canonical(text: str, canon: Canon):
-    """Tokens of a text, their template hashes, and which of them are slots."""
+    """Raw tokens of a text; places of those that are no stops, their hashes, which are slots, and which could be but for their place."""
     raw = TOKEN(text)
     if not raw:
-        return [], np.empty(0, np.uint64), np.empty(0, np.int8)
-    index = np.fromiter(map(canon.__getitem__, raw), np.int64, len(raw))
-    kinds = np.array(canon.kinds, np.int8)[index] if len(canon.kinds) < 4 * len(raw) else np.fromiter(map(canon.kinds.__getitem__, index), np.int8, len(raw))
-    before = np.concatenate([[STOP], kinds[:-1]])
-    kinds = np.where((kinds == NAME) & (before == STOP), LITERAL, kinds)
-    kinds = np.where((kinds == UNIT) & (before != NUMBER), LITERAL, kinds)
-    keep = np.flatnonzero(kinds != STOP)
-    kinds = kinds[keep]
-    literal = np.fromiter(map(canon.hashes.__getitem__, index[keep]), np.uint64, len(keep))
-    return [raw[i] for i in keep], np.where(kinds == LITERAL, literal, _MARK[kinds]), kinds
-
-
-def windows(hashes: np.ndarray, kinds: np.ndarray, size: int):
-    """Hash of each window of ``size`` tokens (at most all) and whether it has enough literals."""
-    size = min(size, len(hashes))
+        return raw, np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int8), np.empty(0, np.int8)
+    index = np.array(itemgetter(*raw)(canon), np.int64, ndmin=1)
+    own = np.frombuffer(canon.kinds, np.int8)[index]
+    before = np.concatenate([np.array([STOP], np.int8), own[:-1]])
+    kinds = np.where(((own == NAME) & (before == STOP)) | ((own == UNIT) & (before != NUMBER)), np.int8(LITERAL), own)
+    keep = np.flatnonzero(own != STOP)
+    return raw, keep, np.frombuffer(canon.hashes, np.uint64)[index[keep]], kinds[keep], own[keep]
+
+
+def windows(hashes: np.ndarray, size: int, seed: int, at=None, first=None):
+    """Hash of each window of ``size`` tokens, or of those that begin ``at`` with ``first`` for their first tokens."""
     n = len(hashes) - size + 1
-    mixed = np.full(n, size, np.uint64)
+    mixed = np.full(n if at is None else len(at), seed, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(size):
-            mixed = (mixed ^ hashes[k:k + n]) * _M1
+            mixed ^= hashes[k:k + n] if at is None else hashes[at + k] if k else first
+            mixed *= _M1
             mixed ^= mixed >> np.uint64(31)
-    literal = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
-    return mixed, 2 * (literal[size:] - literal[:-size]) >= size, size
+    return mixed
+
 
+def _counts(which: np.ndarray, size: int) -> np.ndarray:
+    sums = np.concatenate([[0], np.cumsum(which)])
+    return sums[size:] - sums[:-size]
 
-_ROWS = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("text_hash", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.string())), ("windows", pa.int32())])
+
+_ROWS = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("text_hash", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.string())), ("windows", pa.int32()),
+                   ("verbatim", pa.bool_()), ("other", pa.bool_())])
 
 
 def _windows(texts: DataFrame, bitmap) -> DataFrame:
-    """Rows of h, id, text_hash, pos, slots, windows for the windows that ``bitmap`` lets through (None: all)."""
+    """Rows of h, id, text_hash, pos, slots, windows, verbatim, other for the windows that ``bitmap`` lets through (None: all).
+
+    ``other`` marks windows whose first word is read the other way.
+    """
 
     def work(batches):
         canon = Canon()
@@ -118,38 +129,63 @@ def _windows(texts: DataFrame, bitmap) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part, rows = batch.slice(at, 256), []
                 for key, text_hash, text in zip(*(c.to_pylist() for c in part.columns)):
-                    tokens, hashes, kinds = canonical(text or "", canon)
-                    if len(hashes) < SHORTEST:
-                        continue
+                    raw, keep, *codes = canonical(text or "", canon)
+                    n = len(keep)
                     # short items can lie inside a long document
-                    for size in {WINDOW, *(bitmap.value[1] if bitmap else ())}:
-                        rows.extend(found(key, text_hash, tokens, hashes, kinds, size))
+                    for size in {WINDOW, *bitmap.value[1]} if bitmap else {min(WINDOW, n)}:
+                        if 0 < size <= n:
+                            rows.extend(found(key, text_hash, raw, keep, *codes, size))
                 if len(canon) > 200_000:
                     canon = Canon()
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROWS)], schema=_ROWS)
 
-    def found(key, text_hash, tokens, hashes, kinds, size):
-        mixed, enough, size = windows(hashes, kinds, size)
-        if bitmap is not None:
-            low = (mixed & np.uint64(BITS - 1)).astype(np.int64)
-            enough = enough & ((bitmap.value[0][low >> 3] >> (low & 7).astype(np.uint8)) & 1).astype(bool)
-        for i in np.flatnonzero(enough):
-            slots = [f"{k}:{t.lower()}" for k, t in zip(kinds[i:i + size], tokens[i:i + size]) if k != LITERAL]
-            yield int(mixed[i].view(np.int64)), key, text_hash, int(i), slots, len(mixed)
-
-    return texts.mapInArrow(work, "h long, id long, text_hash long, pos int, slots array<string>, windows int")
+    def known(mixed):
+        if bitmap is None:
+            return np.ones(len(mixed), bool)
+        low = (mixed & np.uint64(BITS - 1)).astype(np.int64)
+        return ((bitmap.value[0][low >> 3] >> (low & 7).astype(np.uint8)) & 1).astype(bool)
+
+    def found(key, text_hash, raw, keep, literal, kinds, own, size):
+        mixed = windows(literal, size, size + VERBATIM)
+        enough = _counts((own == LITERAL) | (own == NAME) | (own == UNIT), size) > 0
+        count = int(enough.sum())
+        for i in np.flatnonzero(enough & known(mixed)):
+            yield int(mixed[i].view(np.int64)), key, text_hash, int(i), [], count, True, False
+        if size < SHORTEST:
+            return
+        hashes = np.where(kinds == LITERAL, literal, _MARK[kinds])
+        literals = _counts(kinds == LITERAL, size)
+        enough = 2 * literals >= size
+        names = np.flatnonzero(own[:len(enough) if bitmap else 1] == NAME)
+        was = kinds[names] == LITERAL
+        names, was = (x[2 * (literals[names] + np.where(was, -1, 1)) >= size] for x in (names, was))
+        count = int(enough.sum()) + int((~enough[names]).sum())
+
+        def row(h, i, first, other):
+            slots = [f"{k}:{raw[t].lower()}" for k, t in zip((first, *kinds[i + 1:i + size]), keep[i:i + size]) if k != LITERAL]
+            return int(h.view(np.int64)), key, text_hash, int(i), slots, count, False, other
+
+        mixed = windows(hashes, size, size)
+        for i in np.flatnonzero(enough & known(mixed)):
+            yield row(mixed[i], i, kinds[i], False)
+        if len(names):
+            mixed = windows(hashes, size, size, names, np.where(was, _MARK[NAME], literal[names]))
+            for k in np.flatnonzero(known(mixed)):
+                yield row(mixed[k], names[k], NAME if was[k] else LITERAL, True)
+
+    return texts.mapInArrow(work, "h long, id long, text_hash long, pos int, slots array<string>, windows int, verbatim boolean, other boolean")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
     """A row for each document and item that leaks into it.
 
     Columns: doc_id, text_hash, item_id, matched (windows on the best
-    alignment), windows (that the item has) and reparameterised.
+    alignment), windows (that the item has of that sort) and reparameterised.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"), text_of("text").alias("text")).distinct()
     bench = shared(_windows(items, None).select("h", F.col("id").alias("item_id"), F.col("text_hash").alias("item_hash"), F.col("pos").alias("item_pos"),
-                                                F.col("slots").alias("item_slots"), F.col("windows")), "benchmark-windows")
+                                                F.col("slots").alias("item_slots"), F.col("windows"), F.col("verbatim"), F.col("other").alias("item_other")), "benchmark-windows")
     set_bits = bench.select(F.col("h").bitwiseAND(BITS - 1).alias("p")).distinct().collect()  # BITS at most
     bits = np.zeros(BITS >> 3, np.uint8)
     at = np.array([r.p for r in set_bits], np.int64)
@@ -158,25 +194,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFram
     bitmap = docs.sparkSession.sparkContext.broadcast((bits, [r["size"] for r in sizes]))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_of("text")).alias("text_hash"), text_of("text").alias("text"))
     found = _windows(texts, bitmap).withColumnRenamed("id", "doc_id").drop("windows")
-    return _aligned(found.join(bench, "h"), least)
+    return _aligned(found.join(bench, ["h", "verbatim"]), least)
 
 
 def _short_sizes(batches):
     canon = Canon()
     for batch in batches:
         sizes = {len(canonical(t or "", canon)[1]) for t in batch.column(2).to_pylist()}
-        yield pa.RecordBatch.from_arrays([pa.array([s for s in sizes if SHORTEST <= s < WINDOW], pa.int32())], names=["size"])
+        yield pa.RecordBatch.from_arrays([pa.array([s for s in sizes if 0 < s < WINDOW], pa.int32())], names=["size"])
 
 
 def _aligned(pairs: DataFrame, least: int) -> DataFrame:
     slots = F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b"))
-    key = ["doc_id", "text_hash", "item_id", "item_hash", "windows"]
-    by_place = pairs.withColumn("shift", F.col("pos") - F.col("item_pos")).groupBy(*key, "shift").agg(
-        F.count_distinct("item_pos").alias("matched"), F.array_distinct(F.flatten(F.collect_set(slots))).alias("slots"))
+    key = ["doc_id", "text_hash", "item_id", "item_hash", "windows", "verbatim"]
+    plain = ~F.col("other") & ~F.col("item_other")
+
+    def seen(which):
+        return F.struct(F.count_distinct(F.when(which, F.col("item_pos"))).alias("matched"), F.array_distinct(F.flatten(F.collect_set(F.when(which, slots)))).alias("slots"))
+
+    by_place = pairs.withColumn("shift", F.col("pos") - F.col("item_pos")).groupBy(*key, "shift").agg(seen(plain).alias("plain"), seen(F.lit(True)).alias("all"))
+    by_reading = by_place.select(*key, F.inline(F.array("plain", "all")))
     consistent = F.size(F.array_distinct(F.transform("slots", lambda s: s["a"]))) == F.size("slots")
     changed = F.exists("slots", lambda s: s["a"] != s["b"])
-    good = by_place.where(consistent & (F.col("matched") >= F.least(F.lit(least), F.col("windows"))))
-    best = good.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("matched", "windows", (~changed).alias("same"))).alias("m"))
+    good = by_reading.where(consistent & (F.col("matched") >= F.least(F.lit(least), F.col("windows"))))
+    share = (F.col("matched") / F.col("windows")).alias("share")
+    best = good.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct(share, "matched", "windows", (~changed).alias("same"))).alias("m"))
     return best.select("doc_id", "text_hash", "item_id", "m.matched", "m.windows", (~F.col("m.same")).alias("reparameterised"))
 
 

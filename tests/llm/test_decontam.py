@@ -53,3 +53,22 @@ def test_stage_keeps_clean_documents(spark):
     docs = spark.createDataFrame([(1, ITEM, 0, ""), (2, "fine", 0, ""), (None, None, 0, ""), (None, ITEM, 1, "")], DOCS)
     left = D.keep_clean(docs, spark.createDataFrame(ITEMS, "item_id long, text string"))
     assert left.columns == docs.columns and sorted(str(r.text) for r in left.collect()) == ["None", "fine"]
+
+
+def test_items_with_few_windows_and_first_words(spark):
+    table = "Add the rows 1 2 3 4 5 6 7 8 9 10 11 12"
+    few = "seven tall men came to 3 4 5 6 7 8 9"
+    named = "Trains leave Boston at noon and reach the coast at 9"
+    items = [(1, table), (2, few), (3, named), (4, "What is 2 + 2?"), (5, "Paris Rome Oslo Bern Vienna Lisbon Madrid Prague Dublin Athens")]
+    filler = " ".join(f"filler{chr(97 + i)}" for i in range(12))
+    docs = [
+        (1, f"{filler} {table}"), (2, f"{filler}: {few.upper()}, {filler}"), (3, f"{filler}: {named} {filler}"), (4, f"{filler}: what is 2 + 2? {filler}"),
+        (5, f"{filler} {items[4][1]}"), (6, f"{filler}: {named.replace('Boston', 'Denver')} {filler}"), (7, few.replace("3 4 5", "4 5 6").replace("7 8 9", "8 9 1")),
+        (8, "1 2 3 4 5 6 7 8 9 10 11 12"), (9, f"{filler} what is 2 + 3? {filler}"), (10, "Add the columns 1 2 3 4 5 6 7 8 9 10 11 12"), (11, "the rows 1 2 3 4 5 6 7 8 9 10 11 12")]
+    assert run(spark, docs, items) == sorted([(1, 1, True, False), (2, 2, True, False), (3, 3, True, False), (4, 4, True, False), (5, 5, True, False), (6, 3, True, True), (7, 2, True, True)], key=str)
+
+
+def test_few_eligible_windows_reparameterised(spark):
+    item = "seven tall men came to the 3 4 5 6 7 8 9 10"  # windows at 0, 1 are eligible, the others are not
+    got = D.leaks(spark.createDataFrame([(1, item.replace("3", "30"), 0, "")], DOCS), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [(r.item_id, r.matched, r.windows, r.reparameterised) for r in got] == [(1, 2, 2, True)]
