@@ -15,8 +15,9 @@ Decoding is exact. A token whose O score leads by more than any two transitions
 can make good is O in every best path; Viterbi runs on the stretches between
 such tokens, with O on either side. Whole texts are read, in Arrow batches.
 
-Defined results: null and empty texts have no spans. Found spans that overlap
-a pattern's span, or are shorter than ``SHORTEST`` characters, are not added.
+Defined results: null and empty texts have no spans. Found spans that lie
+inside a pattern's span, or are shorter than ``SHORTEST`` characters, are not
+added; one that reaches further is.
 Repeated rows are all returned. Without training documents the field adds
 nothing.
 """
@@ -64,11 +65,13 @@ def _values(text: str) -> list[tuple[int, int]]:
 def shape(token: str) -> str:
     """Classes of the characters, runs as one: ``Ab9-`` is ``Aa0-``."""
     out = []
-    for c in token[:64]:
+    for c in token:
         k = "0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else "x" if c.isalpha() else c
         if not out or out[-1] != k:
             out.append(k)
-    return "".join(out[:8])
+            if len(out) == 8:
+                break
+    return "".join(out)
 
 
 def features(token: str) -> list[int]:
@@ -265,7 +268,8 @@ def _marginals(s, steps, live):
 
 def find(text: str, field: Field) -> list[tuple[int, int, int]]:
     """All spans (kind, start, end), by start and then kind."""
-    spans = pattern_spans(text)
+    base = pattern_spans(text)
+    spans = list(base)
     tokens = TOKEN.findall(text)
     tags = field.tag(tokens, file_feature(text))
     inside = np.flatnonzero(tags != O)
@@ -277,7 +281,7 @@ def find(text: str, field: Field) -> list[tuple[int, int, int]]:
             while z + 1 < len(tags) and tags[z + 1] == I:
                 z += 1
             lo, hi = places[a][0], places[z][1]
-            if hi - lo >= SHORTEST and not any(s < hi and lo < e for _, s, e in spans[:]):
+            if hi - lo >= SHORTEST and not any(s <= lo and hi <= e for _, s, e in base):
                 spans.append((3, lo, hi))
     return sorted(spans, key=lambda s: (s[1], s[0], s[2]))
 

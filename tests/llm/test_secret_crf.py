@@ -80,3 +80,17 @@ def test_viterbi_is_exact():
         total = lambda tags: sum(s[i, t] for i, t in enumerate(tags)) + sum(field.steps[a, b] for a, b in zip(tags, tags[1:]))
         best = max(itertools.product(range(3), repeat=7), key=total)
         assert total(field.tag(tokens, 3)) >= total(best) - 1e-9
+
+
+def test_a_field_span_that_reaches_beyond_a_pattern(spark):
+    key = "geheimnisschlüssel12"
+    weights, files = np.zeros((4, 1 << S.BITS, 3), np.float32), np.zeros((S.FILES, 3), np.float32)
+    files[:, S.O] = 5
+    weights[S.OFFSETS.index(0), S.features(key), S.B] = 50
+    field = S.Field(weights, files, np.zeros((3, 3), np.float32))
+    text = f"ab password={key} cd"
+    assert S.find(text, field) == [(0, 3, 3 + len("password=geheimnisschl")), (3, 12, 12 + len(key))]
+    docs = spark.createDataFrame([(1, text, 0, "")], DOCS)
+    assert S.redact(docs, field).first().text == "ab [secret] cd"
+    assert S.find("ab password=geheimnis12 cd", field)[0][0] == 0
+    assert S.shape("a" * 80 + "9") == "a0"
