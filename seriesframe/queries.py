@@ -733,7 +733,6 @@ LEFT JOIN (SELECT 'north' AS station, count(*) AS rows FROM ({TD.POLLUTANTS_SQL}
 from seriesframe.plans import forecast as FC  # noqa: E402
 from seriesframe.session import materialize  # noqa: E402
 
-SMALL_FOREST = {"numTrees": 20, "maxDepth": 6, "featureSubsetStrategy": "sqrt"}
 _FITS: dict = {}
 
 
@@ -745,7 +744,7 @@ def _forest(spark, d):
         split = materialize(LN.chrono_split(feats))
         train = split.where(F.col("split") == "train")
         test = split.where(F.col("split") == "test")
-        models = LN.train_forest(train, names, S.TARGETS, SMALL_FOREST)
+        models = LN.train_forest(train, names)
         _FITS[key] = (models, names, test)
     return _FITS[key]
 
@@ -771,8 +770,7 @@ def _feature_selection(spark, d):
     feats = materialize(RL.drop_incomplete(WN.create_all_features(_series(spark, d))))
     names = RL.split_xy(feats)
     train = LN.chrono_split(feats).where(F.col("split") == "train")
-    top = LN.select_features(train, names, S.TARGETS, k=150,
-                             params={"numTrees": 10, "maxDepth": 5})
+    top = LN.select_features(train, names)
     return spark.createDataFrame(list(enumerate(top)), "pos int, feature string")
 
 
@@ -780,9 +778,7 @@ def _search(spark, d):
     feats = RL.drop_incomplete(WN.create_all_features(_series(spark, d)))
     names = RL.split_xy(feats)
     idx = materialize(FR.with_row_index(feats, [], ["Date"], idx_col="_pos"))
-    space = {**LN.SEARCH_SPACE, "numTrees": (5, 15), "maxDepth": (3, 6)}
-    _, trials = LN.search_params(idx, names, S.TARGETS, n_trials=3, n_splits=3, n_startup=1,
-                                 n_warmup=1, space=space)
+    _, trials = LN.search_params(idx, names)
     rows = [(t["trial"], t["score"], t["folds"], t["pruned"], str(t["params"])) for t in trials]
     return spark.createDataFrame(rows, "trial int, cv_rmse double, folds int, pruned boolean, params string")
 
