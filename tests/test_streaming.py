@@ -50,3 +50,38 @@ def test_result_does_not_depend_on_batches(spark):
         assert days == [float(d) for d in range(20)]
         days, late = _run(spark, files[:2], max_files, stored=(2, 3))
         assert days == [float(d) for d in range(2, 20)] and late == 2
+
+
+def test_a_day_in_two_files(spark):
+    files = [range(10, 20), range(0, 10), range(5, 12)]  # days 5 to 11 have two rows each
+    want = sorted(float(d) for f in files for d in f)
+    for max_files in (1, 2, 100):
+        assert _run(spark, files, max_files) == (want, 0)
+        days, late = _run(spark, files, max_files, stored=(2, 6))
+        assert days == [2.0, 6.0, *[d for d in want if d > 6]] and late == 6  # 0, 1, 3, 4 and 5 twice
+
+
+def test_a_failed_run_goes_on_with_its_mark(spark):
+    import datetime as dt
+
+    import pytest
+    base = tempfile.mkdtemp(prefix="sf-failed-")
+    for days in (range(10, 20), range(0, 10)):
+        spark.createDataFrame([(dt.date(2024, 1, 1) + dt.timedelta(days=d), float(d)) for d in days], "Date date, v double").coalesce(1).write.mode("append").parquet(base + "/in")
+    calls = []
+
+    def process(b):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("driver failure")
+        return b.select("Date", "v")
+
+    def start():
+        src = INC.landed_rows_stream(spark, base + "/in", "Date date, v double", max_files=1)
+        INC.start_update_stream(spark, src, process, base + "/t", base + "/ck").awaitTermination()
+
+    with pytest.raises(Exception, match="driver failure"):
+        start()
+    assert spark.read.parquet(base + "/t").count() == 10
+    start()
+    assert sorted(r.v for r in spark.read.parquet(base + "/t").collect()) == [float(d) for d in range(20)]
