@@ -18,13 +18,16 @@ similarity of at least ``percent``. The steps:
    are blocks left with one class. Shingles frequent in a sample of documents
    come last in the order: that keeps common passages out of the blocks and,
    as any order is right, changes no result.
-4. In a block, an R-tree over the points (bounding boxes of counts, sizes and
-   component) prunes by the summed minima; pairs that survive are verified on
-   the whole sets. Rounds: first every class against the block's most central
-   class, then against all outside its component; where those are more pairs
-   than classes, each class is first joined with its best candidate. Pairs
-   inside a component are never needed, so a group of near copies costs about
-   as many pairs as classes.
+4. In a block of more than ``SCAN`` classes, an R-tree over the points (bounding
+   boxes of counts, sizes and component) prunes by the summed minima; in smaller
+   ones every pair is bounded. Pairs that survive are verified on the whole sets.
+   Rounds of ``link``: first every class against the block's most central class,
+   then against all outside its component; where those are more pairs than
+   classes, each class is first joined with its best candidate. Pairs inside a
+   component are not needed for it, so a group of near copies costs about as many
+   pairs as classes.
+
+``pairs`` gives every link: one round of all pairs, without components.
 
 Blocks larger than ``SLICE`` are dealt to several tasks by pairs of slices.
 Everything between the steps is written to the shared folder.
@@ -412,13 +415,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(100 * common >= percent * whole).select("a", "b")
 
 
-def link(docs: DataFrame, percent: int = 80, sample_docs: int = SAMPLE_DOCS, slice_rows: int = SLICE) -> DataFrame:
-    """A row for every row of ``docs`` (doc_id, text).
-
-    Columns: doc_id, text_hash, n_shingles, class_id
-    (equal sets), comp (linked classes) and component_id.
-    """
-    docs = docs.select("doc_id", text_of("text").alias("_text"))
+def _prepared(docs: DataFrame, percent: int, sample_docs: int):
+    """Points of all rows, classes, classes in blocks with their sizes, and the blocks' rows."""
     points = shared(_points(docs, percent, sample_docs), "points")
     classes = (points.where("n > 0").groupBy("digest")
                .agg(F.min("doc_id").alias("first"), F.min(F.struct("text_hash", "doc_id")).alias("owner"), F.any_value("n").alias("n"),
@@ -430,14 +428,45 @@ def link(docs: DataFrame, percent: int = 80, sample_docs: int = SAMPLE_DOCS, sli
     # the count is known to suffice, so the search needs the prefix for one shared shingle only
     plain = F.col("pos") < F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     rows = shared(rows.where(plain).drop("pos"), "block-rows")
+    return points, classes, central, rows
+
+
+def pairs(docs: DataFrame, percent: int = 80, sample_docs: int = SAMPLE_DOCS, slice_rows: int = SLICE) -> DataFrame:
+    """Every pair of classes that link, also inside a component.
+
+    Columns: class_a, class_b, doc_a, doc_b (their least ids) and n_links, the
+    number of pairs of rows of ``docs`` that the pair of classes stands for. A
+    class of several rows is a pair with itself.
+    """
+    docs = docs.select("doc_id", text_of("text").alias("_text"))
+    points, classes, _, rows = _prepared(docs, percent, sample_docs)
+    found = shared(_candidates(rows.withColumn("comp", F.col("id")), classes.select("id", "vector"), "all", percent, slice_rows), "all-pairs")
+    linked = _verified(found, _sets(docs, classes, found), percent)
+    copies = points.where("n > 0").groupBy("digest").agg(F.count("*").alias("copies"))
+    sized = shared(classes.join(copies, "digest").select("id", "first", "copies"), "class-sizes")
+    left, right = (sized.select(*[F.col(c).alias(f"{c}_{side}") for c in sized.columns]) for side in "ab")
+    across = linked.join(left, F.col("a") == F.col("id_a")).join(right, F.col("b") == F.col("id_b")).select(
+        "id_a", "id_b", "first_a", "first_b", (F.col("copies_a") * F.col("copies_b")).alias("n_links"))
+    within = sized.where("copies > 1").select("id", F.col("id").alias("_id"), "first", F.col("first").alias("_first"), F.expr("copies * (copies - 1) div 2"))
+    return across.union(within).toDF("class_a", "class_b", "doc_a", "doc_b", "n_links")
+
+
+def link(docs: DataFrame, percent: int = 80, sample_docs: int = SAMPLE_DOCS, slice_rows: int = SLICE) -> DataFrame:
+    """A row for every row of ``docs`` (doc_id, text).
+
+    Columns: doc_id, text_hash, n_shingles, class_id
+    (equal sets), comp (linked classes) and component_id.
+    """
+    docs = docs.select("doc_id", text_of("text").alias("_text"))
+    points, classes, central, rows = _prepared(docs, percent, sample_docs)
     links, comps, plan = None, None, ["star", "all"]
     for mode in plan:
         placed = rows.withColumn("comp", F.col("id")) if comps is None else rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        pairs = shared(_candidates(placed, classes.select("id", "vector"), mode, percent, slice_rows), "pairs")
-        if mode == "all" and "best" not in plan and pairs.count() > central.count():
+        found = shared(_candidates(placed, classes.select("id", "vector"), mode, percent, slice_rows), "pairs")
+        if mode == "all" and "best" not in plan and found.count() > central.count():
             plan += ["best", "all"]  # many pairs are left: first join what the likeliest of them join
             continue
-        new = shared(_verified(pairs, _sets(docs, classes, pairs), percent), "linked")
+        new = shared(_verified(found, _sets(docs, classes, found), percent), "linked")
         if comps is None or not new.isEmpty():
             links = new if links is None else links.union(new)
             comps = components(links)

@@ -96,3 +96,20 @@ def test_one_row_of_each_group_stays(spark):
     assert left.columns == docs.columns
     want = [(3, near), (3, rows[3][1]), (None, "alone with no id"), (5, None), (5, None), (8, "")]
     assert sorted([(r.doc_id, r.text) for r in left.collect()], key=str) == sorted(want, key=str)
+
+
+def test_every_link_is_given(spark):
+    rows = corpus(4, 6, 12)
+    sets = [frozenset(J.shingle_set(r[1] or "").tolist()) for r in rows]
+    want = {}
+    for i, a in enumerate(sets):
+        for b in sets[:i]:
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                want[frozenset((a, b))] = want.get(frozenset((a, b)), 0) + 1
+    got = J.pairs(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert len({(r.class_a, r.class_b) for r in got}) == len(got) == len(want)
+    assert sorted(r.n_links for r in got) == sorted(want.values())
+    least = lambda s: min((r[0] for r, x in zip(rows, sets) if x == s and r[0] is not None), default=None)
+    ends = lambda pair: sorted(map(str, (least(s) for s in (tuple(pair) * 2)[:2])))
+    assert sorted([*sorted(map(str, (r.doc_a, r.doc_b))), r.n_links] for r in got) == sorted([*ends(p), n] for p, n in want.items())
+    assert J.pairs(spark.createDataFrame([], SCHEMA)).count() == 0
