@@ -81,7 +81,8 @@ def _sums(rows: DataFrame, make, width: int) -> np.ndarray:
 
 def _exact_sums(rows: DataFrame, vector: str):
     """Number of rows and the exact sum of each dimension, as integers of any size."""
-    x = F.greatest(F.least(F.floor(F.col("c").cast("double") * SCALE) + SHIFT, F.lit(1 << 53)), F.lit(-(1 << 53)))
+    held = lambda c, top: F.greatest(F.least(c, F.lit(top)), F.lit(-top))
+    x = held(F.floor(held(F.col("c").cast("double") * SCALE, WHOLE + 2 * SHIFT)) + SHIFT, int(WHOLE))
     got = (rows.select(F.posexplode(vector).alias("k", "c")).groupBy("k")
            .agg(F.count("*").alias("n"), F.sum(x.cast("decimal(19,0)")).alias("s")).collect())
     return (got[0].n if got else 0), [int(r.s) for r in sorted(got, key=lambda r: r.k)]
