@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from seriesframe.llm import (bpe, chat, decontam, jaccard_rtree, license_scan, periodic_runs, robust_quality, secret_crf,
-                             toxicity_chain, url_cascade, warc, whitening)
+from seriesframe.llm import (bpe, chat, decontam, jaccard_rtree, license_scan, lm_trie, periodic_runs, robust_quality,
+                             secret_crf, toxicity_chain, url_cascade, warc, whitening)
 
 QUERIES = {
     "op1_url_cascade": url_cascade.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_jaccard_rtree": jaccard_rtree.query,
     "op10_toxicity_chain": toxicity_chain.query,
     "op11_periodic_runs": periodic_runs.query,
+    "op12_lm_trie": lm_trie.query,
     "op13_whitening": whitening.query,
 }
 #: The others depend on models, hashing or compression; their tests hold them against brute force.
