@@ -13,8 +13,9 @@ lower order are quantised and kept in a trie by word, next word and third word
 (``elias_fano.Trie``), whose levels and pointers are Elias-Fano sequences.
 
 Nothing of the corpus's size is broadcast or held whole. Vocabulary and trie are
-cut into shards (words by their hash, word pairs with all their followers by
-theirs), whose number follows the bytes of text. Texts are read once and become
+cut into shards, whose number follows the bytes of text: words by their hash,
+pairs with all their followers by the first word's, and where that is hot
+(``HOT``) by the second word's too. Texts are read once and become
 blocks of numbered words of about ``BLOCK`` tokens, tables of packed arrays:
 
 1. each block sends its distinct words with training counts to the vocabulary's
@@ -54,7 +55,9 @@ from seriesframe.llm.elias_fano import Trie, build, restored
 #: Constants of the smoothing by order.
 M2, M3 = 2000.0, 4.0
 BLOCK = 1_500_000
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
+#: Occurrences of a first word for each shard that its pairs are dealt to.
+HOT = 1 << 19
 END = b""
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Rows that travel: the block, the shard, and packed arrays. Block -1 is a shard's own part of the model.
@@ -195,6 +198,11 @@ def vocabulary(words: DataFrame, shards: int, model: DataFrame | None = None, ke
     return _dealt(asked, "shard", shards).mapInArrow(work, ROW)
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64) * _MIX
+    return (x ^ (x >> np.uint64(29))) * _MIX
+
+
 class Grams:
     """Distinct pairs and triples of known words of one block, as a trie by shard."""
 
@@ -217,9 +225,11 @@ class Grams:
         pairs, self.pair = np.unique(before * k + word, return_inverse=True)
         triples, self.triple = np.unique(self.pair[self.later - 1] * k + word[self.later], return_inverse=True)
         a, b = names[pairs // k], names[pairs % k]
+        self.first_count = count_of[pairs // k]
+        # a first word's pairs go to one shard, those of a hot one to several, by the second word
+        spread = _mixed(b) % (1 + self.first_count // HOT).astype(np.uint64)
+        mixed = _mixed(a.astype(np.uint64) ^ (spread << np.uint64(40)))
         # a pair or triple with an unknown word is in no trie; its shard is none
-        mixed = (a.astype(np.uint64) * _MIX) ^ b.astype(np.uint64)
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * _MIX
         home = np.where((a > 0) & (b > 0), ((mixed >> np.uint64(33)) % np.uint64(shards)).astype(np.int64), shards)
         context, third = triples // k, names[triples % k]
         third_home = np.where(third > 0, home[context], shards)
@@ -228,7 +238,6 @@ class Grams:
         self.pair_edges = np.searchsorted(home[self.pairs], np.arange(shards + 1))
         self.triple_edges = np.searchsorted(third_home[self.triples], np.arange(shards + 1))
         self.a, self.b, self.context, self.third = a, b, context, third
-        self.first_count = count_of[pairs // k]
         self.pair_counts = np.bincount(self.pair[train], minlength=len(pairs))
         self.triple_counts = np.bincount(self.triple[train[self.later]], minlength=len(triples))
 

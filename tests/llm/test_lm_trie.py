@@ -118,6 +118,22 @@ def test_held_out_like_plain_counts(spark, shard_bytes, block):
     same(got, brute(ROWS, held))
 
 
+def test_a_hot_first_word_is_dealt_to_several_shards(monkeypatch):
+    monkeypatch.setattr(lm_trie, "HOT", 50)
+    block = lm_trie.Block()
+    block.add(1, " ".join(f"hot w{k % 97}" for k in range(2000)), False)
+    tokens, words = np.array(block.tokens), len(block.seen)
+    counts = np.bincount(tokens)
+    g = lm_trie.Grams(np.array(block.lengths), tokens, np.arange(1, words + 1), counts, np.ones(len(tokens), bool), 8)
+    lists = {s: lm_trie.Query(data) for s, data in g.lists()}
+    hot = block.seen[b"hot"] + 1
+    assert sum(hot in q.first for q in lists.values()) > 4
+    assert sorted(p for q in lists.values() for p in zip(q.first[q.parent_second].tolist(), q.second.tolist())) == sorted(zip(g.a.tolist(), g.b.tolist()))
+    for q in lists.values():
+        two, left, three = map(lm_trie.unpack, q.answer(lm_trie.Trie(lm_trie.merged_trie([q]))))
+        assert (two > 0).all() and (left > 0).all() and (three > 0).all() and len(three) == len(q.third)
+
+
 def test_a_kept_model_scores_other_texts(spark):
     train = [(i, t) for i, t in ROWS if i is not None and i % 2]
     model = lm_trie.train(spark.createDataFrame([(i, t, "x", 1) for i, t in train], FIELDS), 4000, 700)
