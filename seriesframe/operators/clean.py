@@ -3,7 +3,8 @@
 Each masking stage needs statistics of the survivors of the stage before,
 so a stage is: one aggregate for all columns per series, attached back
 (key join or scalar subquery, see ``stats.attach``), then a projection.
-Everything stays lazy; nothing is collected.
+Quartiles are exact and distributed (``ranks``): computing them writes the
+counted values into the shared folder. Nothing is collected.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from seriesframe import schema as S
 from seriesframe.functions.scalar import limit_expr, zero_to_missing
 from seriesframe.operators import frames as FR
+from seriesframe.operators import ranks as RK
 from seriesframe.operators import stats as ST
 from seriesframe.operators import windows as WN
 
@@ -22,10 +24,12 @@ from seriesframe.operators import windows as WN
 # outlier predicates (I1, I2): functions of the attached statistics
 # ---------------------------------------------------------------------------
 def iqr_stats(df, cols, keys=(), exact=True) -> DataFrame:
+    """Number of values and quartiles of each column per series; ``exact=False`` by sketches."""
+    if exact:
+        return RK.exact_quantiles(df, cols, (0.25, 0.75), keys)
     aggs = []
     for c in cols:
-        q = (F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))) if exact
-             else F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), 10000))
+        q = F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), 10000)
         aggs += [F.count(c).alias(f"_n_{c}"), q.alias(f"_q_{c}")]
     return df.groupBy(*keys).agg(*aggs)
 
@@ -146,7 +150,7 @@ def impute(df, cols, keys=(), order=(S.DATE,), method="auto",
            seasonal_above=S.POLLUTANT_SEASONAL_ABOVE,
            zero_missing_except=tuple(S.ZERO_IS_MISSING_EXCEPT), clip_lower=0.0,
            final_fill=True, limit=S.FORWARD_FILL_LIMIT, bucket_rows=FR.DEFAULT_BUCKET_ROWS,
-           block="month", knn_k=5):
+           block="month"):
     """Fill missing values of ``cols`` per series.
 
     Zero counts as missing except for ``zero_missing_except`` (Q1). With
@@ -162,10 +166,6 @@ def impute(df, cols, keys=(), order=(S.DATE,), method="auto",
         rates = ST.missing_rates(d, cols, keys)
         d = ST.attach(d, rates, keys)
     d = d.withColumns({c: zero_to_missing(c) for c in cols if c not in zero_missing_except})
-    if method == "knn":
-        # exact k-nearest-neighbour imputation compares every receiver with
-        # every donor; it is not built (see README, "Not built")
-        raise NotImplementedError("method='knn' is not available")
     fill_method = method
     seasonal = method in ("auto", "seasonal")
     s_cols = [f"_seas_{c}" for c in cols]

@@ -5,12 +5,15 @@ into one task, and ``partitionBy(station)`` puts a hot station (say a third
 of all rows) into one task. All window operators of this package therefore
 run on *buckets*: fixed-size runs of consecutive rows of one series.
 
-1. ``with_row_index``: per (series, calendar block) row counts — a small
-   aggregate — give each block its offset by a running sum over the block
-   table; ``idx = offset + row_number() within the block``. The block table is
-   joined back by key; Spark turns that join into a broadcast only while the
-   table is under ``autoBroadcastJoinThreshold`` (size-checked) and into a
-   shuffle join beyond it.
+1. ``with_row_index``: for a series with a declared grain (``block``, such as
+   the months of a daily series) per (series, calendar block) row counts — a
+   small aggregate — give each block its offset by a running sum over the
+   block table; ``idx = offset + row_number() within the block``. The block
+   table is joined back by key; Spark turns that join into a broadcast only
+   while the table is under ``autoBroadcastJoinThreshold`` (size-checked) and
+   into a shuffle join beyond it. Without a grain (``block=None``: any number
+   of rows in a day) positions come from sampled ranges of (keys, order), see
+   ``ranks``.
 2. ``with_buckets``: ``bucket = idx div B``. For frames that look back at most
    ``H`` rows, the last ``H`` rows of a bucket are also copied into the next
    bucket (``_copy``); windows then run ``partitionBy(series, bucket)`` and
@@ -18,8 +21,10 @@ run on *buckets*: fixed-size runs of consecutive rows of one series.
    ``B/H`` rows, one shuffle.
 3. ``with_carries``: unbounded look-back / look-ahead (fills, interpolation)
    is a per-bucket summary (last / first non-null value with its position
-   and time), a running max/min over the bucket table, joined back, and a
-   within-bucket running max/min. No task ever sees more than one bucket.
+   and time), a scan over the bucket table in two levels (runs of ``FAN``
+   buckets, then the runs), joined back, and a within-bucket running max/min.
+   No task sees more than one bucket, one run of buckets, or a series' runs,
+   each of which stands for ``FAN`` times the bucket's rows.
 """
 
 from __future__ import annotations
@@ -27,33 +32,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seriesframe.operators import ranks
+
 IDX = "_idx"
 BKT = "_bkt"
 COPY = "_copy"
 DEFAULT_BUCKET_ROWS = 2048
+FAN = 4096
 
 
 def _block_col(order_col: str, block: str) -> Column:
     return F.date_trunc(block, F.col(order_col))
 
 
-def with_row_index(df: DataFrame, keys: list[str], order: list[str], block: str = "month",
-                   idx_col: str = IDX) -> DataFrame:
+def with_row_index(df: DataFrame, keys: list[str], order: list[str], block: str | None = "month",
+                   idx_col: str = IDX, total_col: str | None = None) -> DataFrame:
     """Add the 0-based position of each row within its series (E9), distributed.
 
     ``order`` lists the sort columns; the first must be a date/timestamp and
-    the rest break ties so the index is deterministic.
+    the rest break ties so the index is deterministic. ``block`` declares a
+    calendar unit in which a series has few rows; None deals the rows into
+    ranges instead (written once). ``total_col`` also adds the series' row count.
     """
     keys = list(keys)
+    if block is None:
+        return ranks.positions(df, keys, list(order), idx_col, total_col)
     blk = "_blkt"
     d = df.withColumn(blk, _block_col(order[0], block))
     counts = d.groupBy(*keys, blk).agg(F.count(F.lit(1)).alias("_n"))
-    w_blocks = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, blk, F.coalesce(F.sum("_n").over(w_blocks), F.lit(0)).alias("_off"))
+    series = Window.partitionBy(*keys)
+    before = F.sum("_n").over(series.orderBy(blk).rowsBetween(Window.unboundedPreceding, -1))
+    total = [F.sum("_n").over(series).alias(total_col)] if total_col else []
+    offsets = counts.select(*keys, F.col(blk).alias("_blko"), F.coalesce(before, F.lit(0)).alias("_off"), *total)
     w_rows = Window.partitionBy(*keys, blk).orderBy(*order)
-    return (d.join(offsets, keys + [blk])
-             .withColumn(idx_col, F.col("_off") + F.row_number().over(w_rows) - 1)
-             .drop(blk, "_off"))
+    d = ranks.join_on(d, offsets, keys, lambda a, b: F.col(blk) == F.col("_blko"))
+    return (d.withColumn(idx_col, F.col("_off") + F.row_number().over(w_rows) - 1)
+             .drop(blk, "_blko", "_off"))
 
 
 def with_buckets(df_idx: DataFrame, halo: int = 0, bucket_rows: int = DEFAULT_BUCKET_ROWS,
@@ -95,7 +109,29 @@ def bounded(df: DataFrame, keys: list[str], order: list[str], halo: int,
 
 
 def _attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
-    return df.join(stats, keys, "left")
+    return ranks.join_on(df, stats, keys, how="left")
+
+
+def _scan(summary: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
+    """Carries into each bucket from the buckets before (``_cl_``) and after (``_cr_``) it.
+
+    Both directions are running frames (an "unbounded following" frame is
+    re-aggregated per row, quadratic in the partition size).
+    """
+    def running(table, part, pos, left, right):
+        ahead = Window.partitionBy(*part).rowsBetween(Window.unboundedPreceding, -1)
+        return table.select("*", *[F.max(f"_bl_{c}").over(ahead.orderBy(pos)).alias(left.format(c=c)) for c in cols],
+                            *[F.min(f"_bf_{c}").over(ahead.orderBy(F.col(pos).desc())).alias(right.format(c=c)) for c in cols])
+
+    runs = summary.withColumn("_run", F.floor(F.col(BKT) / FAN))
+    tops = runs.groupBy(*keys, "_run").agg(*[F.max(f"_bl_{c}").alias(f"_bl_{c}") for c in cols],
+                                           *[F.min(f"_bf_{c}").alias(f"_bf_{c}") for c in cols])
+    # runs are numbered from 0, so one partition (a column, 0 for all) is a whole series
+    tops = running(tops.withColumn("_all", F.shiftright("_run", 40)), [*keys, "_all"], "_run", "_tl_{c}", "_tr_{c}")
+    tops = tops.select(*keys, "_run", *[f"_t{s}_{c}" for s in "lr" for c in cols])
+    inner = running(runs, [*keys, "_run"], BKT, "_il_{c}", "_ir_{c}").drop(*[f"_b{s}_{c}" for s in "lf" for c in cols])
+    both = ranks.join_on(inner, tops, [*keys, "_run"], how="left")
+    return both.select(*keys, BKT, *[F.coalesce(f"_i{s}_{c}", f"_t{s}_{c}").alias(f"_c{s}_{c}") for s in "lr" for c in cols])
 
 
 def with_carries(df_idx: DataFrame, keys: list[str], cols: list[str], time_col: str | None = None,
@@ -124,16 +160,7 @@ def with_carries(df_idx: DataFrame, keys: list[str], cols: list[str], time_col:
     summary = d.groupBy(*part).agg(
         *[F.max(f"_s_{c}").alias(f"_bl_{c}") for c in cols],
         *[F.min(f"_s_{c}").alias(f"_bf_{c}") for c in cols])
-    # both directions as running frames (an "unbounded following" frame is
-    # re-aggregated per row, quadratic in the partition size)
-    w_left = Window.partitionBy(*keys).orderBy(BKT).rowsBetween(Window.unboundedPreceding, -1)
-    w_right = Window.partitionBy(*keys).orderBy(F.col(BKT).desc()).rowsBetween(
-        Window.unboundedPreceding, -1)
-    carries = summary.select(
-        *part,
-        *[F.max(f"_bl_{c}").over(w_left).alias(f"_cl_{c}") for c in cols],
-        *[F.min(f"_bf_{c}").over(w_right).alias(f"_cr_{c}") for c in cols])
-    d = _attach(d, carries, part)
+    d = _attach(d, _scan(summary, list(keys), cols), part)
     w_run = Window.partitionBy(*part).orderBy(idx_col).rowsBetween(Window.unboundedPreceding, 0)
     w_rest = Window.partitionBy(*part).orderBy(F.col(idx_col).desc()).rowsBetween(
         Window.unboundedPreceding, 0)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from seriesframe import schema as S
 from seriesframe.functions.scalar import np_round
+from seriesframe.operators import ranks
 
 
 def attach(df: DataFrame, stats: DataFrame, keys) -> DataFrame:
@@ -38,19 +39,16 @@ def quantiles(df: DataFrame, cols, probs=(0.25, 0.75), keys=(), exact: bool = Tr
               accuracy: int = 10000) -> DataFrame:
     """Linear-interpolated quantiles per series and column.
 
-    ``exact`` uses Spark's ``percentile`` (equal to pandas' default);
-    ``exact=False`` uses the bounded-memory ``percentile_approx`` for very
-    large groups.
+    ``exact`` reads the two ranks of each quantile from counted, range-dealt
+    values (equal to pandas' default); ``exact=False`` uses the bounded-memory
+    ``percentile_approx``.
     """
-    aggs = []
-    for c in cols:
-        for p in probs:
-            name = f"{c}_q{int(round(p * 100))}"
-            if exact:
-                aggs.append(F.percentile(c, F.lit(p)).alias(name))
-            else:
-                aggs.append(F.percentile_approx(c, F.lit(p), accuracy).cast("double").alias(name))
-    return df.groupBy(*keys).agg(*aggs)
+    keys, name = list(keys), lambda c, p: f"{c}_q{int(round(p * 100))}"
+    if exact:
+        st = ranks.exact_quantiles(df, cols, probs, keys)
+        return st.select(*keys, *[F.col(f"_q_{c}")[i].alias(name(c, p)) for c in cols for i, p in enumerate(probs)])
+    return df.groupBy(*keys).agg(*[
+        F.percentile_approx(c, F.lit(p), accuracy).cast("double").alias(name(c, p)) for c in cols for p in probs])
 
 
 def mean_std(df: DataFrame, cols, keys=()) -> DataFrame:

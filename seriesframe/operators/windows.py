@@ -221,7 +221,8 @@ def fill_exprs(c: str, method: str, limit: int | None = S.FORWARD_FILL_LIMIT,
     idx = F.col(idx_col)
     if method == "interpolate":
         tp, tn, t = prev["t"], nxt["t"], F.col("_t")
-        step = (nxt["v"] - prev["v"]) / (tn - tp) * (t - tp) + prev["v"]
+        # values at the same time around the gap leave no slope: the earlier one holds
+        step = F.when(tn == tp, prev["v"]).otherwise((nxt["v"] - prev["v"]) / (tn - tp) * (t - tp) + prev["v"])
         filled = F.when(v.isNull() & prev.isNotNull() & nxt.isNotNull(), step)
     elif method == "linear":
         ip, inx = prev["i"].cast("double"), nxt["i"].cast("double")

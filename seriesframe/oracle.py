@@ -114,11 +114,12 @@ def select_with(src: str, passthrough: list[str], exprs: dict) -> str:
 # fills and interpolation
 # ---------------------------------------------------------------------------
 def fill_sql(src: str, cols, method: str, keys, order, passthrough, limit=S.FORWARD_FILL_LIMIT,
-             final=False) -> str:
-    """Plain-window twin of ``windows.fill``."""
+             final=False, seconds=False) -> str:
+    """Plain-window twin of ``windows.fill``; ``seconds`` where the order starts with a timestamp."""
     wf = win(keys, order, "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
     wb = win(keys, order, "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING")
     inner = [f"*", f"row_number() OVER {win(keys, order)} - 1 AS idx_",
+             f"epoch_us({order[0]}) / 1000000.0::DOUBLE AS t_" if seconds else
              f"CAST(date_diff('day', DATE '1970-01-01', {order[0]}) AS DOUBLE) AS t_"]
     stage1 = f"SELECT {', '.join(inner)} FROM ({src}) a_"
     carry = ["*"]
@@ -136,8 +137,8 @@ def fill_sql(src: str, cols, method: str, keys, order, passthrough, limit=S.FORW
     for c in cols:
         inside = f"{c} IS NULL AND pv_{c} IS NOT NULL AND nv_{c} IS NOT NULL"
         if method == "interpolate":
-            filled = (f"CASE WHEN {inside} THEN (nv_{c} - pv_{c}) / (nt_{c} - pt_{c}) * (t_ - pt_{c})"
-                      f" + pv_{c} END")
+            filled = (f"CASE WHEN {inside} THEN CASE WHEN nt_{c} = pt_{c} THEN pv_{c} ELSE"
+                      f" (nv_{c} - pv_{c}) / (nt_{c} - pt_{c}) * (t_ - pt_{c}) + pv_{c} END END")
         elif method == "linear":
             filled = (f"CASE WHEN {inside} THEN (nv_{c} - pv_{c}) / CAST(ni_{c} - pi_{c} AS DOUBLE)"
                       f" * CAST(idx_ - pi_{c} AS DOUBLE) + pv_{c} END")
@@ -181,7 +182,8 @@ def carries_sql(src: str, cols, keys, order) -> str:
 def fill_expr_sql(c: str, method: str, limit=S.FORWARD_FILL_LIMIT, final=False) -> str:
     inside = f"{c} IS NULL AND pv_{c} IS NOT NULL AND nv_{c} IS NOT NULL"
     if method == "interpolate":
-        filled = f"CASE WHEN {inside} THEN (nv_{c} - pv_{c}) / (nt_{c} - pt_{c}) * (t_ - pt_{c}) + pv_{c} END"
+        filled = (f"CASE WHEN {inside} THEN CASE WHEN nt_{c} = pt_{c} THEN pv_{c} ELSE"
+                  f" (nv_{c} - pv_{c}) / (nt_{c} - pt_{c}) * (t_ - pt_{c}) + pv_{c} END END")
     elif method == "linear":
         filled = (f"CASE WHEN {inside} THEN (nv_{c} - pv_{c}) / CAST(ni_{c} - pi_{c} AS DOUBLE)"
                   f" * CAST(idx_ - pi_{c} AS DOUBLE) + pv_{c} END")

@@ -29,9 +29,8 @@ from seriesframe.operators import relational as R
 # splits and folds (K1-K3)
 # ---------------------------------------------------------------------------
 def _indexed(df, keys, order, block):
-    d = FR.with_row_index(df, list(keys), list(order), block, idx_col="_pos")
-    n = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return ST.attach(d, n, keys)
+    """Position of each row and row count of its series, from the same offsets."""
+    return FR.with_row_index(df, list(keys), list(order), block, idx_col="_pos", total_col="_n")
 
 
 def chrono_split(df, test=0.2, keys=(), order=(S.DATE,), block="month"):

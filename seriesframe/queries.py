@@ -190,16 +190,16 @@ def _events(spark, d):
 register("row_index_events", """
 SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS row_idx
 FROM events""")(lambda spark, d: WN.row_index(
-    _events(spark, d), keys=["user_id"], order=["ts", "event_id"], block="day").select(
+    _events(spark, d), keys=["user_id"], order=["ts", "event_id"], block=None).select(
         "event_id", "user_id", "row_idx"))
 
 
 def _events_rolling(spark, d):
     ev = _events(spark, d)
     out = WN.create_rolling_features(ev, ["value"], windows=[30], stats=["mean", "min"],
-                                     order=["ts", "event_id"], bucket_rows=500, block="day")
+                                     order=["ts", "event_id"], bucket_rows=500, block=None)
     out = WN.create_lag_features(out, ["value"], lag_steps=[30], order=["ts", "event_id"],
-                                 bucket_rows=500, block="day")
+                                 bucket_rows=500, block=None)
     return out.select("event_id", "value", "value_rolling_mean_30", "value_rolling_min_30",
                       "value_lag_30")
 
@@ -212,6 +212,25 @@ SELECT event_id, value,
 FROM events""", ["value", "value_rolling_mean_30", "value_rolling_min_30", "value_lag_30"],
     ["event_id"]))(_events_rolling)
 
+# readings at any time of the day, known for clicks only
+_READINGS_SQL = "SELECT event_id, user_id, ts, CASE WHEN event_type = 'click' THEN value END AS value FROM events"
+
+
+def _readings(spark, d):
+    ev = TD.table(spark, d, "events")
+    return ev.select("event_id", "user_id", "ts", F.when(F.col("event_type") == "click", F.col("value")).alias("value"))
+
+
+register("fill_events_time", O.wrap_round(
+    O.fill_sql(_READINGS_SQL, ["value"], "interpolate", [], ["ts", "event_id"], ["event_id"], seconds=True),
+    ["value"], ["event_id"]))(lambda spark, d: WN.fill(
+        _readings(spark, d), ["value"], "interpolate", order=["ts", "event_id"], block=None).select("event_id", "value"))
+register("fill_events_forward_user", O.wrap_round(
+    O.fill_sql(_READINGS_SQL, ["value"], "forward_fill", ["user_id"], ["ts", "event_id"], ["event_id", "user_id"], seconds=True),
+    ["value"], ["event_id", "user_id"]))(lambda spark, d: WN.fill(
+        _readings(spark, d), ["value"], "forward_fill", keys=["user_id"], order=["ts", "event_id"], block=None).select(
+            "event_id", "user_id", "value"))
+
 
 # ---------------------------------------------------------------------------
 # fills and interpolation (E6-E8) on a series with outages; so2 zeros = missing
@@ -462,6 +481,14 @@ SELECT Date, CASE WHEN pos_ < CAST(floor(n_ * 0.6) AS BIGINT) THEN 'train'
 FROM ({_POS_SQL}) p_""")(lambda spark, d: LN.chrono_split3(_series(spark, d)).select("Date", "split"))
 
 
+register("chrono_split_events", """
+SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1
+  < count(*) OVER (PARTITION BY user_id) - CAST(floor(count(*) OVER (PARTITION BY user_id) * 0.2) AS BIGINT)
+  THEN 'train' ELSE 'test' END AS split FROM events""")(
+    lambda spark, d: LN.chrono_split(_events(spark, d), keys=["user_id"], order=["ts", "event_id"], block=None).select(
+        "event_id", "split"))
+
+
 def _folds_df(spark, d):
     f = LN.time_series_folds(_series(spark, d), n_splits=5)
     return f.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("rows"), F.min("Date").alias("first_date"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
@@ -69,20 +70,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+def table(df, name: str = "table"):
+    """Write an intermediate table into the shared folder and read it again.
+
+    Columnar, so that later passes read only their columns; it survives the
+    loss of executors and cuts the lineage.
+    """
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialize(df, how: str = "checkpoint"):
     """Cut the lineage of a multi-consumer intermediate.
 
-    ``checkpoint`` writes it to the shared ``spark.checkpoint.dir`` (survives
-    executor loss, no recomputation of the upstream plan); ``cache`` keeps it
-    in executor memory/disk and falls back to recomputation on loss;
+    ``checkpoint`` writes it as a table to the shared ``spark.checkpoint.dir``
+    (survives executor loss, no recomputation of the upstream plan); ``cache``
+    keeps it in executor memory/disk and falls back to recomputation on loss;
     ``none`` leaves the plan lazy.
     """
     if how == "none":
         return df
     if how == "cache":
         return df.persist()
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return table(df, "materialized")
 
 
 @contextmanager
