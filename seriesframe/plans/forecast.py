@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 
-from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,19 +15,20 @@ from seriesframe import schema as S
 from seriesframe.functions import aqi as A
 from seriesframe.operators import relational as R
 from seriesframe.operators import windows as WN
+from seriesframe.plans import forest as FO
 from seriesframe.plans import learn as L
 
 
-def forecast(models: dict, series: DataFrame, features, keys=()):
+def forecast(model: FO.Forest, series: DataFrame, keys=()):
     """Next-day values of the 12 targets from the latest complete row, with
     AQI, main pollutant and health band (J6). Lags count rows, so the whole
     series is read; series without a complete row are in ``unscorable``."""
     keys = list(keys)
     feats = R.drop_incomplete(WN.create_all_features(series, keys=keys))
     last = R.latest_row(feats, keys)
-    aligned = R.align_features(last, features, keep=keys + ["Date"])
-    pred = L.predict(models, aligned, features)
-    out = pred.select(*keys, "Date", *[F.col(f"{t}_pred").alias(t) for t in models])
+    aligned = R.align_features(last, model.features, keep=keys + ["Date"])
+    pred = L.predict(model, aligned)
+    out = pred.select(*keys, "Date", *[F.col(f"{t}_pred").alias(t) for t in model.targets])
     return A.with_aqi(out, keep_sub_indices=False)
 
 
@@ -75,19 +75,11 @@ def write_importance(importance: DataFrame, path: str):
         .write.mode("overwrite").option("header", True).csv(path)
 
 
-def save_model(models: dict, features, path: str, spark):
-    """Persist one model per target and the ordered feature names."""
-    for t, m in models.items():
-        m.write().overwrite().save(f"{path}/model/{t}")
-    spark.createDataFrame([(i, f) for i, f in enumerate(features)], "pos int, feature string") \
-        .coalesce(1).write.mode("overwrite").parquet(f"{path}/features")
-    spark.createDataFrame([(t,) for t in models], "target string") \
-        .coalesce(1).write.mode("overwrite").parquet(f"{path}/targets")
+def save_model(model: FO.Forest, path: str):
+    """Persist a forest with its features, targets and bin edges."""
+    model.save(path)
 
 
-def load_model(path: str, spark):
-    """Load models and feature names; fails when absent."""
-    targets = [r["target"] for r in spark.read.parquet(f"{path}/targets").collect()]
-    feats = [r["feature"] for r in spark.read.parquet(f"{path}/features").orderBy("pos").collect()]
-    models = {t: RandomForestRegressionModel.load(f"{path}/model/{t}") for t in targets}
-    return models, feats
+def load_model(path: str, spark) -> FO.Forest:
+    """Load a forest; fails when absent."""
+    return FO.Forest.load(path, spark)

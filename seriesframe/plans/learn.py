@@ -3,26 +3,27 @@ sequences, multi-target forests, feature selection, parameter search and
 the sequence regression that stands in for the recurrent network.
 
 Splits and folds are positions from the distributed row index (no collect);
-each model fit is an MLlib job. Independent fits (one per target) are
-submitted from a small thread pool so the cluster runs them side by side.
+the forests are those of ``forest``.
 """
 
 from __future__ import annotations
 
-import math
+import json
 import random
+import statistics
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesframe import schema as S
 from seriesframe.operators import frames as FR
 from seriesframe.operators import stats as ST
-from seriesframe.operators import relational as R
+from seriesframe.plans import forest as FO
+from seriesframe.session import table
+from seriesframe.sources import readers as RD
 
 
 # ---------------------------------------------------------------------------
@@ -51,18 +52,6 @@ def chrono_split3(df, train=0.6, val=0.2, keys=(), order=(S.DATE,), block="month
     return d.withColumn("split", split).drop("_n")
 
 
-def fold_bounds(df_or_n, n_splits=5, keys=()):
-    """Expanding-window folds: test size ``n // (n_splits + 1)``; fold i tests
-    rows ``[n - (n_splits - i)·t, n - (n_splits - i - 1)·t)`` and trains on all
-    rows before (K3). Returns ``keys…, fold, test_start, test_end``."""
-    n = df_or_n.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    t = F.floor(F.col("_n") / F.lit(n_splits + 1)).cast("long")
-    folds = F.sequence(F.lit(0), F.lit(n_splits - 1))
-    x = n.select(*keys, "_n", t.alias("_t"), F.explode(folds).alias("fold"))
-    start = F.col("_n") - (F.lit(n_splits) - F.col("fold")) * F.col("_t")
-    return x.select(*keys, "fold", start.alias("test_start"), (start + F.col("_t")).alias("test_end"))
-
-
 def time_series_folds(df, n_splits=5, keys=(), order=(S.DATE,), block="month"):
     """Each row with the folds it belongs to: ``fold, role`` (train / test).
 
@@ -96,125 +85,140 @@ def evaluate(pred_df, targets=S.TARGETS, pred_fmt="{c}_pred"):
 # ---------------------------------------------------------------------------
 # forests (K4-K6, K8)
 # ---------------------------------------------------------------------------
-DEFAULT_FOREST = {"numTrees": 100, "maxDepth": 10, "featureSubsetStrategy": "sqrt",
-                  "minInstancesPerNode": 1, "bootstrap": True, "subsamplingRate": 1.0}
+DEFAULT_FOREST = FO.DEFAULTS
 
 
-def assemble(df, features, out="features"):
-    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep").transform(df)
+def train_forest(train_df, features, targets=S.TARGETS, params=None, seed=42):
+    """One forest for all targets (K4), see ``forest``."""
+    return FO.train(train_df, features, targets, params, seed)
 
 
-def train_forest(train_df, features, targets=S.TARGETS, params=None, seed=42, threads=4,
-                 assembled=False):
-    """One ``RandomForestRegressor`` per target (K4), fitted side by side."""
-    p = {**DEFAULT_FOREST, **(params or {})}
-    if int(p["maxDepth"]) > 30:
-        raise ValueError("maxDepth: at most 30 is supported")
-    data = train_df if assembled else assemble(train_df, features)
-    # every fit makes several passes: keep the assembled rows once instead of
-    # re-running the feature plan per pass and per target
-    data = data.select("features", *targets).persist()
+def predict(model: FO.Forest, df):
+    """Add ``<target>_pred`` for each fitted target."""
+    return model.transform(df)
 
-    def fit(t):
-        rf = RandomForestRegressor(featuresCol="features", labelCol=t, predictionCol=f"{t}_pred",
-                                   seed=seed, **p)
-        return t, rf.fit(data)
 
-    try:
-        with ThreadPoolExecutor(max_workers=max(1, min(threads, len(targets)))) as ex:
-            return dict(ex.map(fit, targets))
-    finally:
-        data.unpersist()
+def feature_importance(model: FO.Forest, spark) -> DataFrame:
+    """Importance per feature, averaged over the trees."""
+    rows = [(f, float(v)) for f, v in zip(model.features, model.importance())]
+    return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def predict(models: dict, df, features, assembled=False):
-    """Add ``<target>_pred`` for each fitted target."""
-    d = df if assembled else assemble(df, features)
-    for m in models.values():
-        d = m.transform(d)
-    return d
-
-
-def feature_importance(models: dict, features, spark) -> DataFrame:
-    """Importance per feature, averaged over targets."""
-    rows = []
-    for t, m in models.items():
-        imp = m.featureImportances.toArray()
-        rows += [(t, f, float(v)) for f, v in zip(features, imp)]
-    long = spark.createDataFrame(rows, "target string, feature string, importance double")
-    return long.groupBy("feature").agg(F.avg("importance").alias("importance"))
+#: The baseline forests of the selection try every feature at every split.
+BASELINE = {"numTrees": 100, "maxDepth": 20, "featureSubsetStrategy": "all"}
 
 
 def select_features(train_df, features, targets=S.TARGETS, k=150, params=None, seed=42):
-    """Top-k features by mean importance of a baseline forest per target (K5);
-    returns all features when there are at most k."""
+    """Top-k features by the mean over the targets of a baseline forest's
+    importances (K5); all features when there are at most k."""
     if len(features) <= k:
         return list(features)
-    base = {"numTrees": 100, "maxDepth": 20, **(params or {})}
-    models = train_forest(train_df, features, targets, base, seed)
-    imp = feature_importance(models, features, train_df.sparkSession)
-    top = R.top_k(imp, k, "importance", "feature")
-    return [r["feature"] for r in top.collect()]
+    imp = FO.importance_by_target(train_df, features, targets, {**BASELINE, **(params or {})}, seed)
+    return [f for _, f in sorted(zip(-imp, features))[:k]]
 
 
 SEARCH_SPACE = {
     "numTrees": (100, 500), "maxDepth": (5, 30),
     "featureSubsetStrategy": ["sqrt", "log2", "0.5", "0.7"],
-    "minInstancesPerNode": (1, 10), "bootstrap": [True, False], "subsamplingRate": (0.6, 1.0),
+    "minInstancesToSplit": (2, 20), "minInstancesPerNode": (1, 10), "bootstrap": [True, False], "subsamplingRate": (0.6, 1.0),
 }
 
 
 def sample_params(rng: random.Random, space=SEARCH_SPACE) -> dict:
-    p = {"numTrees": rng.randint(*space["numTrees"]), "maxDepth": rng.randint(*space["maxDepth"]),
-         "featureSubsetStrategy": rng.choice(space["featureSubsetStrategy"]),
-         "minInstancesPerNode": rng.randint(*space["minInstancesPerNode"]),
-         "bootstrap": rng.choice(space["bootstrap"])}
+    p = {k: rng.randint(*v) if isinstance(v, tuple) else rng.choice(v) for k, v in space.items() if k != "subsamplingRate"}
     p["subsamplingRate"] = rng.uniform(*space["subsamplingRate"]) if p["bootstrap"] else 1.0
     return p
 
 
-def search_params(df_idx, features, targets=S.TARGETS, n_trials=50, n_splits=5, seed=42,
-                  n_startup=5, n_warmup=2, space=SEARCH_SPACE, pos_col="_pos", n_rows=None):
-    """Random search with expanding-window CV and median stopping (K6).
+def should_prune(scores, completed, n_startup=5, n_warmup=2) -> bool:
+    """Median pruning: stop a trial whose best score so far is worse than the
+    median score of the completed trials at its last fold. No trial is stopped
+    before ``n_startup`` have completed, or in its first ``n_warmup`` folds."""
+    step = len(scores) - 1
+    at = [c[step] for c in completed if len(c) > step]
+    return len(completed) >= n_startup and step >= n_warmup and bool(at) and min(scores) > statistics.median(at)
+
 
-    ``df_idx`` carries the row position ``pos_col``. A trial stops after fold
-    ``f >= n_warmup`` when its running mean is worse than the median of the
-    completed trials at that fold (after ``n_startup`` trials). Returns
-    ``(best_params, trials)`` with ``trials`` a list of dicts.
+def _fold_score(model: FO.Forest, part: DataFrame, targets) -> float:
+    pred = predict(model, part)
+    per_fold, _ = ST.multi_rmse(long_predictions(pred, targets).withColumn("fold", F.lit(0)))
+    return per_fold.first()["rmse"]
+
+
+def search_params(df_idx, features, targets=S.TARGETS, n_trials=50, n_splits=5, seed=42,
+                  n_startup=5, n_warmup=2, space=SEARCH_SPACE, pos_col="_pos", store=None):
+    """Random search with expanding-window CV and median pruning (K6).
+
+    ``df_idx`` carries the row position ``pos_col``. Each fold's training rows
+    are binned once and serve all trials. With ``store`` (a path) every finished
+    trial is a row of a table there, and a search started again with the same
+    settings goes on after the trials it finds. Returns ``(best_params,
+    trials)`` with ``trials`` a list of dicts: trial, params, scores (one a
+    fold), score (their mean) and pruned.
     """
     rng = random.Random(seed)
-    data = assemble(df_idx, features).select(pos_col, "features", *targets).cache()
-    n = n_rows if n_rows is not None else data.count()
+    features, targets = list(features), list(targets)
+    spark = df_idx.sparkSession
+    data = table(df_idx.select(pos_col, *[f"`{c}`" for c in [*features, *targets]]), "search")
+    n = data.count()
     t = n // (n_splits + 1)
-    history: list[list[float]] = []
-    trials = []
+    if t == 0:
+        raise ValueError(f"{n} rows are too few for {n_splits} folds")
+    folds = []
+    for fold in range(n_splits):
+        start = n - (n_splits - fold) * t
+        train = data.where(F.col(pos_col) < start)
+        cuts = FO._cuts(train, features)
+        folds.append((FO._bin_table(train, features, targets, cuts), start, cuts,
+                      data.where((F.col(pos_col) >= start) & (F.col(pos_col) < start + t))))
+    trials = _stored_trials(store, spark)
+    done = len(trials)
     for trial in range(n_trials):
         p = sample_params(rng, space)
+        if trial < done:
+            continue
+        completed = [x["scores"] for x in trials if not x["pruned"]]
         scores, pruned = [], False
-        for fold in range(n_splits):
-            start = n - (n_splits - fold) * t
-            tr = data.where(F.col(pos_col) < start)
-            te = data.where((F.col(pos_col) >= start) & (F.col(pos_col) < start + t))
-            models = train_forest(tr, features, targets, p, seed, assembled=True)
-            pred = predict(models, te, features, assembled=True)
-            per_fold, _ = ST.multi_rmse(long_predictions(pred, targets).withColumn("fold", F.lit(fold)))
-            scores.append(per_fold.first()["rmse"])
-            running = sum(scores) / len(scores)
-            done = [h for h in history if len(h) > fold]
-            if len(history) >= n_startup and fold >= n_warmup and done:
-                med = sorted(sum(h[:fold + 1]) / (fold + 1) for h in done)[len(done) // 2]
-                if running > med:
-                    pruned = True
-                    break
-        trials.append({"trial": trial, "params": p, "score": sum(scores) / len(scores),
-                       "folds": len(scores), "pruned": pruned})
-        if not pruned:
-            history.append(scores)
-    data.unpersist()
+        for rows, n_rows, cuts, val in folds:
+            model = FO.train_binned(rows, n_rows, cuts, features, targets, {**FO.DEFAULTS, **p}, seed)
+            scores.append(_fold_score(model, val, targets))
+            if should_prune(scores, completed, n_startup, n_warmup):
+                pruned = True
+                break
+        trials.append({"trial": trial, "params": p, "scores": scores, "score": sum(scores) / len(scores), "pruned": pruned})
+        if store:
+            spark.createDataFrame([(trial, json.dumps(trials[-1]))], "trial int, result string").coalesce(1).write.mode("append").parquet(store)
     best = min((x for x in trials if not x["pruned"]), key=lambda x: x["score"])
     return best["params"], trials
 
 
+def _stored_trials(store, spark) -> list[dict]:
+    """Finished trials of an earlier run, as far as they follow each other from the first."""
+    if not store:
+        return []
+    held = RD.read_or_empty(spark, store, "trial int, result string").collect()
+    by = {r.trial: json.loads(r.result) for r in held}
+    return [by[k] for k in range(len(by)) if set(range(k + 1)) <= set(by)]
+
+
+def tuned_forest(df_idx, features, targets=S.TARGETS, test=0.2, k=150, pos_col="_pos", store=None, **search):
+    """The whole training chain: select features on the training rows, search
+    the parameters, refit on the training rows, evaluate on the last ones.
+
+    Returns ``(model, metrics, best_params)``. At least one row must be left
+    for either part.
+    """
+    n = df_idx.count()
+    start = n - int(test * n)
+    if not 0 < start < n:
+        raise ValueError(f"{n} rows are too few for a test share of {test}")
+    train, rest = df_idx.where(F.col(pos_col) < start), df_idx.where(F.col(pos_col) >= start)
+    names = select_features(train, features, targets, k)
+    best, _ = search_params(df_idx, names, targets, pos_col=pos_col, store=store, **search)
+    model = train_forest(train, names, targets, best)
+    return model, evaluate(predict(model, rest), targets), best
+
+
 # ---------------------------------------------------------------------------
 # scaling and sequence regression
 # ---------------------------------------------------------------------------
@@ -225,7 +229,7 @@ def sequence_regression(seq_df, targets=S.TARGETS, seq_length=14, split_col="spl
     the ``train`` rows; returns predictions for all rows."""
     d = seq_df.withColumn("features", array_to_vector(F.flatten("seq")))
     d = d.withColumns({t: F.col("target")[i] for i, t in enumerate(targets)})
-    tr = d.where(F.col(split_col) == "train")
+    tr = d.where(F.col(split_col) == "train").select("features", *targets).persist()
 
     def fit(t):
         lr = LinearRegression(featuresCol="features", labelCol=t, predictionCol=f"{t}_pred",
@@ -234,14 +238,7 @@ def sequence_regression(seq_df, targets=S.TARGETS, seq_length=14, split_col="spl
 
     with ThreadPoolExecutor(max_workers=4) as ex:
         models = dict(ex.map(fit, targets))
+    tr.unpersist()
     for m in models.values():
         d = m.transform(d)
     return d
-
-
-def vector_column_to_array(df, col="features"):
-    return df.withColumn(col, vector_to_array(col))
-
-
-def nan_safe(x):
-    return None if x is None or (isinstance(x, float) and math.isnan(x)) else x

@@ -758,55 +758,46 @@ LEFT JOIN (SELECT 'north' AS station, count(*) AS rows FROM ({TD.POLLUTANTS_SQL}
 # model fits (K4-K9, J6, J8): metric-level checks only, no SQL twin
 # ---------------------------------------------------------------------------
 from seriesframe.plans import forecast as FC  # noqa: E402
-from seriesframe.session import materialize  # noqa: E402
+from seriesframe.session import materialize, wide_plans  # noqa: E402
 
-_FITS: dict = {}
+def _features(spark, d):
+    feats = materialize(RL.drop_incomplete(WN.create_all_features(_series(spark, d))))
+    return feats, RL.split_xy(feats)
 
 
 def _forest(spark, d):
-    key = (d, id(spark))
-    if key not in _FITS:
-        feats = RL.drop_incomplete(WN.create_all_features(_series(spark, d)))
-        names = RL.split_xy(feats)
-        split = materialize(LN.chrono_split(feats))
-        train = split.where(F.col("split") == "train")
-        test = split.where(F.col("split") == "test")
-        models = LN.train_forest(train, names)
-        _FITS[key] = (models, names, test)
-    return _FITS[key]
+    feats, names = _features(spark, d)
+    split = materialize(LN.chrono_split(feats))
+    return LN.train_forest(split.where(F.col("split") == "train"), names), split.where(F.col("split") == "test")
 
 
 def _forest_metrics(spark, d):
-    models, names, test = _forest(spark, d)
-    return LN.evaluate(LN.predict(models, test, names))
+    model, test = _forest(spark, d)
+    return LN.evaluate(LN.predict(model, test))
 
 
 def _forest_importance(spark, d):
-    models, names, _ = _forest(spark, d)
-    imp = LN.feature_importance(models, names, spark)
-    return RL.top_k(imp, 20, "importance", "feature")
+    model, _ = _forest(spark, d)
+    return RL.top_k(LN.feature_importance(model, spark), 20, "importance", "feature")
 
 
 def _forest_report(spark, d):
-    models, names, _ = _forest(spark, d)
-    pred = FC.forecast(models, _series(spark, d), names)
-    return FC.forecast_report(pred, spark)
+    model, _ = _forest(spark, d)
+    return FC.forecast_report(FC.forecast(model, _series(spark, d)), spark)
 
 
 def _feature_selection(spark, d):
-    feats = materialize(RL.drop_incomplete(WN.create_all_features(_series(spark, d))))
-    names = RL.split_xy(feats)
-    train = LN.chrono_split(feats).where(F.col("split") == "train")
-    top = LN.select_features(train, names)
+    feats, names = _features(spark, d)
+    top = LN.select_features(LN.chrono_split(feats).where(F.col("split") == "train"), names)
     return spark.createDataFrame(list(enumerate(top)), "pos int, feature string")
 
 
 def _search(spark, d):
-    feats = RL.drop_incomplete(WN.create_all_features(_series(spark, d)))
-    names = RL.split_xy(feats)
+    feats, names = _features(spark, d)
     idx = materialize(FR.with_row_index(feats, [], ["Date"], idx_col="_pos"))
-    _, trials = LN.search_params(idx, names)
-    rows = [(t["trial"], t["score"], t["folds"], t["pruned"], str(t["params"])) for t in trials]
+    train = LN.chrono_split(feats).where(F.col("split") == "train")
+    _, trials = LN.search_params(idx, LN.select_features(train, names))
+    rows = [(t["trial"], t["score"], len(t["scores"]), t["pruned"], str(t["params"])) for t in trials]
     return spark.createDataFrame(rows, "trial int, cv_rmse double, folds int, pruned boolean, params string")
 
 
@@ -820,13 +811,11 @@ def _sequence_regression(spark, d):
 from seriesframe.operators import frames as FR  # noqa: E402
 
 def _wide(fn):
-    """Model queries plan over the 330 feature columns: switch off constraint
-    propagation for the session (see ``session.wide_plans``); results are
-    unchanged, only optimizer time is saved. Left off, since the returned
-    DataFrame is planned again when it runs."""
+    """Model queries plan over the 330 feature columns (see ``session.wide_plans``);
+    their results are small and written inside."""
     def run(spark, d):
-        spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
-        return fn(spark, d)
+        with wide_plans(spark):
+            return materialize(fn(spark, d))
     run.__name__ = fn.__name__
     return run
 

@@ -2,6 +2,7 @@
 import pytest
 
 from seriesframe import queries as Q
+from seriesframe.plans import forest as FO
 from seriesframe.plans import learn as LN
 
 SF = "/root/testdata/sf0.001"
@@ -11,19 +12,17 @@ class Stop(Exception):
     pass
 
 
-@pytest.mark.parametrize("build, trees, depth", [(Q._forest, 100, 10), (Q._feature_selection, 100, 20)])
-def test_forests_have_the_operators_settings(spark, monkeypatch, build, trees, depth):
-    seen = []
-
-    class Forest:
-        def __init__(self, **p):
-            seen.append(p)
-            raise Stop
+@pytest.mark.parametrize("build, name, trees, depth, subset", [
+    (Q._forest, "train", 100, 10, "sqrt"), (Q._feature_selection, "importance_by_target", 100, 20, "all")])
+def test_forests_have_the_operators_settings(spark, monkeypatch, build, name, trees, depth, subset):
+    def stop(df, features, targets, params, seed):
+        p = {**FO.DEFAULTS, **(params or {})}
+        assert (p["numTrees"], p["maxDepth"], p["featureSubsetStrategy"]) == (trees, depth, subset)
+        raise Stop
 
-    monkeypatch.setattr(LN, "RandomForestRegressor", Forest)
+    monkeypatch.setattr(FO, name, stop)
     with pytest.raises(Stop):
         build(spark, SF)
-    assert (seen[0]["numTrees"], seen[0]["maxDepth"], seen[0]["featureSubsetStrategy"]) == (trees, depth, "sqrt")
 
 
 def test_search_has_the_operators_settings(spark, monkeypatch):
@@ -32,5 +31,6 @@ def test_search_has_the_operators_settings(spark, monkeypatch):
         raise Stop
 
     monkeypatch.setattr(LN, "search_params", search)
+    monkeypatch.setattr(LN, "select_features", lambda df, names: names[:150])
     with pytest.raises(Stop):
         Q._search(spark, SF)

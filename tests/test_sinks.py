@@ -30,18 +30,18 @@ def test_model_roundtrip_and_metrics(spark):
     base = tempfile.mkdtemp(prefix="sf-model-")
     rows = [(float(i), float(i % 7), 2.0 * i + 1.0) for i in range(80)]
     df = spark.createDataFrame(rows, "a double, b double, y double")
-    models = L.train_forest(df, ["a", "b"], ["y"], {"numTrees": 5, "maxDepth": 4})
-    FC.save_model(models, ["a", "b"], base, spark)
-    loaded, feats = FC.load_model(base, spark)
-    assert feats == ["a", "b"] and list(loaded) == ["y"]
-    p1 = L.predict(models, df, feats).select("y_pred").collect()
-    p2 = L.predict(loaded, df, feats).select("y_pred").collect()
-    assert p1 == p2
-    m = L.evaluate(L.predict(loaded, df, feats), ["y"])
+    model = L.train_forest(df, ["a", "b"], ["y"], {"numTrees": 5, "maxDepth": 4})
+    FC.save_model(model, base)
+    loaded = FC.load_model(base, spark)
+    assert loaded.features == ["a", "b"] and loaded.targets == ["y"]
+    p1 = L.predict(model, df).select("a", "y_pred").collect()
+    p2 = L.predict(loaded, df).select("a", "y_pred").collect()
+    assert sorted(p1) == sorted(p2)
+    m = L.evaluate(L.predict(loaded, df), ["y"])
     r = m.first()
     assert r["feature"] == "y" and r["r2"] > 0.5
     FC.write_metrics(m, base + "/metrics", {"numTrees": 5})
     assert spark.read.json(base + "/metrics/metrics").count() == 1
-    imp = L.feature_importance(loaded, feats, spark)
+    imp = L.feature_importance(loaded, spark)
     FC.write_importance(imp, base + "/importance")
     assert spark.read.option("header", True).csv(base + "/importance").count() == 2
