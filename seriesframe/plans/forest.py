@@ -274,7 +274,8 @@ class Top:
 def _cuts(df: DataFrame, features) -> list[np.ndarray]:
     """Bin edges of each feature: a value is in the first bin whose edge is not below it."""
     probs = F.array(*[F.lit(k / BINS) for k in range(1, BINS)])
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"`{c}`").cast("double").alias("v")) for k, c in enumerate(features)])))
+    pairs = ", ".join(f"{k}, CAST(`{c}` AS DOUBLE)" for k, c in enumerate(features))
+    long = df.selectExpr(f"stack({len(features)}, {pairs}) AS (k, v)")
     found = {r.k: r.e for r in long.groupBy("k").agg(F.percentile_approx("v", probs, 2000).alias("e")).collect()}
     return [np.unique(np.array(found.get(k) or [], np.float64)) for k in range(len(features))]
 
