@@ -22,10 +22,10 @@ similarity of at least ``percent``. The steps:
    boxes of counts, sizes and component) prunes by the summed minima; in smaller
    ones every pair is bounded. Pairs that survive are verified on the whole sets.
    Rounds of ``link``: first every class against the block's most central class,
-   then against all outside its component; where those are more pairs than
-   classes, each class is first joined with its best candidate. Pairs inside a
-   component are not needed for it, so a group of near copies costs about as many
-   pairs as classes.
+   then each class with its best candidate outside its component, and last
+   against all outside its component. Pairs inside a component are not needed
+   for it, so a group of near copies costs about as many pairs as classes: the
+   first two rounds join it before any round asks for all pairs.
 
 ``pairs`` gives every link: one round of all pairs, without components.
 
@@ -459,13 +459,11 @@ def link(docs: DataFrame, percent: int = 80, sample_docs: int = SAMPLE_DOCS, sli
     """
     docs = docs.select("doc_id", text_of("text").alias("_text"))
     points, classes, central, rows = _prepared(docs, percent, sample_docs)
-    links, comps, plan = None, None, ["star", "all"]
-    for mode in plan:
+    vectors = classes.select("id", "vector")
+    links, comps = None, None
+    for mode in ("star", "best", "all"):
         placed = rows.withColumn("comp", F.col("id")) if comps is None else rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        found = shared(_candidates(placed, classes.select("id", "vector"), mode, percent, slice_rows), "pairs")
-        if mode == "all" and "best" not in plan and found.count() > central.count():
-            plan += ["best", "all"]  # many pairs are left: first join what the likeliest of them join
-            continue
+        found = shared(_candidates(placed, vectors, mode, percent, slice_rows), "pairs")
         new = shared(_verified(found, _sets(docs, classes, found), percent), "linked")
         if comps is None or not new.isEmpty():
             links = new if links is None else links.union(new)
