@@ -83,6 +83,12 @@ def health_dimension(spark):
     return spark.createDataFrame(rows, "upper int, category string, label string, advice string")
 
 
+def with_advice(df):
+    """Add the health advice of each row's ``category`` (six rows, joined)."""
+    bands = health_dimension(df.sparkSession).select("category", "advice")
+    return df.join(F.broadcast(bands), "category", "left").select(*df.columns, "advice")
+
+
 def breakpoint_table(spark):
     """The breakpoint table as a 40-row DataFrame (C3 table form)."""
     rows = []

@@ -42,10 +42,10 @@ def unscorable(series: DataFrame, keys) -> DataFrame:
 
 
 def forecast_report(pred: DataFrame, spark, keys=()):
-    """Predictions unpivoted with units and formatted text, plus AQI fields."""
+    """Predictions unpivoted with units and formatted text, plus AQI fields and health advice."""
     keys = list(keys)
-    long = R.unpivot_metrics(pred, [t for t in S.TARGETS if t in pred.columns],
-                             keys + ["Date", "aqi", "main_pollutant", "category"])
+    long = R.unpivot_metrics(A.with_advice(pred), [t for t in S.TARGETS if t in pred.columns],
+                             keys + ["Date", "aqi", "main_pollutant", "category", "advice"])
     return R.with_units(long, spark).withColumn("text", R.format_value())
 
 

@@ -705,9 +705,14 @@ def _process_weather_sql(where="true"):
                         seasonal_above=S.WEATHER_SEASONAL_ABOVE)
 
 
-def _process_pollutants_plain_sql():
+def _process_pollutants_plain_sql(history=None):
+    """Twin of ``process_pollutants``; ``history`` is SQL for stored days, which newer rows follow."""
     parsed = O.coerce_pollutants_sql(TD.POLLUTANTS_RAW_SQL)
     kept = f"SELECT * FROM ({parsed}) k_ WHERE Date IS NOT NULL AND Date < DATE '2100-01-01'"
+    if history:
+        cols = ", ".join(_POL)
+        kept = (f"SELECT {cols} FROM ({history}) h_ UNION ALL SELECT {cols} FROM ({kept}) n_ "
+                f"WHERE Date > (SELECT max(Date) FROM ({history}) g_)")
     masked = O.mask_sql(kept, _POL, S.POLLUTANTS, [], S.POLLUTANT_LIMITS, 3.0, 4.0)
     filled = O.impute_sql(masked, _POL, S.POLLUTANTS, [], ["Date"], method="auto",
                           seasonal_above=S.POLLUTANT_SEASONAL_ABOVE)
@@ -720,6 +725,37 @@ SELECT p.Date, p.co, p.no2, p.o3, p.pm10, p.pm25, p.so2, w.Temp, w.Rain, w.Cloud
 FROM ({_process_pollutants_plain_sql()}) p JOIN ({_process_weather_sql(where)}) w ON p.Date = w.Date"""
 
 
+_POL_HISTORY_SQL = f"SELECT * FROM ({TD.POLLUTANTS_SQL}) p_ WHERE Date < DATE '{_CUTOFF}'"
+_WEATHER_CONTEXT_SQL = f"SELECT * FROM ({TD.WEATHER_SQL}) w_ WHERE Date < DATE '{_CUTOFF}'"
+
+
+def _before_cutoff(df):
+    return df.where(F.col("Date") < F.lit(_CUTOFF).cast("date"))
+
+
+register("process_pollutants_history", O.wrap_round(
+    _process_pollutants_plain_sql(_POL_HISTORY_SQL), S.POLLUTANTS, ["Date"]))(
+    lambda spark, d: PL.process_pollutants(TD.pollutants_raw(spark, d), _before_cutoff(TD.pollutants(spark, d))))
+
+
+def _process_weather_context_sql():
+    cols = ", ".join(_W)
+    after = f"Date > (SELECT max(Date) FROM ({_WEATHER_CONTEXT_SQL}) m_)"
+    both = (f"SELECT {cols} FROM ({_daily_mean_sql()}) d_ WHERE {after} "
+            f"UNION ALL SELECT {cols} FROM ({_WEATHER_CONTEXT_SQL}) c_")
+    filled = O.impute_sql(both, _W, S.WEATHER, [], ["Date"], method="auto", seasonal_above=S.WEATHER_SEASONAL_ABOVE)
+    return f"SELECT * FROM ({filled}) f_ WHERE {after}"
+
+
+register("process_weather_context", O.wrap_round(_process_weather_context_sql(), S.WEATHER, ["Date"]))(
+    lambda spark, d: PL.process_weather(TD.weather_rows(spark, d), context=_before_cutoff(TD.weather(spark, d))))
+
+_ADVICE_SQL = " ".join("WHEN '{}' THEN '{}'".format(k, v.replace("'", "''")) for k, v in S.HEALTH_ADVICE.items())
+register("aqi_advice", f"""
+SELECT Date, aqi, category, CASE category {_ADVICE_SQL} END AS advice FROM ({aqi_sql_select(
+    masked_pollutants_sql(TD.POLLUTANTS_SQL, ['Date']), ['Date'] + S.POLLUTANTS)}) a_""")(
+    lambda spark, d: A.with_advice(aqi_daily_df(spark, d).select("Date", "aqi", "category")))
+
 register("update_dataset", O.wrap_round(_update_sql(), S.TARGETS, ["Date"]))(_update_first)
 
 
