@@ -36,3 +36,11 @@ def ascii_lower(c: Column) -> Column:
 
 def text_of(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
+
+
+def free(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

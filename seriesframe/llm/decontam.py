@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesframe.llm.common import read, shared, text_of
+from seriesframe.llm.common import free, read, shared, text_of
 
 WINDOW = 10
 SHORTEST = 6
@@ -224,8 +224,9 @@ def _aligned(pairs: DataFrame, least: int) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without those into which an item leaks."""
-    bad = shared(leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "leaks")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text_of("text")) == F.col("_hash")), "left_anti")
+    own, text = free(docs, "_id"), free(docs, "_hash")
+    bad = shared(leaks(docs, benchmark).select(F.col("doc_id").alias(own), F.col("text_hash").alias(text)).distinct(), "leaks")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64(text_of("text")) == F.col(text)), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesframe.llm.common import read, shared, text_of
+from seriesframe.llm.common import free, read, shared, text_of
 from seriesframe.llm.components import components
 from seriesframe.llm.url_cascade import _hits, _level
 
@@ -485,14 +485,15 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     found = shared(link(docs, **options).where("n_shingles > 0").groupBy("doc_id", "text_hash", "comp").agg(F.count("*").alias("n")), "linked-docs")
     best = found.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("m"))
     first = F.col("doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("text_hash") == F.col("m.text_hash"))
-    ranked = found.join(best, "comp").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_other"), "n", first.alias("first"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_other"))
-    left = docs.withColumn("_hash", hashed).join(ranked.where("NOT first"), same, "left_anti")
-    repeated = ranked.where("first AND n > 1").select("_id", "_other")
+    own, other, text = (free(docs, c) for c in ("_id", "_other", "_hash"))
+    ranked = found.join(best, "comp").select(F.col("doc_id").alias(own), F.col("text_hash").alias(other), "n", first.alias("first"))
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(text) == F.col(other))
+    left = docs.withColumn(text, hashed).join(ranked.where("NOT first"), same, "left_anti")
+    repeated = ranked.where("first AND n > 1").select(own, other)
     if not repeated.isEmpty():
-        once = left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "_hash"])
+        once = left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", text])
         left = left.join(repeated, same, "left_anti").unionByName(once)
-    return left.select(docs.columns)
+    return left.drop(text)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

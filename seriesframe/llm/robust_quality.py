@@ -31,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesframe.llm.common import SPACE, WORD, read, shared, text_of
+from seriesframe.llm.common import SPACE, WORD, free, read, shared, text_of
 
 SYMBOLS = "#*$%&|<>"
 #: Share of rows that a concentration step keeps, and the factor that makes
@@ -194,8 +194,9 @@ def judge(stats: DataFrame, cutoff: float = CUTOFF, **options) -> DataFrame:
 def keep_good(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the rejected documents, which are found by id and text."""
     stats = shared(statistics(docs, F.xxhash64(text_of("text")).alias("text_hash")), "quality-stats")
-    bad = judge(stats, **options).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(text_of("text")) == F.col("_hash")), "left_anti")
+    own, text = free(docs, "_id"), free(docs, "_hash")
+    bad = judge(stats, **options).where("NOT kept").select(F.col("doc_id").alias(own), F.col("text_hash").alias(text)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64(text_of("text")) == F.col(text)), "left_anti")
 
 
 RESULT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
