@@ -17,18 +17,22 @@ from seriesframe.operators import relational as R
 from seriesframe.operators import windows as WN
 from seriesframe.plans import forest as FO
 from seriesframe.plans import learn as L
+from seriesframe.plans import prepare as PR
 
 
-def forecast(model: FO.Forest, series: DataFrame, keys=()):
-    """Next-day values of the 12 targets from the latest complete row, with
-    AQI, main pollutant and health band (J6). Lags count rows, so the whole
-    series is read; series without a complete row are in ``unscorable``."""
+def forecast(model: FO.Forest, series: DataFrame, keys=(), horizon: int = 0):
+    """Values of the 12 targets from the latest complete row, with AQI, main
+    pollutant and health band (J6). Lags count rows, so the whole series is
+    read; series without a complete row are in ``unscorable``. ``horizon`` is
+    that of the model's targets (``prepare``): with it ``Date`` is the day forecast,
+    else the scored row's own."""
     keys = list(keys)
     feats = R.drop_incomplete(WN.create_all_features(series, keys=keys))
     last = R.latest_row(feats, keys)
     aligned = R.align_features(last, model.features, keep=keys + ["Date"])
     pred = L.predict(model, aligned)
-    out = pred.select(*keys, "Date", *[F.col(f"{t}_pred").alias(t) for t in model.targets])
+    day = F.date_add("Date", horizon).alias("Date") if horizon else F.col("Date")
+    out = pred.select(*keys, day, *[F.col(f"{t}_pred").alias(t.removesuffix(PR.NEXT) if horizon else t) for t in model.targets])
     return A.with_aqi(out, keep_sub_indices=False)
 
 
@@ -50,8 +54,8 @@ def forecast_report(pred: DataFrame, spark, keys=()):
 
 
 def write_series(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None):
-    """Replace a stored table (A6). Write to a new path and swap; never over the
-    table being read in the same plan."""
+    """Replace a stored table in place (A6); never the table being read in the same
+    plan. ``sources.versioned`` keeps the old table until the new one is whole."""
     w = df.write.mode("overwrite").format(fmt)
     if partition_by:
         w = w.partitionBy(*partition_by)

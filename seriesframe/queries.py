@@ -466,6 +466,8 @@ register("process_pollutants", _process_pollutants_sql())(
 # splits, folds, metrics, scaling, sequences
 # ---------------------------------------------------------------------------
 from seriesframe.plans import learn as LN  # noqa: E402
+from seriesframe.plans import prepare as PR  # noqa: E402
+from seriesframe.plans import scaling as SC  # noqa: E402
 
 _POS_SQL = (f"SELECT *, row_number() OVER (ORDER BY Date) - 1 AS pos_, count(*) OVER () AS n_ "
             f"FROM ({TD.SERIES_SQL}) s0_")
@@ -567,6 +569,58 @@ _SCALED_SQL = ("SELECT Date, " + ", ".join(
 register("minmax_scaled", O.wrap_round(_SCALED_SQL, S.TARGETS, ["Date"]))(_scaled)
 
 
+def _scaled_on_train(spark, d, keys=()):
+    split = LN.chrono_split3(_series(spark, d, bool(keys)), keys=keys).drop("_pos")
+    return SC.SeriesScaler(inputCols=list(S.TARGETS), keys=list(keys)).fit(split).transform(split)
+
+
+def _scaled_on_train_sql(keys=()):
+    part = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    src = TD.SERIES_STATION_SQL if keys else TD.SERIES_SQL
+    train, val = (f"CAST(floor(n_ * {x}) AS BIGINT)" for x in (0.6, 0.2))
+    split = (f"SELECT *, CASE WHEN pos_ < {train} THEN 'train' WHEN pos_ < {train} + {val} THEN 'val' ELSE 'test' END AS split "
+             f"FROM (SELECT *, row_number() OVER ({part}ORDER BY Date) - 1 AS pos_, count(*) OVER ({part}) AS n_ FROM ({src}) s0_) p_")
+    scaled = []
+    for c in S.TARGETS:
+        lo, hi = (f"{f}({c}) FILTER (WHERE split = 'train') OVER ({part})" for f in ("min", "max"))
+        scaled.append(f"CASE WHEN {hi} - {lo} = 0 THEN 0.0 ELSE ({c} - {lo}) / ({hi} - {lo}) END AS {c}")
+    own = [*keys, "Date", "split"]
+    return O.wrap_round(f"SELECT {', '.join(own + scaled)} FROM ({split}) t_", S.TARGETS, own)
+
+
+register("minmax_scaled_train", _scaled_on_train_sql())(_scaled_on_train)
+register("minmax_scaled_train_station", _scaled_on_train_sql(["station"]))(
+    lambda spark, d: _scaled_on_train(spark, d, ["station"]))
+
+# ---------------------------------------------------------------------------
+# targets of the next day (J5 with a horizon)
+# ---------------------------------------------------------------------------
+_NEXT = [f"{c}_next" for c in S.TARGETS]
+
+register("next_day_targets_station", O.wrap_round(
+    "SELECT a.*, " + ", ".join(f"b.{c} AS {c}_next" for c in S.TARGETS)
+    + f" FROM ({TD.SERIES_STATION_SQL}) a LEFT JOIN ({TD.SERIES_STATION_SQL}) b"
+      " ON a.station = b.station AND b.Date = a.Date + INTERVAL 1 DAY",
+    S.TARGETS + _NEXT, ["station", "Date"]))(
+    lambda spark, d: PR.later_targets(_series(spark, d, True), keys=["station"]))
+
+
+def _prepared_sql():
+    exprs = O.all_features_sql(S.TARGETS, [], ["Date"])
+    feats = O.select_with(TD.SERIES_SQL, _BASE, exprs)
+    cols = _BASE + list(exprs)
+    later = ", ".join(f"n_.{c} AS {c}_next" for c in S.TARGETS)
+    whole = " AND ".join([f"f_.{O.q(c)} IS NOT NULL" for c in cols] + [f"n_.{c} IS NOT NULL" for c in S.TARGETS])
+    days = ["Date", "dayofweek", "month"]
+    return O.wrap_round(f"SELECT f_.*, {later} FROM ({feats}) f_ JOIN ({TD.SERIES_SQL}) n_ "
+                        f"ON n_.Date = f_.Date + INTERVAL 1 DAY WHERE {whole}",
+                        [c for c in cols if c not in days] + _NEXT, days)
+
+
+register("prepared_next_day", _prepared_sql())(
+    lambda spark, d: PR.prepare_features(_series(spark, d), horizon=1).rows)
+
+
 def _sequences_long(spark, d, L=14):
     seq = WN.create_sequences(_scaled(spark, d), S.TARGETS, seq_length=L)
     ex = seq.select("Date", F.posexplode("seq").alias("step", "row"))

@@ -10,7 +10,8 @@ SF = "/root/testdata/sf0.001"
 FAST = ["aqi_daily", "aqi_rows", "lag_features", "trend_features", "all_features_station",
         "fill_interpolate_final", "mask_outliers_station", "quality_report", "impute_auto",
         "weather_rows_parsed", "process_weather", "naive_forecast_metrics", "sequences",
-        "dedupe_keep_last", "rows_from_pages", "dates_to_load", "time_series_folds"]
+        "dedupe_keep_last", "rows_from_pages", "dates_to_load", "time_series_folds",
+        "minmax_scaled_train", "minmax_scaled_train_station", "next_day_targets_station", "prepared_next_day"]
 
 
 @pytest.fixture(scope="module")
