@@ -14,7 +14,7 @@ import statistics
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -242,3 +242,38 @@ def sequence_regression(seq_df, targets=S.TARGETS, seq_length=14, split_col="spl
     for m in models.values():
         d = m.transform(d)
     return d
+
+
+def sequence_boosting(seq_df, targets=S.TARGETS, split_col="split", max_iter=100, max_depth=5, step=0.1,
+                      tol=0.001, seed=42):
+    """Next-row forecast from windows by boosted trees that stop early (K9).
+
+    Trees are fitted on the ``train`` rows, a model per target on the flattened
+    window; the ``val`` rows decide when to stop: at the first tree that lowers
+    their error by less than ``tol`` of it, the best number before it is kept.
+    Returns predictions for all rows with whole windows and the number of trees
+    by target. A window with a missing value gives no row; rows with a missing
+    target are scored and not fitted.
+    """
+    d = seq_df.withColumn("features", F.flatten("seq")).where(~F.exists("features", lambda x: x.isNull()))
+    d = d.withColumn("features", array_to_vector("features"))
+    d = d.withColumns({t: F.col("target")[i] for i, t in enumerate(targets)})
+    rows = d.where(F.col(split_col).isin("train", "val")).select(
+        "features", (F.col(split_col) == "val").alias("held"), *targets).persist()
+
+    def fit(t):
+        gbt = GBTRegressor(featuresCol="features", labelCol=t, predictionCol=f"{t}_pred", validationIndicatorCol="held",
+                           maxIter=max_iter, maxDepth=max_depth, stepSize=step, validationTol=tol, seed=seed)
+        return t, gbt.fit(rows.where(F.col(t).isNotNull()))
+
+    try:
+        parts = {r.held for r in rows.select("held").distinct().collect()}
+        if parts != {True, False}:
+            raise ValueError("both train and val rows are needed")
+        with ThreadPoolExecutor(max_workers=4) as ex:
+            models = dict(ex.map(fit, targets))
+    finally:
+        rows.unpersist()
+    for m in models.values():
+        d = m.transform(d)
+    return d, {t: m.getNumTrees for t, m in models.items()}
