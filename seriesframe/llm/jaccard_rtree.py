@@ -18,19 +18,21 @@ similarity of at least ``percent``. The steps:
    are blocks left with one class. Shingles frequent in a sample of documents
    come last in the order: that keeps common passages out of the blocks and,
    as any order is right, changes no result.
-4. In a block of more than ``SCAN`` classes, an R-tree over the points (bounding
-   boxes of counts, sizes and component) prunes by the summed minima; in smaller
-   ones every pair is bounded. Pairs that survive are verified on the whole sets.
-   Rounds of ``link``: first every class against the block's most central class,
-   then each class with its best candidate outside its component, and last
-   against all outside its component. Pairs inside a component are not needed
-   for it, so a group of near copies costs about as many pairs as classes: the
-   first two rounds join it before any round asks for all pairs.
-
-``pairs`` gives every link: one round of all pairs, without components.
-
-Blocks larger than ``SLICE`` are dealt to several tasks by pairs of slices.
-Everything between the steps is written to the shared folder.
+4. Each block is searched with an R-tree over its points (bounding boxes of
+   counts and sizes), which prunes by the summed minima; a tree of up to ``LEAF``
+   points is one leaf, whose pairs are all bounded. The search goes from point to
+   point: what is reached leaves the tree, so a block sends a spanning forest of
+   the pairs that the bound lets through, fewer rows than it has classes.
+5. The forests' components are clusters; every link lies inside one. Each text
+   of a cluster goes once to the cluster's task, which searches a tree again in
+   the same way, but goes on only to points whose whole sets link, and sends a
+   spanning forest of verified links. Their components are the result.
+
+``pairs`` gives every link: all pairs of each block, verified by joins.
+
+Blocks and clusters larger than ``SLICE`` rows (clusters also by their shingles)
+are dealt to several tasks by pairs of slices. Everything between the steps is
+written to the shared folder. Words and shingles are compared by 64-bit hashes.
 
 Defined results: null texts are empty; empty documents link with nothing and
 are their own component. Repeated and null ids are rows of their own;
@@ -57,8 +59,9 @@ MAX_FREQUENT = 200_000
 MAX_GROUPS = 128
 FILTER_BITS = 1 << 25
 SLICE = 4096
-LEAF = 16
-SCAN = 128
+SLICE_SHINGLES = 1 << 22
+LEAF = SCAN = 16
+SEEN = 1 << 18
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -277,47 +280,109 @@ def _bounds(rows: list, pairs: list) -> list:
     return out
 
 
-def _search_leaf(rows: list, mode: str, percent: int):
-    """Candidate pairs of a block of up to ``SCAN`` rows, a tree of one leaf: every pair that sizes and components allow is bounded.
+class Index:
+    """Trees over the count vectors of some rows, one for each length of vector.
 
-    ``star`` has one query only, so it scans a block of any size this way.
+    ``open`` marks the rows not yet reached. A tree is built anew from its open
+    rows when half of it has been reached.
     """
+
+    def __init__(self, vectors: list, sizes: np.ndarray, percent: int):
+        self.vectors, self.sizes, self.percent = vectors, sizes, percent
+        self.open = np.ones(len(sizes), bool)
+        lengths = np.array([len(v) for v in vectors])
+        left = np.array([v[:len(v) // 2].sum() for v in vectors])
+        order = np.lexsort((left, np.log(sizes) // 0.06))
+        self.rows = {g: order[lengths[order] == g] for g in np.unique(lengths).tolist()}
+        self.trees: dict = {}
+
+    def near(self, q: int) -> np.ndarray:
+        """Open rows that the bound on the overlap with row ``q`` lets through."""
+        found = [np.empty(0, np.int64)]
+        for g, rows in self.rows.items():
+            alive = self.open[rows]
+            count = np.count_nonzero(alive)
+            if not count:
+                continue
+            if 2 * count <= len(rows):
+                rows = self.rows[g] = rows[alive]
+                self.trees = {k: t for k, t in self.trees.items() if k[0] != g}
+            step = min(g, len(self.vectors[q]))
+            if (g, step) not in self.trees:
+                self.trees[g, step] = Tree(np.stack([_fold(self.vectors[r], step) for r in rows]), self.sizes[rows], np.zeros(len(rows), np.int64))
+            at = rows[self.trees[g, step].search(_fold(self.vectors[q], step), int(self.sizes[q]), -1, self.percent)[0]]
+            found.append(at[self.open[at]])
+        return np.concatenate(found)
+
+
+def _forest(index: Index, seeds, near):
+    """Edges (q, row) of a spanning forest; ``near`` gives the open neighbours of a row."""
+    for seed in seeds:
+        if index.open[seed]:
+            index.open[seed] = False
+            reached = [seed]
+            for q in reached:
+                if not index.open.any():
+                    return
+                new = near(q).tolist()
+                index.open[new] = False
+                reached.extend(new)
+                yield from ((q, j) for j in new)
+
+
+class Joined:
+    """Union-find over the edges that a task has sent; it starts anew when full, which only repeats edges."""
+
+    def __init__(self):
+        self.parent: dict = {}
+
+    def root(self, x):
+        while (y := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(y, y)
+            x = y
+        return x
+
+    def join(self, a, b) -> bool:
+        """Whether the edge joins what was apart."""
+        if len(self.parent) > SEEN:
+            self.parent.clear()
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.parent[a] = b
+        return a != b
+
+
+def _search_leaf(rows: list, percent: int):
+    """Candidate pairs of a block of one leaf: every pair that sizes and components allow is bounded."""
     across = rows[0][6][0] != rows[0][6][1]
 
     def fits(q, r):
         low, high = (q[2], r[2]) if q[2] < r[2] else (r[2], q[2])
         return q[1] != r[1] and 100 * low >= percent * high and not (across and q[5] == r[5])
 
-    m = len(rows)
-    if mode == "star":
-        lead = min(range(m), key=lambda i: (-rows[i][4], rows[i][0]))
-        pairs = [(i, lead) for i in range(m) if fits(rows[i], rows[lead])]
-    else:
-        pairs = [(i, j) for i in range(m) for j in range(i) if fits(rows[i], rows[j])]
-    best: dict = {}
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if fits(rows[i], rows[j])]
     for (i, j), bound in zip(pairs, _bounds(rows, pairs)):
         q, r = rows[i], rows[j]
-        if bound * (100 + percent) < percent * (q[2] + r[2]):
-            continue
-        share = bound / (q[2] + r[2])
-        if mode == "all":
-            yield min(q[0], r[0]), max(q[0], r[0]), 0.0
-        elif mode == "star":
-            yield q[0], r[0], share
-        else:
-            best[q[0]] = max(best.get(q[0], (0.0, 0)), (share, r[0]))
-            best[r[0]] = max(best.get(r[0], (0.0, 0)), (share, q[0]))
-    for key, (share, other) in best.items():
-        yield key, other, share
+        if bound * (100 + percent) >= percent * (q[2] + r[2]):
+            yield min(q[0], r[0]), max(q[0], r[0])
 
 
 def _search_block(rows: list, mode: str, percent: int):
-    """Candidate pairs of one block; rows are (id, comp, n, vector, central, slice, pair of slices)."""
+    """Candidate pairs of one block; rows are (id, comp, n, vector, central, slice, pair of slices).
+
+    ``forest`` gives a spanning forest of them, from the most central row on; ``all`` every pair.
+    """
     m = len(rows)
-    if m <= SCAN or mode == "star":
-        yield from _search_leaf(rows, mode, percent)
+    if m <= SCAN:
+        yield from _search_leaf(rows, percent)
         return
     vectors = [counts_of(r[3]) for r in rows]
+    if mode == "forest":
+        index = Index(vectors, np.array([r[2] for r in rows], np.int64), percent)
+        seeds = sorted(range(m), key=lambda i: (-rows[i][4], rows[i][0]))
+        for q, j in _forest(index, seeds, index.near):
+            yield min(rows[q][0], rows[j][0]), max(rows[q][0], rows[j][0])
+        return
     count: dict = {}
     for r in rows:
         count[r[1]] = count.get(r[1], 0) + 1
@@ -334,31 +399,43 @@ def _search_block(rows: list, mode: str, percent: int):
         step = min(int(lengths[lo]), int(g))
         if (lo, step) not in trees:
             trees[lo, step] = Tree(np.stack([_fold(v, step) for v in vectors[lo:]]), sizes[lo:], comps[lo:])
-        at, bound = trees[lo, step].search(_fold(vectors[q], step), int(sizes[q]), int(comps[q]), percent)
+        at, _ = trees[lo, step].search(_fold(vectors[q], step), int(sizes[q]), int(comps[q]), percent)
         at = at + lo
-        keep = (at != q) & (comps[at] != comps[q])
-        if mode == "all":
-            keep &= (lengths[at] > g) | (at > q)
+        keep = (at != q) & (comps[at] != comps[q]) & ((lengths[at] > g) | (at > q))
         if across:
             keep &= slices[at] != slices[q]
-        at, bound = at[keep], bound[keep]
-        share = bound / (sizes[at] + sizes[q])
-        if mode == "best" and len(at):
-            top = int(np.argmax(share))
-            yield int(ids[q]), int(ids[at[top]]), float(share[top])
-        elif mode == "all":
-            yield from ((min(int(ids[q]), j), max(int(ids[q]), j), 0.0) for j in ids[at].tolist())
+        yield from ((min(int(ids[q]), j), max(int(ids[q]), j)) for j in ids[at[keep]].tolist())
 
 
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("share", pa.float64())])
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _groups(batches, width: int, make):
+    """Lists of ``make(row)`` for each run of rows with equal first ``width`` columns; runs of one row are left out."""
+    key, rows = None, []
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            for r in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns)):
+                if r[:width] != key:
+                    if len(rows) > 1:
+                        yield rows
+                    key, rows = r[:width], []
+                rows.append(make(r))
+    if len(rows) > 1:
+        yield rows
+
+
+def _sent(pairs):
+    """Batches of pairs."""
+    while part := list(islice(pairs, 1 << 14)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), _PAIRS)], schema=_PAIRS)
 
 
 def _candidates(blocks: DataFrame, vectors: DataFrame, mode: str, percent: int, slice_rows: int) -> DataFrame:
     """Distinct pairs (a, b) of classes in one block and not in one component that the bound lets through.
 
-    ``blocks`` has h, id, comp, n and central, ``vectors`` id and vector. Modes: ``star`` gives
-    each class its likeliest central class, ``best`` its likeliest partner,
-    ``all`` every pair.
+    ``blocks`` has h, id, comp, n and central, ``vectors`` id and vector. Modes: ``forest``
+    gives pairs that connect whatever all pairs would, ``all`` every pair.
     """
     sizes = blocks.groupBy("h").agg(F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"))
     sizes = sizes.where((F.col("lo") != F.col("hi")) & ((F.col("rows") > 2) | (100 * F.col("least") >= percent * F.col("most"))))
@@ -369,40 +446,78 @@ def _candidates(blocks: DataFrame, vectors: DataFrame, mode: str, percent: int,
         "h", F.least("slice", "t").alias("i"), F.greatest("slice", "t").alias("j"), "id", "comp", "n", "vector", "central", "slice")
 
     def found_in(batches):
-        key, rows = None, []
-        for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns)):
-                if r[:3] != key:
-                    if len(rows) > 1:
-                        yield from _search_block(rows, mode, percent)
-                    key, rows = r[:3], []
-                rows.append((r[3], r[4], r[5], r[6], r[7], r[8], r[1:3]))
-        if len(rows) > 1:
-            yield from _search_block(rows, mode, percent)
-
-    def work(batches):
-        pairs = found_in(batches)
-        while part := list(islice(pairs, 1 << 14)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*set(part)), _PAIRS)], schema=_PAIRS)
+        joined = Joined()
+        for rows in _groups(batches, 3, lambda r: (*r[3:9], r[1:3])):
+            for a, b in _search_block(rows, mode, percent):
+                if mode == "all" or joined.join(a, b):
+                    yield a, b
 
     near = near.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "id")
-    found = near.mapInArrow(work, "a long, b long, share double")
-    if mode == "all":
-        return found.select("a", "b").distinct()
-    best = found.groupBy("a").agg(F.max(F.struct("share", "b")).alias("m"))
-    return best.select(F.least("a", "m.b").alias("a"), F.greatest("a", "m.b").alias("b")).distinct()
+    return near.mapInArrow(lambda batches: _sent(found_in(batches)), "a long, b long").distinct()
+
+
+def _linked_with(sets: list, q: int, others: np.ndarray, percent: int) -> np.ndarray:
+    """Those of ``others`` whose sets link with that of ``q``, counted whole."""
+    own, out, at = sets[q], [np.empty(0, np.int64)], 0
+    while at < len(others):
+        end, held = at, 0
+        while end < len(others) and held < SLICE_SHINGLES // 4:
+            held += len(sets[others[end]])
+            end += 1
+        part = others[at:end]
+        sizes = np.array([len(sets[i]) for i in part])
+        values = np.concatenate([sets[i] for i in part])
+        same = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+        common = np.add.reduceat(same, np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64)
+        out.append(part[100 * common >= percent * (len(own) + sizes - common)])
+        at = end
+    return np.concatenate(out)
+
+
+def _links_of(rows: list, percent: int):
+    """A spanning forest of the links between (id, central, set); repeated ids stand together."""
+    rows = [r for k, r in enumerate(rows) if not k or r[0] != rows[k - 1][0]]
+    sets = [r[2] for r in rows]
+    index = Index([counts_of(count_vector(s).tobytes()) for s in sets], np.array([len(s) for s in sets], np.int64), percent)
+    seeds = sorted(range(len(rows)), key=lambda i: (-rows[i][1], rows[i][0]))
+    for q, j in _forest(index, seeds, lambda q: _linked_with(sets, q, index.near(q), percent)):
+        yield min(rows[q][0], rows[j][0]), max(rows[q][0], rows[j][0])
+
+
+def _links(docs: DataFrame, classes: DataFrame, clusters: DataFrame, central: DataFrame, percent: int, slice_rows: int) -> DataFrame:
+    """Links (a, b) that connect what links inside each cluster; ``clusters`` has id and comp."""
+    placed = shared(clusters.join(central.select("id", "n", (F.col("shares") / F.col("n")).alias("central")), "id"), "clusters")
+    slices = F.greatest(F.ceil(F.count("*") / slice_rows), F.ceil(F.sum("n") / SLICE_SHINGLES)).cast("int")
+    dealt = placed.join(placed.groupBy("comp").agg(slices.alias("slices")), "comp")
+    dealt = dealt.withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+    dealt = dealt.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).where("slices = 1 OR t <> slice")
+    owners = dealt.join(classes.select("id", "owner"), "id").select(
+        "comp", F.least("slice", "t").alias("i"), F.greatest("slice", "t").alias("j"), "id", "central", "owner.*")
+    held = _texts(docs, shared(owners, "owners")).select("comp", "i", "j", "id", "central", "_text")
 
+    def found_in(batches):
+        for rows in _groups(batches, 3, lambda r: (r[3], r[4], shingle_set(r[5]))):
+            yield from _links_of(rows, percent)
 
-def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``id`` and the whole ``shingles`` of the classes in ``pairs``, from their owners' texts."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    owners = shared(classes.join(needed, "id", "left_semi").select("id", "owner.*"), "owners")
+    held = held.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "id")
+    return held.mapInArrow(lambda batches: _sent(found_in(batches)), "a long, b long")
+
+
+def _texts(docs: DataFrame, owners: DataFrame) -> DataFrame:
+    """``owners`` (doc_id and text_hash of a document) with its ``_text``, once for each equal row of ``docs``."""
     own = lambda: {"_h1": F.xxhash64(F.lit(5), F.col("doc_id"), F.col("text_hash")), "_h2": F.xxhash64(F.lit(6), F.col("doc_id"), F.col("text_hash"))}
     bits = min(FILTER_BITS, max(64, -(-owners.count() * 10 // 64) * 64))
     bloom = shared(_level(owners.withColumns(own()), 1, bits, 4), "owners-filter")
     texts = docs.withColumn("text_hash", F.xxhash64("_text")).withColumns(own()).where(_hits(bloom.select("words").scalar(), bits, 4))
     texts = texts.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_text")
-    held = owners.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("id", "_text").dropDuplicates(["id"])
+    return owners.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+
+
+def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``id`` and the whole ``shingles`` of the classes in ``pairs``, from their owners' texts."""
+    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    owners = shared(classes.join(needed, "id", "left_semi").select("id", "owner.*"), "owners")
+    held = _texts(docs, owners).select("id", "_text").dropDuplicates(["id"])
     arrow = pa.schema([("id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
     return _python(held, "id long, shingles array<long>", arrow, lambda key, text: [(key, shingle_set(text).view(np.int64))])
 
@@ -459,15 +574,8 @@ def link(docs: DataFrame, percent: int = 80, sample_docs: int = SAMPLE_DOCS, sli
     """
     docs = docs.select("doc_id", text_of("text").alias("_text"))
     points, classes, central, rows = _prepared(docs, percent, sample_docs)
-    vectors = classes.select("id", "vector")
-    links, comps = None, None
-    for mode in ("star", "best", "all"):
-        placed = rows.withColumn("comp", F.col("id")) if comps is None else rows.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        found = shared(_candidates(placed, vectors, mode, percent, slice_rows), "pairs")
-        new = shared(_verified(found, _sets(docs, classes, found), percent), "linked")
-        if comps is None or not new.isEmpty():
-            links = new if links is None else links.union(new)
-            comps = components(links)
+    near = _candidates(rows.withColumn("comp", F.col("id")), classes.select("id", "vector"), "forest", percent, slice_rows)
+    comps = components(_links(docs, classes, components(near), central, percent, slice_rows))
     least = classes.join(comps, "id", "left").select("id", "digest", "first", F.coalesce("comp", "id").alias("comp"))
     first = least.groupBy("comp").agg(F.min("first").alias("component_id"), F.min("id").alias("_"))
     named = least.join(first, "comp").select(F.col("digest").alias("_digest"), F.col("id").alias("class_id"), "comp", "component_id")

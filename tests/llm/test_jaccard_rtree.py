@@ -113,3 +113,37 @@ def test_every_link_is_given(spark):
     ends = lambda pair: sorted(map(str, (least(s) for s in (tuple(pair) * 2)[:2])))
     assert sorted([*sorted(map(str, (r.doc_a, r.doc_b))), r.n_links] for r in got) == sorted([*ends(p), n] for p, n in want.items())
     assert J.pairs(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("options", [{}, {"slice_rows": 64}])
+def test_a_group_of_near_copies(spark, options):
+    """300 near copies, some linked only through others, and texts that come close without a link."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(160)]
+    rows = []
+    for k in range(300):
+        w = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(1000)}"
+        rows.append((1000 - k, " ".join(w), 0, ""))
+    got = J.link(spark.createDataFrame(rows, SCHEMA).repartition(4), **options)
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()], key=str) == brute(rows)
+
+
+def test_a_forest_spans_what_all_pairs_connect():
+    rng = np.random.default_rng(3)
+    bases = [rng.integers(0, 2**63, 300).astype(np.uint64) for _ in range(4)]
+    sets = [np.unique(np.concatenate([rng.choice(bases[k % 4], rng.integers(230, 300), False), rng.integers(0, 2**63, rng.integers(0, 40)).astype(np.uint64)])) for k in range(120)]
+    rows = [(i, i, len(s), J.count_vector(s).tobytes(), (i * 7 % 11) / 11, 0, (0, 0)) for i, s in enumerate(sets)]
+
+    def groups(pairs):
+        joined = J.Joined()
+        for a, b in pairs:
+            joined.join(a, b)
+        return [{j for j in range(len(rows)) if joined.root(j) == joined.root(i)} for i in range(len(rows))]
+
+    forest, every = (list(J._search_block(rows, mode, 80)) for mode in ("forest", "all"))
+    assert groups(forest) == groups(every) and len(forest) == len(rows) - len({min(g) for g in groups(every)})
+    linked = [(i, j) for j in range(len(sets)) for i in range(j) if 100 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - k)]
+    got = list(J._links_of([(i, 0.0, s) for i, s in enumerate(sets)], 80))
+    assert set(got) <= set(linked) and groups(got) == groups(linked)
