@@ -9,12 +9,13 @@ joins them, as a tokenizer without a decoder does.
 
 The tokenizer's file is read once on the driver and broadcast (its size is
 fixed and checked). Work runs in Arrow batches, one text after another; pieces
-seen before are kept in a cache that is emptied beyond ``CACHE`` entries.
+of up to ``CACHED`` characters are kept in a cache that is emptied beyond ``CACHE`` entries.
 
 Defined results: a null text is encoded as the empty text, which has no
 tokens. Rows that repeat an id are encoded each. Columns besides the id and the
-text are ignored. Ids equal the public library's but for 56 capital letters of
-scripts newer than Python's own tables, which are not lower-cased.
+text are ignored. Ids equal the public library's: where a text holds a letter
+or mark that Python's tables and the library's treat differently, the library's
+own normalisers are called.
 """
 
 from __future__ import annotations
@@ -29,10 +30,11 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import normalizers
 
 from seriesframe.llm.common import read
 
-CACHE = 200_000
+CACHE, CACHED = 200_000, 64
 MAX_FILE = 64 << 20
 #: What separates pieces (Unicode white space as the tokenizer's regular expressions have it).
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -48,16 +50,26 @@ def _byte_chars() -> list[str]:
 #: Ranges that the pattern library's newer Unicode tables call letters or
 #: numbers and that the tokenizer's tables leave unassigned.
 UNASSIGNED = """
-558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7
+558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7
 10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6
 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24
 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff
 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f
 """
 
+#: Marks that the tokenizer's tables do not order or compose, a composed vowel and its parts,
+#: and capital letters newer than Python's tables.
+ODD = """
+7fd 898-89f 8ca-8d3 9fe c3c d3b-d3c eba 1715 1abf-1ace 1df6-1dfa a82c 10d24-10d27 10eab-10eac 10efd-10eff
+10f46-10f50 10f82-10f85 11070 1133b 1145e 11839-1183a 1193d-1193e 11943 119e0 11a34 11a47 11a99 11d42 11d44-11d45
+11d97 11f41-11f42 16ff0-16ff1 1e08f 1e130-1e136 1e2ae 1e2ec-1e2ef 1e4ec-1e4ef
+11930 11935 11938
+1c89 a7cb-a7cc a7ce a7d2 a7d4 a7da a7dc 10d50-10d65 16ea0-16eb8
+"""
+
 
-def _unassigned() -> str:
-    return "".join("-".join(chr(int(c, 16)) for c in r.split("-")) for r in UNASSIGNED.split())
+def _class(ranges: str) -> str:
+    return "".join("-".join(chr(int(c, 16)) for c in r.split("-")) for r in ranges.split())
 
 
 class WordBpe(dict):
@@ -80,9 +92,11 @@ class WordBpe(dict):
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         split = split.replace(r"\s", BLANK)
         self.pieces = regex.compile(split).findall
-        self.rare = regex.compile(f"[{_unassigned()}]").search
+        self.rare = regex.compile(f"[{_class(UNASSIGNED)}]").search
+        self.odd = regex.compile(f"[{_class(ODD)}]").search
+        self.compose, self.lower = normalizers.NFC().normalize_str, normalizers.Lowercase().normalize_str
         for kind in (r"\p{L}", r"\p{N}"):
-            split = split.replace(kind, f"[{kind}--[{_unassigned()}]]")
+            split = split.replace(kind, f"[{kind}--[{_class(UNASSIGNED)}]]")
         self.careful_pieces = regex.compile(split, regex.V1).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
 
@@ -115,7 +129,9 @@ class WordBpe(dict):
         return [x for x in ids if x >= 0]
 
     def __missing__(self, piece: str) -> bytes:
-        self[piece] = out = np.array(self.merge(piece.encode()), "<u4").tobytes()
+        out = np.array(self.merge(piece.encode()), "<u4").tobytes()
+        if len(piece) <= CACHED:
+            self[piece] = out
         return out
 
     def encode(self, text: str) -> bytes:
@@ -126,10 +142,12 @@ class WordBpe(dict):
                 out.append(self.special[part].to_bytes(4, "little"))
             elif part:
                 find = self.pieces
-                if not part.isascii():
-                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+                if part.isascii():
+                    part = part.lower()
+                else:
+                    part = self.lower(self.compose(part)) if self.odd(part) else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
                     find = self.careful_pieces if self.rare(part) else find
-                out.extend(map(self.__getitem__, find(part.lower())))
+                out.extend(map(self.__getitem__, find(part)))
         return b"".join(out)
 
     def decode(self, ids) -> str:

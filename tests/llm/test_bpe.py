@@ -61,3 +61,22 @@ def test_a_file_beyond_the_bound(spark, tmp_path, monkeypatch):
 def test_every_space():
     for c in [*range(0x00, 0x21), 0x7F, 0x85, 0xA0, 0xAD, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]:
         same(f"ab{chr(c)}cd !{chr(c)}! {chr(c)}")
+
+
+def test_every_character():
+    """All code points: alone, after a letter and before marks of other classes."""
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for make in ("{0}", "a{0}b", "a{0}\u0316", "a{0}\u05b0", "a\u05b0{0}", "á{0}"):
+        texts = [" ".join(make.format(c) for c in every[at:at + 512]) for at in range(0, len(every), 512)]
+        for text, want in zip(texts, REAL.encode_batch(texts, add_special_tokens=False)):
+            if MINE.encode(text) != struct.pack(f"<{len(want.ids)}I", *want.ids):
+                for part in text.split(" "):
+                    same(part)
+    for pair in ("\U00011935\U00011930", "ΑΣ", "ΑΣ b\u08d1\u08fc", "Σ\u0898Σ"):
+        same(pair)
+
+
+def test_long_pieces_are_not_kept():
+    one = bpe.WordBpe(open(PATH, "rb").read())
+    one.encode("ab " + "c" * 5000)
+    assert list(one) == ["ab"]
