@@ -81,11 +81,18 @@ def exact_quantiles(df: DataFrame, cols, probs, keys=(), parts: int | None = Non
     ``_q_<c>``, the array of quantiles in the order of ``probs`` (null without
     values). An empty table has no series, so no row.
     """
-    keys, cols, probs = list(keys), list(cols), [float(p) for p in probs]
-    series = [*keys, "_c"]
+    keys, cols = list(keys), list(cols)
     values = df.select(*keys, F.inline(F.array(*[
         F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(cols)])))
-    placed = place(values.groupBy(*series, "_v").agg(F.count("_v").alias("_w")), series, ["_v"], parts)
+    counted = values.groupBy(*keys, "_c", "_v").agg(F.count("_v").alias("_w"))
+    return quantiles_of_counts(counted, cols, probs, keys, parts)
+
+
+def quantiles_of_counts(counted: DataFrame, cols, probs, keys=(), parts: int | None = None) -> DataFrame:
+    """``exact_quantiles`` of counted values: ``keys…``, ``_c`` (place in ``cols``), ``_v`` and its count ``_w`` (0 for null)."""
+    keys, cols, probs = list(keys), list(cols), [float(p) for p in probs]
+    series = [*keys, "_c"]
+    placed = place(counted, series, ["_v"], parts)
     off = offsets(placed, series, F.col("_w"))
     at = lambda p: F.lit(p) * (F.col("_total") - 1)
     ranks = F.array_distinct(F.array(*[f(at(p)).cast("long") for p in probs for f in (F.floor, F.ceil)]))

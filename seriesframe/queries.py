@@ -644,6 +644,7 @@ register("sequences", O.wrap_round(_sequences_sql(), S.TARGETS, ["Date", "step"]
 # ---------------------------------------------------------------------------
 # relational operators
 # ---------------------------------------------------------------------------
+from seriesframe.operators import merged as MG  # noqa: E402
 from seriesframe.operators import relational as RL  # noqa: E402
 
 _CUTOFF = "1999-01-01"
@@ -792,6 +793,45 @@ register("process_pollutants_history", O.wrap_round(
     lambda spark, d: PL.process_pollutants(TD.pollutants_raw(spark, d), _before_cutoff(TD.pollutants(spark, d))))
 
 
+def _merged_counts(spark, d, source):
+    """Counts of the days before the cutoff and of those from it on, counted apart and merged."""
+    rows = source(spark, d)
+    old, new = _before_cutoff(rows), rows.where(F.col("Date") >= F.lit(_CUTOFF).cast("date"))
+    return MG.merge_counts(*[materialize(MG.value_counts(part)) for part in (old, new)]), new
+
+
+def _mask_batch_merged(spark, d):
+    counts, new = _merged_counts(spark, d, TD.pollutants)
+    return MG.mask_batch(new, MG.mask_statistics(counts))
+
+
+def _masked_merged(spark, d):
+    counts, _ = _merged_counts(spark, d, TD.pollutants_with_outages)
+    return MG.masked_counts(counts, MG.mask_statistics(counts))
+
+
+def _seasonal_merged(spark, d):
+    by_day, by_month = MG.seasonal_means(_masked_merged(spark, d), ["co", "no2"])
+    return by_day.join(by_month, "_m").withColumnsRenamed({"_m": "month", "_doy": "dayofyear"})
+
+
+_MASKED_POL_SQL = O.mask_sql(TD.POLLUTANTS_SQL, _POL, S.POLLUTANTS, [], S.POLLUTANT_LIMITS, 3.0, 4.0)
+_MASKED_OUTAGES_SQL = O.mask_sql(TD.OUTAGES_SQL, _POL, S.POLLUTANTS, [], S.POLLUTANT_LIMITS, 3.0, 4.0)
+register("mask_batch_merged", O.wrap_round(
+    f"SELECT * FROM ({_MASKED_POL_SQL}) b_ WHERE Date >= DATE '{_CUTOFF}'", S.POLLUTANTS, ["Date"]))(_mask_batch_merged)
+register("missing_rates_merged", O.wrap_round(
+    "SELECT " + ", ".join(f"avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) * 100 AS {c}_missing" for c in S.POLLUTANTS)
+    + f" FROM ({_MASKED_OUTAGES_SQL}) a_", [f"{c}_missing" for c in S.POLLUTANTS], []))(
+    lambda spark, d: MG.missing_rates(_masked_merged(spark, d)))
+_SEASONAL_MERGED = [f"_s{k}_{c}" for k in "dm" for c in ("co", "no2")]
+register("seasonal_means_merged", O.wrap_round(f"""
+SELECT d.month, d.dayofyear, d._sd_co, d._sd_no2, m._sm_co, m._sm_no2
+FROM (SELECT month(Date) AS month, dayofyear(Date) AS dayofyear, avg(nullif(co, 0)) AS _sd_co, avg(nullif(no2, 0)) AS _sd_no2
+      FROM ({_MASKED_OUTAGES_SQL}) a_ GROUP BY 1, 2) d
+JOIN (SELECT month(Date) AS month, avg(nullif(co, 0)) AS _sm_co, avg(nullif(no2, 0)) AS _sm_no2
+      FROM ({_MASKED_OUTAGES_SQL}) b_ GROUP BY 1) m ON d.month = m.month""", _SEASONAL_MERGED, ["month", "dayofyear"]))(_seasonal_merged)
+
+
 def _process_weather_context_sql():
     cols = ", ".join(_W)
     after = f"Date > (SELECT max(Date) FROM ({_WEATHER_CONTEXT_SQL}) m_)"
