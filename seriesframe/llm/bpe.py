@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -67,6 +68,9 @@ ODD = """
 1c89 a7cb-a7cc a7ce a7d2 a7d4 a7da a7dc 10d50-10d65 16ea0-16eb8
 """
 
+#: A character outside the large ranges that hold none of the above; a quick test before the two exact ones.
+BEYOND = re.compile("[^\x00-\u0557\u2000-\u208e\u20a0-\ua7ca\uac00-\ud7ff\ue000-\uffff\U0001f000-\U0001ffff]")
+
 
 def _class(ranges: str) -> str:
     return "".join("-".join(chr(int(c, 16)) for c in r.split("-")) for r in ranges.split())
@@ -145,8 +149,9 @@ class WordBpe(dict):
                 if part.isascii():
                     part = part.lower()
                 else:
-                    part = self.lower(self.compose(part)) if self.odd(part) else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                    find = self.careful_pieces if self.rare(part) else find
+                    seldom = BEYOND.search(part)
+                    part = self.lower(self.compose(part)) if seldom and self.odd(part) else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+                    find = self.careful_pieces if seldom and self.rare(part) else find
                 out.extend(map(self.__getitem__, find(part)))
         return b"".join(out)
 

@@ -80,3 +80,7 @@ def test_long_pieces_are_not_kept():
     one = bpe.WordBpe(open(PATH, "rb").read())
     one.encode("ab " + "c" * 5000)
     assert list(one) == ["ab"]
+
+
+def test_the_quick_test_leaves_nothing_out():
+    assert all(bpe.BEYOND.search(c) for c in map(chr, range(0x110000)) if MINE.rare(c) or MINE.odd(c))
