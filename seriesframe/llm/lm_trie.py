@@ -28,6 +28,9 @@ blocks of numbered words of about ``BLOCK`` tokens, tables of packed arrays:
 A block sends a pair once, however often it occurs, so hot words, pairs and
 passages are added up before they are sent. A shard holds the lists sent to it.
 
+Lists and answers are many times as large as the tables kept of them, so each
+step's shuffle files are dropped when the step has been written.
+
 ``train`` keeps the shards as tables and ``score`` searches them for other texts;
 ``score_held_out`` does both at once, so that lists are sent only once.
 
@@ -49,7 +52,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesframe.llm.common import read, shared, text_of
+from seriesframe.llm.common import read, shared, shuffles_dropped, text_of
 from seriesframe.llm.elias_fano import Trie, build, restored
 
 #: Constants of the smoothing by order.
@@ -120,7 +123,11 @@ class Block:
         tokens, lengths = number[np.array(self.tokens, np.int64)], np.array(self.lengths, np.int64)
         train = np.repeat(~np.array(self.held, bool), lengths)
         counts = np.bincount(tokens[train], minlength=len(words))
-        yield name, -1, [pack(lengths), pack(tokens)], self.ids, self.held
+        # texts travel as places in the order of frequency, whose bytes pack best
+        common = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")
+        at = np.empty(len(words), np.int64)
+        at[common] = np.arange(len(words))
+        yield name, -1, [pack(lengths), pack(common), pack(at[tokens])], self.ids, self.held
         edges = np.searchsorted(place[order], np.arange(shards + 1))
         for s in np.flatnonzero(np.diff(edges)).tolist():
             own = slice(edges[s], edges[s + 1])
@@ -345,7 +352,7 @@ def _numbered(rows):
         texts, words, answers = None, [], []
         for _, shard, kind, data, ids, held in group:
             if kind == 0:
-                texts = ids, held, unpack(data[0]), unpack(data[1])
+                texts = ids, held, unpack(data[0]), unpack(data[1])[unpack(data[2])]
             else:
                 (words if kind == 1 else answers).append((shard, [unpack(d) for d in data]))
         yield (block, *texts, *(np.concatenate([d[k] for _, d in words]) for k in (0, 1)), answers)
@@ -452,17 +459,19 @@ def _texts(docs: DataFrame, held_out) -> DataFrame:
 def train(docs: DataFrame, shard_bytes: int = SHARD_BYTES, block: int = BLOCK, m2: float = M2, m3: float = M3) -> Model:
     """A model of all texts of ``docs`` (doc_id, text)."""
     docs = _texts(docs, F.lit(False))
-    shards = _shards(docs, shard_bytes)
-    made, words, n = _numbers(docs, shards, block, keep=True)
-    kept = shared(tries(grams(_joined(made, words), shards, n), shards, keep=True, answers=False, m2=m2, m3=m3), "lm-tries")
-    return Model(words.where("block < 0"), kept, shards, *_total(words), m2)
+    with shuffles_dropped(docs.sparkSession):
+        shards = _shards(docs, shard_bytes)
+        made, words, n = _numbers(docs, shards, block, keep=True)
+        kept = shared(tries(grams(_joined(made, words), shards, n), shards, keep=True, answers=False, m2=m2, m3=m3), "lm-tries")
+        return Model(words.where("block < 0"), kept, shards, *_total(words), m2)
 
 
 def score(docs: DataFrame, model: Model, block: int = BLOCK) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of each text under ``model``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made, words, n = _numbers(_texts(docs, F.lit(True)), model.shards, block, model)
-    answers = shared(tries(grams(_joined(made, words), model.shards, n), model.shards, model.tries), "lm-answers")
+    with shuffles_dropped(docs.sparkSession):
+        made, words, n = _numbers(_texts(docs, F.lit(True)), model.shards, block, model)
+        answers = shared(tries(grams(_joined(made, words), model.shards, n), model.shards, model.tries), "lm-answers")
     return scores(_joined(made, words, answers), model.shards, n, model.tokens, model.distinct, kind, model.m2).drop("held_out")
 
 
@@ -470,10 +479,12 @@ def score_held_out(docs: DataFrame, held_out, shard_bytes: int = SHARD_BYTES, bl
     """Scores of all texts under a model of those for which ``held_out`` (a column) is false."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = _texts(docs, held_out)
-    shards = _shards(docs, shard_bytes)
-    made, words, n = _numbers(docs, shards, block)
-    answers = shared(tries(grams(_joined(made, words), shards, n), shards, m2=m2, m3=m3), "lm-answers")
-    return scores(_joined(made, words, answers), shards, n, *_total(words), kind, m2)
+    with shuffles_dropped(docs.sparkSession):
+        shards = _shards(docs, shard_bytes)
+        made, words, n = _numbers(docs, shards, block)
+        answers = shared(tries(grams(_joined(made, words), shards, n), shards, m2=m2, m3=m3), "lm-answers")
+        tokens, distinct = _total(words)
+    return scores(_joined(made, words, answers), shards, n, tokens, distinct, kind, m2)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

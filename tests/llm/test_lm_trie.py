@@ -1,9 +1,11 @@
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -159,3 +161,29 @@ def test_the_whole_query(spark):
     same(got, want)
     held = [r for r in got if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(k).getName() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(k, " ".join(f"w{int(rng.paretovariate(1))}" for _ in range(200))) for k in range(60)], "doc_id long, text string")
+    before = _shuffle_files(spark)
+    out = lm_trie.score_held_out(docs, F.col("doc_id") % 7 == 2, 2000, 1500)
+    assert not _shuffle_files(spark) - before
+    assert out.count() == 60
+
+
+def test_texts_pack_by_frequency():
+    rng = random.Random(5)
+    block = lm_trie.Block()
+    for k in range(40):
+        block.add(k, " ".join(f"w{min(int(rng.paretovariate(0.5)), 5000)}" for _ in range(2000)), False)
+    name, shard, data, ids, held = next(block.rows(0, 3))
+    texts = next(lm_trie._numbered([(0, -1, 0, data, ids, held), (0, 0, 1, [lm_trie.pack(np.zeros(1, np.int64))] * 2, None, None)]))
+    words = [b for r in list(block.rows(0, 3))[1:] for b in zstandard.decompress(r[2][0]).split(b"\n")]
+    assert [words[t] for t in texts[4]] == [list(block.seen)[t] for t in block.tokens]
+    assert len(data[1]) + len(data[2]) < len(lm_trie.pack(texts[4]))
