@@ -28,10 +28,10 @@ from __future__ import annotations
 
 import re
 from array import array
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +43,8 @@ SHORTEST = 6
 VERBATIM = 64  # more than a window, so that verbatim windows have hashes of their own
 LEAST = 3
 BITS = 1 << 22
+#: Bytes of texts whose windows are hashed together.
+CHUNK = 1 << 18
 #: Words that are units when they follow a number.
 UNITS = frozenset("""
 mm cm m km in ft yd mi mg g kg t oz lb lbs ml cl l s min h hr hrs w kw kwh v hz khz mhz ghz kb mb gb tb mph
@@ -83,36 +85,55 @@ class Canon(dict):
         return i
 
 
-def canonical(text: str, canon: Canon):
-    """Raw tokens of a text; places of those that are no stops, their hashes, which are slots, and which could be but for their place."""
-    raw = TOKEN(text)
+def canonical(texts, canon: Canon):
+    """Raw tokens of the texts, one after the other; places of those that are no stops, their hashes, which are slots,
+    which could be but for their place, and the text of each."""
+    raw, ends = [], []
+    for text in texts:
+        raw += TOKEN(text)
+        raw.append("\n")  # a stop, so that no token is read after another text's
+        ends.append(len(raw))
     if not raw:
-        return raw, np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int8), np.empty(0, np.int8)
-    index = np.array(itemgetter(*raw)(canon), np.int64, ndmin=1)
+        return raw, np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int8), np.empty(0, np.int8), np.empty(0, np.int64)
+    index = np.fromiter(map(canon.__getitem__, raw), np.int64, len(raw))
     own = np.frombuffer(canon.kinds, np.int8)[index]
     before = np.concatenate([np.array([STOP], np.int8), own[:-1]])
     kinds = np.where(((own == NAME) & (before == STOP)) | ((own == UNIT) & (before != NUMBER)), np.int8(LITERAL), own)
     keep = np.flatnonzero(own != STOP)
-    return raw, keep, np.frombuffer(canon.hashes, np.uint64)[index[keep]], kinds[keep], own[keep]
+    text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    return raw, keep, np.frombuffer(canon.hashes, np.uint64)[index[keep]], kinds[keep], own[keep], text[keep]
 
 
 def windows(hashes: np.ndarray, size: int, seed: int, at=None, first=None):
     """Hash of each window of ``size`` tokens, or of those that begin ``at`` with ``first`` for their first tokens."""
-    n = len(hashes) - size + 1
+    n = max(0, len(hashes) - size + 1)
     mixed = np.full(n if at is None else len(at), seed, np.uint64)
+    shifted = np.empty_like(mixed)
     with np.errstate(over="ignore"):
         for k in range(size):
             mixed ^= hashes[k:k + n] if at is None else hashes[at + k] if k else first
             mixed *= _M1
-            mixed ^= mixed >> np.uint64(31)
+            np.right_shift(mixed, np.uint64(31), out=shifted)
+            mixed ^= shifted
     return mixed
 
 
 def _counts(which: np.ndarray, size: int) -> np.ndarray:
-    sums = np.concatenate([[0], np.cumsum(which)])
+    """Number of those in each window of ``size``."""
+    sums = np.concatenate([np.zeros(1, np.int32), np.cumsum(which, dtype=np.int32)])
     return sums[size:] - sums[:-size]
 
 
+def _chunks(column, most: int = CHUNK):
+    """Stretches (from, to) of a column of texts with about ``most`` bytes, one text at least."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(sizes, most + (sizes[at - 1] if at else 0), side="right")))
+        yield at, end
+        at = end
+
+
 _ROWS = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("text_hash", pa.int64()), ("pos", pa.int32()), ("slots", pa.list_(pa.string())), ("windows", pa.int32()),
                    ("verbatim", pa.bool_()), ("other", pa.bool_())])
 
@@ -126,15 +147,14 @@ def _windows(texts: DataFrame, bitmap) -> DataFrame:
     def work(batches):
         canon = Canon()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part, rows = batch.slice(at, 256), []
-                for key, text_hash, text in zip(*(c.to_pylist() for c in part.columns)):
-                    raw, keep, *codes = canonical(text or "", canon)
-                    n = len(keep)
-                    # short items can lie inside a long document
-                    for size in {WINDOW, *bitmap.value[1]} if bitmap else {min(WINDOW, n)}:
-                        if 0 < size <= n:
-                            rows.extend(found(key, text_hash, raw, keep, *codes, size))
+            for start, end in _chunks(batch.column(2)):
+                keys, hashes, texts = (c.slice(start, end - start).to_pylist() for c in batch.columns)
+                codes = canonical([t or "" for t in texts], canon)
+                tokens = np.bincount(codes[-1], minlength=len(texts))
+                rows = []
+                # short items can lie inside a long document
+                for size in {WINDOW, *bitmap.value[1]} if bitmap else set(np.minimum(tokens, WINDOW).tolist()) - {0}:
+                    rows.extend(found(keys, hashes, tokens if bitmap is None else None, *codes, size))
                 if len(canon) > 200_000:
                     canon = Canon()
                 if rows:
@@ -146,25 +166,36 @@ def _windows(texts: DataFrame, bitmap) -> DataFrame:
         low = (mixed & np.uint64(BITS - 1)).astype(np.int64)
         return ((bitmap.value[0][low >> 3] >> (low & 7).astype(np.uint8)) & 1).astype(bool)
 
-    def found(key, text_hash, raw, keep, literal, kinds, own, size):
+    def found(keys, text_hashes, tokens, raw, keep, literal, kinds, own, text, size):
+        """Rows for the windows of ``size`` tokens inside one text; with ``tokens``, of the texts for which this is the size."""
+        n = max(0, len(keep) - size + 1)
+        begin = text[:n]
+        inside = begin == text[size - 1:]
+        if tokens is not None:
+            inside &= np.minimum(tokens, WINDOW)[begin] == size
+        first_of = np.searchsorted(text, np.arange(len(keys)))
         mixed = windows(literal, size, size + VERBATIM)
-        enough = _counts((own == LITERAL) | (own == NAME) | (own == UNIT), size) > 0
-        count = int(enough.sum())
-        for i in np.flatnonzero(enough & known(mixed)):
-            yield int(mixed[i].view(np.int64)), key, text_hash, int(i), [], count, True, False
+        enough = inside & (_counts((own == LITERAL) | (own == NAME) | (own == UNIT), size) > 0)
+        count = np.bincount(begin[enough], minlength=len(keys))
+        for i in np.flatnonzero(enough & known(mixed)).tolist():
+            d = begin[i]
+            yield int(mixed[i].view(np.int64)), keys[d], text_hashes[d], int(i - first_of[d]), [], int(count[d]), True, False
         if size < SHORTEST:
             return
         hashes = np.where(kinds == LITERAL, literal, _MARK[kinds])
         literals = _counts(kinds == LITERAL, size)
-        enough = 2 * literals >= size
-        names = np.flatnonzero(own[:len(enough) if bitmap else 1] == NAME)
+        enough = inside & (2 * literals >= size)
+        names = np.flatnonzero(inside & (own[:n] == NAME))
+        if bitmap is None:
+            names = names[names == first_of[begin[names]]]
         was = kinds[names] == LITERAL
         names, was = (x[2 * (literals[names] + np.where(was, -1, 1)) >= size] for x in (names, was))
-        count = int(enough.sum()) + int((~enough[names]).sum())
+        count = np.bincount(begin[enough], minlength=len(keys)) + np.bincount(begin[names[~enough[names]]], minlength=len(keys))
 
         def row(h, i, first, other):
+            d = begin[i]
             slots = [f"{k}:{raw[t].lower()}" for k, t in zip((first, *kinds[i + 1:i + size]), keep[i:i + size]) if k != LITERAL]
-            return int(h.view(np.int64)), key, text_hash, int(i), slots, count, False, other
+            return int(h.view(np.int64)), keys[d], text_hashes[d], int(i - first_of[d]), slots, int(count[d]), False, other
 
         mixed = windows(hashes, size, size)
         for i in np.flatnonzero(enough & known(mixed)):
@@ -198,10 +229,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFram
 
 
 def _short_sizes(batches):
-    canon = Canon()
+    canon, found = Canon(), set()
     for batch in batches:
-        sizes = {len(canonical(t or "", canon)[1]) for t in batch.column(2).to_pylist()}
-        yield pa.RecordBatch.from_arrays([pa.array([s for s in sizes if 0 < s < WINDOW], pa.int32())], names=["size"])
+        texts = batch.column(2)
+        for start, end in _chunks(texts):
+            found.update(np.bincount(canonical([t or "" for t in texts.slice(start, end - start).to_pylist()], canon)[-1]).tolist())
+    yield pa.RecordBatch.from_arrays([pa.array([s for s in found if 0 < s < WINDOW], pa.int32())], names=["size"])
 
 
 def _aligned(pairs: DataFrame, least: int) -> DataFrame:

@@ -72,3 +72,22 @@ def test_few_eligible_windows_reparameterised(spark):
     item = "seven tall men came to the 3 4 5 6 7 8 9 10"  # windows at 0, 1 are eligible, the others are not
     got = D.leaks(spark.createDataFrame([(1, item.replace("3", "30"), 0, "")], DOCS), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
     assert [(r.item_id, r.matched, r.windows, r.reparameterised) for r in got] == [(1, 2, 2, True)]
+
+
+def test_texts_hashed_together_keep_apart():
+    texts = ["", "The 3", "km. Anna went", "Anna 12", "...", "Kg of rice", "7", ""]
+    together = D.canonical(texts, D.Canon())
+    alone = [D.canonical([t], D.Canon()) for t in texts]
+    assert together[-1].tolist() == [k for k, c in enumerate(alone) for _ in c[-1]]
+    for k in (2, 3, 4):
+        assert together[k].tolist() == [x for c in alone for x in c[k].tolist()]
+    assert [together[0][k] for k in together[1]] == [c[0][k] for c in alone for k in c[1]]
+
+
+def test_no_window_spans_two_texts(spark):
+    item = "who carried the old brass lantern over seven hills to warm the sleeping village below"
+    words = item.split()
+    docs = [(k, " ".join(words[k % len(words):][:7])) for k in range(40)]
+    docs += [(90, " ".join(words[:8])), (91, " ".join(words[8:])), (92, "so " + item), (93, None)]
+    got = D.leaks(spark.createDataFrame([(a, b, 0, "") for a, b in docs], DOCS).coalesce(1), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.matched, r.windows) for r in got] == [(92, 6, 6)]
