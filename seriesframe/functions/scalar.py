@@ -18,6 +18,8 @@ DATE_FORMATS = ["yyyy-M-d", "yyyy/M/d", "yyyy-M-d H:m:s", "yyyy/M/d H:m:s",
 #: also take texts with a date in front and numbers with a type letter.
 ISO_DATE = (r"^\s*\d{4}(-\d{1,2}(-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d+)?)?"
             r"\s*(Z|UTC|[+-]\d{2}:?\d{2})?)?)?)?\s*$")
+#: All characters that Unicode counts as white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 NUMBER = r"(?i)^\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\s*$|^\s*[+-]?inf(inity)?\s*$"
 
 
@@ -25,15 +27,13 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def nan_to_null(col) -> Column:
-    c = _c(col)
-    return F.when(~F.isnan(c), c)
-
-
 def to_numeric(col) -> Column:
-    """Cast to double; unparsable text, NaN and blanks become NULL."""
+    """Cast to double; unparsable text, NaN (no match of ``NUMBER``) and blanks become NULL.
+
+    ``col`` is read twice: a costly text belongs in a column of its own first.
+    """
     c = _c(col)
-    return nan_to_null(F.when(c.cast("string").rlike(NUMBER), c.try_cast("double")))
+    return F.when(c.cast("string").rlike(NUMBER), c.try_cast("double"))
 
 
 def blank_to_null(col) -> Column:
@@ -64,7 +64,7 @@ def strip_units(col, suffixes) -> Column:
     c = _c(col).cast("string")
     for s in suffixes:
         c = F.replace(c, F.lit(s), F.lit(""))
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def mask_range(col, lo, hi) -> Column:

@@ -430,7 +430,7 @@ def _weather_masked_sql(where="true"):
 
 
 register("weather_rows_masked", O.wrap_round(_weather_masked_sql(), S.WEATHER, ["Date"]))(
-    lambda spark, d: CL.mask_weather_outliers(RD.coerce_weather_rows(TD.weather_rows(spark, d))))
+    lambda spark, d: CL.mask_weather_outliers(materialize(RD.coerce_weather_rows(TD.weather_rows(spark, d)))))
 
 
 def _daily_mean_sql(where="true"):
@@ -440,7 +440,7 @@ def _daily_mean_sql(where="true"):
 
 register("weather_daily_mean", O.wrap_round(_daily_mean_sql(), S.WEATHER, ["Date"]))(
     lambda spark, d: ST.daily_mean(CL.mask_weather_outliers(
-        RD.coerce_weather_rows(TD.weather_rows(spark, d))), S.WEATHER))
+        materialize(RD.coerce_weather_rows(TD.weather_rows(spark, d)))), S.WEATHER))
 
 register("process_weather", O.wrap_round(
     O.impute_sql(_daily_mean_sql(), _W, S.WEATHER, [], ["Date"], method="auto",

@@ -121,10 +121,7 @@ def coerce_weather_rows(df: DataFrame, keys=()) -> DataFrame:
     d = drop_columns(df, ["Weather"])
     d = d.withColumn("Date", to_date_safe("Date")).where(F.col("Date").isNotNull())
     out = [*keys, "Date"]
-    cols = []
-    for c, suffixes in S.UNIT_SUFFIXES.items():
-        if c in d.columns:
-            cols.append(to_numeric(strip_units(c, suffixes)).alias(c))
-        else:
-            cols.append(F.lit(None).cast("double").alias(c))
+    # texts without units are columns of their own, so that each is made once
+    d = d.select(*out, *[strip_units(c, suffixes).alias(c) for c, suffixes in S.UNIT_SUFFIXES.items() if c in d.columns])
+    cols = [to_numeric(c).alias(c) if c in d.columns else F.lit(None).cast("double").alias(c) for c in S.UNIT_SUFFIXES]
     return d.select(*out, *cols)

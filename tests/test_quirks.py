@@ -33,6 +33,28 @@ def test_edge_units(spark):
     assert tuple(out) == (25.0, 1.2, 80.0, 1012.0, 14.0, None)
 
 
+def test_every_white_space_is_stripped(spark):
+    white = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isspace() and c not in range(0x1C, 0x20)]
+    rows = [(w + "7 5" + w + "\n" + w,) for w in white] + [("\x1f7",), ("7\u200b",), ("\u180e7",), ("",), ("".join(white),), (None,)]
+    df = spark.createDataFrame(rows, "v string").coalesce(1)
+    got = [tuple(r) for r in df.select(strip_units("v", []), F.regexp_replace("v", r"(?U)^\s+|\s+$", "")).collect()]
+    assert all(a == b for a, b in got)
+    assert [a for a, _ in got] == ["7 5"] * len(white) + ["\x1f7", "7\u200b", "\u180e7", "", "", None]
+
+
+def test_weather_texts_are_parsed_once(spark, tmp_path):
+    from seriesframe import queries as Q
+    orders = [(k, k % 50, 1000.0 * (k % 90), dt.datetime(2024, 1, 1 + k % 28), "1-URGENT" if k % 5 == 0 else "5-LOW") for k in range(400)]
+    schema = "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+    spark.createDataFrame(orders, schema).write.parquet(str(tmp_path / "orders.parquet"))
+    one = RD.coerce_weather_rows(spark.createDataFrame([("2024-01-01", "25 °c")], "Date string, Temp string"))
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("°C") == 1 and one.first().Temp == 25.0
+    for name in ("weather_daily_mean", "weather_rows_masked"):
+        plan = Q.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "rlike" not in plan.lower()
+
+
 def test_edge_round(spark):
     vals = [0.125, 2.675, 302.335, 71.025, 0.5, 1.5, 2.5]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
