@@ -523,6 +523,8 @@ def train_binned(rows: DataFrame, n_rows: int, cuts, features, targets, p: dict,
                 yield pa.RecordBatch.from_pydict({"tree": pa.array([t + k * len(trees)], pa.int32()), "root": pa.array([root], pa.int64()), "data": pa.array([s.dump()])})
 
     dealt = rows.mapInArrow(deal, "tree int, root long, ids binary, bins binary, y binary, w binary")
-    n = min(len(trees) + 2 * len(splits), 2000)
+    # trees of few rows share a task, as a task costs more than such a tree
+    busy = max(4 * rows.sparkSession.sparkContext.defaultParallelism, len(trees) * n_rows * (n_targets if single else 1) // LOCAL_ROWS)
+    n = min(len(trees) + 2 * len(splits), 2000, busy)
     parts = dealt.repartition(n, "tree", "root").sortWithinPartitions("tree", "root").mapInArrow(finish, "tree int, root long, data binary")
     return Forest(table(parts, "forest"), splits, list(cuts), list(features), list(targets), dict(p))

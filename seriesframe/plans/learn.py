@@ -117,6 +117,9 @@ def select_features(train_df, features, targets=S.TARGETS, k=150, params=None, s
     return [f for _, f in sorted(zip(-imp, features))[:k]]
 
 
+#: Forests of the search that are fitted at the same time.
+SIDE = 4
+
 SEARCH_SPACE = {
     "numTrees": (100, 500), "maxDepth": (5, 30),
     "featureSubsetStrategy": ["sqrt", "log2", "0.5", "0.7"],
@@ -152,7 +155,9 @@ def search_params(df_idx, features, targets=S.TARGETS, n_trials=50, n_splits=5,
     ``df_idx`` carries the row position ``pos_col``. Each fold's training rows
     are binned once and serve all trials. With ``store`` (a path) every finished
     trial is a row of a table there, and a search started again with the same
-    settings goes on after the trials it finds. Returns ``(best_params,
+    settings goes on after the trials it finds. Small forests leave most of a
+    cluster idle, so ``SIDE`` of them are fitted at a time, only such as are
+    needed whatever is pruned. Returns ``(best_params,
     trials)`` with ``trials`` a list of dicts: trial, params, scores (one a
     fold), score (their mean) and pruned.
     """
@@ -171,23 +176,33 @@ def search_params(df_idx, features, targets=S.TARGETS, n_trials=50, n_splits=5,
         cuts = FO._cuts(train, features)
         folds.append((FO._bin_table(train, features, targets, cuts), start, cuts,
                       data.where((F.col(pos_col) >= start) & (F.col(pos_col) < start + t))))
+    def fit(p, fold):
+        rows, n_rows, cuts, val = fold
+        return _fold_score(FO.train_binned(rows, n_rows, cuts, features, targets, {**FO.DEFAULTS, **p}, seed), val, targets)
+
     trials = _stored_trials(store, spark)
-    done = len(trials)
-    for trial in range(n_trials):
-        p = sample_params(rng, space)
-        if trial < done:
-            continue
-        completed = [x["scores"] for x in trials if not x["pruned"]]
-        scores, pruned = [], False
-        for rows, n_rows, cuts, val in folds:
-            model = FO.train_binned(rows, n_rows, cuts, features, targets, {**FO.DEFAULTS, **p}, seed)
-            scores.append(_fold_score(model, val, targets))
-            if should_prune(scores, completed, n_startup, n_warmup):
-                pruned = True
-                break
-        trials.append({"trial": trial, "params": p, "scores": scores, "score": sum(scores) / len(scores), "pruned": pruned})
-        if store:
-            spark.createDataFrame([(trial, json.dumps(trials[-1]))], "trial int, result string").coalesce(1).write.mode("append").parquet(store)
+    params = [sample_params(rng, space) for _ in range(n_trials)]
+    pool, ahead = ThreadPoolExecutor(SIDE), {}
+    try:
+        for trial in range(len(trials), n_trials):
+            # folds that no pruning can skip, of this trial and of the next one, are fitted side by side
+            for k in range(trial, min(n_trials, trial + 2)):
+                if k not in ahead:
+                    sure = n_splits if k < n_startup else n_warmup + 1
+                    ahead[k] = [pool.submit(fit, params[k], fold) for fold in folds[:sure]]
+            fitted = ahead.pop(trial)
+            completed = [x["scores"] for x in trials if not x["pruned"]]
+            scores, pruned = [], False
+            for k, fold in enumerate(folds):
+                scores.append(fitted[k].result() if k < len(fitted) else fit(params[trial], fold))
+                if should_prune(scores, completed, n_startup, n_warmup):
+                    pruned = True
+                    break
+            trials.append({"trial": trial, "params": params[trial], "scores": scores, "score": sum(scores) / len(scores), "pruned": pruned})
+            if store:
+                spark.createDataFrame([(trial, json.dumps(trials[-1]))], "trial int, result string").coalesce(1).write.mode("append").parquet(store)
+    finally:
+        pool.shutdown(cancel_futures=True)
     best = min((x for x in trials if not x["pruned"]), key=lambda x: x["score"])
     return best["params"], trials
 

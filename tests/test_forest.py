@@ -148,3 +148,45 @@ def test_the_whole_chain(spark):
     assert model.params["numTrees"] == best["numTrees"] and metrics.count() == 2
     with pytest.raises(ValueError):
         LN.tuned_forest(df.where("_pos < 1"), NAMES, ["y", "z"])
+
+
+def test_small_trees_share_tasks(spark):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in rng.normal(size=(120, 4))], "a double, b double, c double, y double")
+    model = FO.train(df, ["a", "b", "c"], ["y"], {"numTrees": 150, "maxDepth": 3})
+    assert model.parts.count() == 150
+    assert len(model.parts.inputFiles()) <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_search_fits_side_by_side_what_no_pruning_skips(spark, monkeypatch):
+    import threading
+    import time
+    lock, active, most, fitted = threading.Lock(), [0], [0], []
+
+    def fit(rows, n_rows, cuts, features, targets, p, seed):
+        with lock:
+            active[0] += 1
+            most[0] = max(most[0], active[0])
+        time.sleep(0.05)
+        with lock:
+            active[0] -= 1
+            fitted.append((p["numTrees"], p["maxDepth"], n_rows))
+        return p["numTrees"] + p["maxDepth"] / 100 + n_rows
+
+    monkeypatch.setattr(FO, "train_binned", fit)
+    monkeypatch.setattr(LN, "_fold_score", lambda model, part, targets: model)
+    df = spark.createDataFrame([(k, float(k % 7), float(k)) for k in range(60)], "_pos long, a double, y double")
+    best, trials = LN.search_params(df, ["a"], ["y"], n_trials=12)
+    completed = []
+    for t in trials:
+        want = []
+        for n_rows in (10, 20, 30, 40, 50):
+            want.append(t["params"]["numTrees"] + t["params"]["maxDepth"] / 100 + n_rows)
+            if LN.should_prune(want, completed):
+                break
+        pruned = LN.should_prune(want, completed)
+        assert (t["scores"], t["pruned"]) == (want, pruned)
+        if not pruned:
+            completed.append(want)
+    assert any(t["pruned"] for t in trials) and most[0] > 1
+    assert len(fitted) == sum(len(t["scores"]) for t in trials)
