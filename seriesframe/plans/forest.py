@@ -28,6 +28,7 @@ import io
 import json
 import math
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import groupby
 
 import numpy as np
@@ -40,6 +41,10 @@ from seriesframe.session import table
 BINS = 32
 LOCAL_ROWS = 20_000
 MODEL_BYTES = 64 << 20
+#: Sums of (row, feature) pairs that are held at once, rows of nodes that are split at once, rows of a block of running sums.
+ROOM, SIDE_ROWS, BLOCK = 400_000, 2048, 32
+#: Rows of trees that grow side by side; bytes of rows that every task may hold.
+GROUP_ROWS, HELD_BYTES = 65_536, 64 << 20
 #: Bytes of sums that a partition holds for one group of nodes.
 SUM_BYTES = 256 << 20
 DEFAULTS = {"numTrees": 100, "maxDepth": 10, "featureSubsetStrategy": "sqrt",
@@ -142,108 +147,199 @@ class Subtree:
             return cls(*(z[f] for f in cls.FIELDS))
 
 
-def _gains(columns, order, upto, start, total, base, least):
-    """As ``split_gains`` for cuts of sorted rows, a column of sums at a time.
+def _sorted_rows(flat, src, feature, node, m):
+    """Rows by node and value for each feature: their places and codes, node x BINS + bin."""
+    n = len(node)
+    low = (n - 1).bit_length()
+    kind = np.uint32 if m * BINS << low <= 1 << 32 else np.uint64
+    key = flat.take(feature[:, node] + src).astype(kind)
+    key <<= kind(low)
+    key += node.astype(kind) * kind(BINS << low) + np.arange(n, dtype=kind)
+    key.sort(axis=1)
+    return (key & kind((1 << low) - 1)).astype(np.int64), key >> kind(low)
 
-    ``upto`` and ``start`` are flat places, in running sums with a leading 0,
-    of the cut and of its node's first row.
-    """
-    running = np.zeros((len(order), order.shape[1] + 1))
-
-    def left_of(column):
-        np.cumsum(column[order], axis=1, out=running[:, 1:])
-        return running.ravel()[upto] - running.ravel()[start]
-
-    left_w = left_of(columns[0])
-    right_w = total[:, 0] - left_w
-    out = -base
-    for k in range(1, len(columns)):
-        left = left_of(columns[k])
-        out += left * left / np.maximum(left_w, 1e-300)
-        left = total[:, k] - left
-        out += left * left / np.maximum(right_w, 1e-300)
-    return np.where((left_w >= least) & (right_w >= least), out, -np.inf)
 
+def _running(columns, order, room):
+    """Running sums of the rows' columns in the order of each feature.
 
-def _best_splits(bins, sums, squares, node, m, subsets, least):
-    """Best (gain, feature, bin) of each of m nodes whose rows are all here.
-
-    ``node`` numbers the rows' nodes, ``squares`` and ``subsets`` have the sum
-    of squares and the features of each node.
+    The order is dealt into blocks; equal places of all blocks are added at
+    once. Gives the sums inside the blocks, as rows (place in block, feature,
+    block), and those before each block, as rows (feature, block).
     """
-    n, width = len(node), subsets.shape[1]
-    total = np.zeros((m, sums.shape[1]))
-    np.add.at(total, node, sums)
+    c, n = order.shape
+    blocks = -(-n // BLOCK)
+    padded = np.full((c, blocks * BLOCK), len(columns) - 1)
+    padded[:, :n] = order
+    x = columns.take(padded.reshape(c, blocks, BLOCK).transpose(2, 0, 1).ravel(), axis=0, out=room[:padded.size], mode="clip").reshape(BLOCK, c, blocks, -1)
+    for k in range(1, BLOCK):
+        x[k] += x[k - 1]
+    before = np.zeros(x.shape[1:])
+    np.cumsum(x[-1, :, :-1], axis=1, out=before[:, 1:])
+    return x.reshape(-1, x.shape[-1]), before.reshape(-1, x.shape[-1])
+
+
+def _best_cuts(flat, src, sums, squares, node, m, subsets, widths, least):
+    """Best cut of each node in each of its features, as the gain in billionths of the node's squares x BINS + BINS - 1 - bin.
+
+    The largest of these numbers has the first bin of those whose rounded gains
+    are equal. Node k has the first ``widths[k]`` features of its row, no more
+    than the node before it has; the rows come in the order of their nodes.
+
+    With targets taken from the node's mean, the right side's sums are the left
+    side's with the other sign, so a cut's gain needs the left side alone.
+    """
+    n = len(node)
     sizes = np.bincount(node, minlength=m)
-    starts = np.cumsum(sizes) - sizes
-    best = np.full(m, -np.inf), np.full(m, -1), np.zeros(m, np.int64)
-    step = max(1, 400_000 // n)
-    small = node.astype(np.uint16 if m <= 1 << 16 else np.int64)
-    sorted_node = np.repeat(np.arange(m), sizes)
-    columns = np.ascontiguousarray(sums.T)
-    base = (total[:, 1:] ** 2).sum(1) / np.maximum(total[:, 0], 1e-300)
+    ends = np.cumsum(sizes)
+    total = np.add.reduceat(sums, ends - sizes, axis=0)
+    columns = np.zeros((n + 1, sums.shape[1]))
+    columns[:n, 0] = sums[:, 0]
+    columns[:n, 1:] = sums[:, 1:] - sums[:, :1] * (total[:, 1:] / np.maximum(total[:, :1], 1e-300))[node]
+    squared = np.ones(sums.shape[1])
+    squared[0] = 0.0
+    whole = total[node, 0]
+    earlier = (np.cumsum(total[:, 0]) - total[:, 0])[node]
+    scale = whole / (1e-9 * squares + 1e-300)[node]
     inside = np.zeros(n, bool)
-    inside[:-1] = sorted_node[1:] == sorted_node[:-1]
-    for at in range(0, width, step):
-        feature = subsets[:, at:at + step]
-        values = bins[np.arange(n)[None, :], feature[node].T]
-        order = np.argsort(values, axis=1, kind="stable")
-        order = np.take_along_axis(order, np.argsort(small[order], axis=1, kind="stable"), 1)
-        values = np.take_along_axis(values, order, 1)
-        cut = np.zeros(values.shape, bool)
-        cut[:, :-1] = values[:, :-1] != values[:, 1:]
-        j, i = np.nonzero(cut & inside)
-        if not len(j):
+    inside[:-1] = node[1:] == node[:-1]
+    step = max(1, ROOM // (n * sums.shape[1]))
+    room = np.empty((step * (n + BLOCK), sums.shape[1]))
+    out = np.full((m, subsets.shape[1]), -np.inf)
+    for at in range(0, int(widths[0]), step):
+        k = int(np.searchsorted(-widths, -at))
+        r = int(ends[k - 1])
+        feature = np.ascontiguousarray(subsets[:k, at:at + step].T)
+        order, code = _sorted_rows(flat, src[:r], feature, node[:r], k)
+        x, before = _running(columns if r == n else np.vstack([columns[:r], columns[n:]]), order, room)
+        differs = np.zeros((len(feature), r), bool)
+        np.logical_and(code[:, 1:] != code[:, :-1], inside[:r - 1], out=differs[:, :-1])
+        places = np.flatnonzero(differs)
+        if not len(places):
             continue
-        own = sorted_node[i]
-        gain = _gains(columns, order, j * (n + 1) + i + 1, j * (n + 1) + starts[own], total[own], base[own], least)
-        gain = _rounded(gain, squares[own])
+        j = np.repeat(np.arange(len(feature)), np.count_nonzero(differs, axis=1))
+        i = places - j * r
+        block = j * (len(before) // len(feature)) + i // BLOCK
+        left = x.take(i % BLOCK * len(before) + block, axis=0, mode="clip")
+        left += before.take(block, axis=0, mode="clip")
+        weight = left[:, 0] - earlier.take(i)
+        right = whole.take(i) - weight
+        left *= left
+        cut = left @ squared
+        cut *= scale.take(i)
+        weak = (weight < least) | (right < least)
+        weight *= right
+        np.copyto(weight, 1.0, where=weak)
+        cut /= weight
+        np.rint(cut, out=cut)
+        cut *= BINS
+        cut += BINS - 1 - code.ravel().take(places) % BINS
+        np.copyto(cut, -np.inf, where=weak)
         # cuts are in order of feature, node and bin, so each (feature, node) is one stretch
-        group = j * m + own
-        first = np.flatnonzero(np.concatenate([np.ones(1, bool), group[1:] != group[:-1]]))
-        top = np.maximum.reduceat(gain, first)
-        table_ = np.full((feature.shape[1], m), -np.inf)
-        table_.ravel()[group[first]] = top
-        pick = table_.argmax(0)
-        better = table_[pick, np.arange(m)] > best[0]
-        hit = np.flatnonzero((gain == np.repeat(top, np.diff(np.append(first, len(gain))))) & (pick[own] == j) & better[own])
-        hit = hit[np.concatenate([np.ones(1, bool), own[hit][1:] != own[hit][:-1]])] if len(hit) else hit
-        who = own[hit]
-        best[0][who], best[1][who], best[2][who] = gain[hit], feature[who, j[hit]], values[j[hit], i[hit]]
-    return best, total
+        owner = node.take(i)
+        first = np.flatnonzero(np.concatenate([np.ones(1, bool), (owner[1:] != owner[:-1]) | (j[1:] != j[:-1])]))
+        out[owner[first], at + j[first]] = np.maximum.reduceat(cut, first)
+    return out
 
 
-def grow(bins: np.ndarray, targets: np.ndarray, weight: np.ndarray, tree: int, root: int, depth: int, rules: Rules) -> Subtree:
-    """The subtree below node ``root`` (numbered as in a heap) at ``depth``, from all of its rows."""
-    sums = np.column_stack([weight, targets * weight[:, None]])
-    squares = (targets ** 2).sum(1) * weight
-    feature, cut, left, value, gains = [], [], [], [], []
-    rows, node, names, first = np.arange(len(bins)), np.zeros(len(bins), np.int64), np.array([root], np.int64), 0
+def _best_splits(bins, sums, squares, node, m, subsets, least, src=None, same=None):
+    """Best (gain, feature, bin) of each of m nodes whose rows are all here, in the order of their nodes.
+
+    ``node`` numbers the rows' nodes, ``squares`` and ``subsets`` have the sum
+    of squares and the features of each node; row i has the bins ``bins[src[i]]``.
+    Nodes of equal rows and weights have equal numbers in ``same``; what several
+    of them ask for is computed once.
+    """
+    sizes = np.bincount(node, minlength=m)
+    starts = np.cumsum(sizes) - sizes
+    total = np.add.reduceat(sums, starts, axis=0)
+    flat, src = np.ascontiguousarray(bins).ravel(), (np.arange(len(node)) if src is None else src) * bins.shape[1]
+    heads, group, asked, widths, slots = np.arange(m), np.arange(m), subsets, np.full(m, subsets.shape[1]), np.arange(subsets.shape[1])[None, :]
+    if same is not None:
+        first, of = np.unique(same, return_index=True, return_inverse=True)[1:]
+        twin = first[of]
+        if len(first) < m and (sizes == sizes[twin]).all():
+            place = np.arange(len(node)) + (starts[twin] - starts)[node]
+            if (src == src[place]).all() and (sums[:, 0] == sums[place, 0]).all():
+                wanted = np.zeros((len(first), bins.shape[1]), bool)
+                wanted[of[:, None], subsets] = True
+                wide = np.argsort(-wanted.sum(1), kind="stable")
+                heads, wanted, group = first[wide], wanted[wide], np.argsort(wide)[of]
+                widths = wanted.sum(1)
+                asked = np.argsort(~wanted, axis=1, kind="stable")[:, :widths[0]]
+                slots = (np.cumsum(wanted, axis=1) - 1)[group[:, None], subsets]
+    cuts = np.empty((len(heads), asked.shape[1]))
+    many = sizes[heads]
+    part = (np.cumsum(many) - many) // SIDE_ROWS
+    edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part)).tolist()
+    for a, b in zip(edges, edges[1:]):
+        own = np.repeat(np.arange(b - a), many[a:b])
+        rows = np.arange(len(own)) + (starts[heads[a:b]] - np.cumsum(many[a:b]) + many[a:b])[own]
+        cuts[a:b] = _best_cuts(flat, src[rows], sums[rows], squares[heads[a:b]], own, b - a, asked[a:b], widths[a:b], least)
+    each = cuts[group[:, None], slots]
+    pick = np.floor(each / BINS).argmax(1)
+    best = each[np.arange(m), pick]
+    found = np.isfinite(best)
+    best = np.where(found, best, 0.0)
+    gain = np.where(found, np.floor(best / BINS) * (1e-9 * squares + 1e-300), -np.inf)
+    return (gain, np.where(found, subsets[np.arange(m), pick], -1), np.where(found, BINS - 1 - best % BINS, 0).astype(np.int64)), total
+
+
+def grow_all(bins: np.ndarray, targets: np.ndarray, items: list, rules: Rules) -> list:
+    """The subtrees of several (tree, root, depth, rows, weights of the rows), level by level side by side.
+
+    ``root`` is numbered as in a heap; its rows are places in ``bins`` and ``targets``.
+    """
+    count = len(items)
+    trees = np.array([i[0] for i in items], np.int64)
+    deep = np.array([i[2] for i in items], np.int64)
+    src, weight = np.concatenate([i[3] for i in items]), np.concatenate([i[4] for i in items])
+    node = np.repeat(np.arange(count), [len(i[3]) for i in items])
+    sums = np.column_stack([weight, targets[src] * weight[:, None]])
+    squares = (targets[src] ** 2).sum(1) * weight
+    # trees of the same rows share many nodes if they choose among many features; equal rows have equal sums of these
+    marks = None if rules.bootstrap or 4 * rules.subset < bins.shape[1] else np.random.default_rng(0).integers(0, 1 << 64, len(bins), np.uint64)
+    names, own, first = np.array([i[1] for i in items], np.int64), np.arange(count), np.zeros(count, np.int64)
+    levels = []
     while len(names):
         m = len(names)
-        subsets = rules.features(tree, names, bins.shape[1])
-        here = np.bincount(node, squares[rows], m)
-        (gain, chosen, at), total = _best_splits(bins[rows], sums[rows], here, node, m, subsets, rules.least)
-        split = _worth(gain, here) & (depth < rules.max_depth) & (total[:, 0] >= rules.to_split)
-        n_split = int(split.sum())
-        child = np.where(split, first + m + 2 * (np.cumsum(split) - 1), -1)
-        feature.append(np.where(split, chosen, -1))
-        cut.append(at)
-        left.append(child)
-        value.append(total[:, 1:] / np.maximum(total[:, :1], 1e-300))
-        gains.append(np.where(split, gain, 0.0))
+        sizes = np.bincount(node, minlength=m)
+        total = np.add.reduceat(sums, np.cumsum(sizes) - sizes, axis=0)
+        here = np.bincount(node, squares, m)
+        feature, cut, gains, left = np.full(m, -1), np.zeros(m, np.int64), np.zeros(m), np.full(m, -1)
+        able = (total[:, 0] >= max(rules.to_split, 2 * rules.least)) & (sizes > 1) & (deep[own] < rules.max_depth) & (here > 0) & np.isfinite(total).all(1)
+        keep = able[node]
+        src, sums, squares, node = src[keep], sums[keep], squares[keep], node[keep]
+        if len(src):
+            open_ = np.flatnonzero(able)
+            subsets = rules.features(trees[own[open_], None], names[open_], bins.shape[1])
+            small = (np.cumsum(able) - 1)[node]
+            same = None if marks is None else np.add.reduceat(marks[src], np.flatnonzero(np.diff(small, prepend=-1)))
+            (gain, chosen, at), _ = _best_splits(bins, sums, here[open_], small, len(open_), subsets, rules.least, src, same)
+            good = _worth(gain, here[open_])
+            feature[open_], cut[open_], gains[open_] = np.where(good, chosen, -1), at, np.where(good, gain, 0.0)
+        split = feature >= 0
+        rank = np.cumsum(split) - 1
+        nodes_of, splits_of = np.bincount(own, minlength=count), np.bincount(own[split], minlength=count)
+        left[split] = ((first + nodes_of - 2 * (np.cumsum(splits_of) - splits_of))[own] + 2 * rank)[split]
+        levels.append((own, feature, cut, left, total[:, 1:] / np.maximum(total[:, :1], 1e-300), gains))
         keep = split[node]
-        rows, node = rows[keep], node[keep]
-        right = bins[rows, chosen[node]] > at[node]
-        node = child[node] - first - m + right
-        names = np.column_stack([2 * names[split], 2 * names[split] + 1]).ravel()
-        first, depth = first + m, depth + 1
+        src, sums, squares, node = src[keep], sums[keep], squares[keep], node[keep]
+        node = 2 * rank[node] + (bins[src, feature[node]] > cut[node])
         order = np.argsort(node, kind="stable")
-        rows, node = rows[order], node[order]
-        if not n_split:
-            break
-    return Subtree(np.concatenate(feature).astype(np.int32), np.concatenate(cut).astype(np.uint8), np.concatenate(left).astype(np.int32),
-                   np.concatenate(value), np.concatenate(gains))
+        src, sums, squares, node = src[order], sums[order], squares[order], node[order]
+        names = np.column_stack([2 * names[split], 2 * names[split] + 1]).ravel()
+        own, first, deep = np.repeat(own[split], 2), first + nodes_of, deep + 1
+    owner, *fields = (np.concatenate(v) for v in zip(*levels))
+    order = np.argsort(owner, kind="stable")
+    feature, cut, left, value, gains = (v[order] for v in fields)
+    ends = np.cumsum(np.bincount(owner, minlength=count))[:-1]
+    return [Subtree(*v) for v in zip(*(np.split(v, ends) for v in (
+        feature.astype(np.int32), cut.astype(np.uint8), left.astype(np.int32), value, gains)))]
+
+
+def grow(bins: np.ndarray, targets: np.ndarray, weight: np.ndarray, tree: int, root: int, depth: int, rules: Rules) -> Subtree:
+    """The subtree below node ``root`` (numbered as in a heap) at ``depth``, from all of its rows."""
+    return grow_all(bins, targets, [(tree, root, depth, np.arange(len(bins)), weight)], rules)[0]
 
 
 class Top:
@@ -396,6 +492,98 @@ class Forest:
         return cls(spark.read.parquet(f"{path}/trees"), splits, [np.array(c) for c in rest["cuts"]], rest["features"], rest["targets"], rest["params"])
 
 
+class Held:
+    """Binned rows that every task holds, ordered by their hash."""
+
+    def __init__(self, rows: DataFrame, n_features: int, n_targets: int):
+        got = [_arrays(b, n_features) for b in rows.toArrow().to_batches() if b.num_rows]
+        got = [np.concatenate(c) for c in zip(*got)] or [np.empty(0, np.int64), np.empty((0, n_features), np.uint8), np.empty((0, n_targets))]
+        order = np.argsort(got[0], kind="stable")
+        self.spark, self.n = rows.sparkSession, len(order)
+        self.data = self.spark.sparkContext.broadcast(tuple(c[order] for c in got))
+
+
+def held(rows: DataFrame, n_rows: int, n_features: int, n_targets: int, local_rows: int = LOCAL_ROWS):
+    """The rows as ``Held``, if they are few enough to be split in one task and small enough to be sent to all."""
+    few = n_rows <= local_rows and n_rows * (n_features + 8 * n_targets + 8) <= HELD_BYTES
+    return Held(rows, n_features, n_targets) if few else rows
+
+
+class HeldForest(Forest):
+    """A forest of held rows. A table of its trees is written when it is first asked for; till then
+    tasks grow the trees and score few rows at once, and no tree leaves its task."""
+
+    def __init__(self, rows: Held, rules: Rules, single: bool, cuts, features, targets, params):
+        self.rows, self.rules, self.single, self.splits = rows, rules, single, {}
+        self.cuts, self.features, self.targets, self.params = list(cuts), list(features), list(targets), dict(params)
+
+    def _grown(self, use, schema: str) -> DataFrame:
+        """``use`` of (task, (tree, subtree) pairs) in every task."""
+        data, rules, count, single, least = self.rows.data, self.rules, int(self.params["numTrees"]), self.single, self.rows.n
+        spark = self.rows.spark
+        cores = spark.sparkContext.defaultParallelism
+        # trees that share nodes gain by a task of many trees
+        busy = max(2 * cores if rules.bootstrap else cores // 2, count * least * (len(self.targets) if single else 1) // GROUP_ROWS, 1)
+        tasks = min(count, busy, 2000)
+
+        def grown(task):
+            ids, bins, y = data.value
+
+            def side_by_side(items):
+                if items:
+                    for k in range(y.shape[1] if single else 1):
+                        for item, s in zip(items, grow_all(bins, y[:, [k]] if single else y, items, rules)):
+                            yield item[0] + k * count, s
+
+            items, held_rows = [], 0
+            for t in range(task, count, tasks):
+                w = rules.weights(ids, t)
+                own = np.flatnonzero(w > 0)
+                if len(own):
+                    items.append((t, 1, 0, own, w[own]))
+                    held_rows += len(own)
+                if held_rows >= (SIDE_ROWS * 4 if rules.bootstrap else GROUP_ROWS):
+                    yield from side_by_side(items)
+                    items, held_rows = [], 0
+            yield from side_by_side(items)
+
+        def work(batches):
+            for batch in batches:
+                for task in batch.column(0).to_pylist():
+                    yield from use(task, grown(task))
+
+        return spark.range(0, tasks, 1, tasks).mapInArrow(work, schema)
+
+    @cached_property
+    def parts(self) -> DataFrame:
+        def use(task, trees):
+            for t, s in trees:
+                yield pa.RecordBatch.from_pydict({"tree": pa.array([t], pa.int32()), "root": pa.array([1], pa.int64()), "data": pa.array([s.dump()])})
+
+        return table(self._grown(use, "tree int, root long, data binary"), "forest")
+
+    def transform(self, df: DataFrame, fmt: str = "{}_pred") -> DataFrame:
+        few = None if "parts" in self.__dict__ else df.limit(LOCAL_ROWS + 1).toArrow()
+        if few is None or not 0 < few.num_rows <= LOCAL_ROWS or few.nbytes > HELD_BYTES:
+            return super().transform(df, fmt)
+        shape, n_trees = (few.num_rows, len(self.targets)), self.params["numTrees"]
+        sent = self.rows.spark.sparkContext.broadcast(binned([few.column(c) for c in self.features], self.cuts))
+
+        def use(task, trees):
+            total = np.zeros(shape)
+            for _, s in trees:
+                total += s.value[s.leaf_of(sent.value)]
+            yield pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+        got = sorted(self._grown(use, "task long, sums binary").collect())
+        sent.destroy()
+        total = sum(np.frombuffer(r.sums).reshape(shape) for r in got) / n_trees
+        for k, t in enumerate(self.targets):
+            few = few.append_column(fmt.format(t), pa.array(total[:, k]))
+        # one partition: sums over so few rows need no shuffle
+        return self.rows.spark.createDataFrame(few).coalesce(1)
+
+
 def _level(rows: DataFrame, nodes: list, top: Top, rules: Rules, n_features: int, n_targets: int) -> dict:
     """Best split and the rows of both sides for nodes (tree, node), from sums over all partitions."""
     wanted: dict = {}
@@ -474,12 +662,19 @@ def importance_by_target(df: DataFrame, features, targets, params=None, seed: in
     return np.mean(each, axis=0)
 
 
-def train_binned(rows: DataFrame, n_rows: int, cuts, features, targets, p: dict, seed: int = 42, local_rows: int = LOCAL_ROWS, single: bool = False) -> Forest:
-    """As ``train``, from binned rows. ``single`` grows a tree for each target on each sample (rows within ``local_rows``)."""
+def train_binned(rows: DataFrame | Held, n_rows: int, cuts, features, targets, p: dict, seed: int = 42, local_rows: int = LOCAL_ROWS, single: bool = False) -> Forest:
+    """As ``train``, from binned rows. ``single`` grows a tree for each target on each sample (rows within ``local_rows``).
+
+    The forest of ``Held`` rows is grown when it is used.
+    """
     n_features, n_targets = len(features), len(targets)
     rules = Rules(int(p["maxDepth"]), subset_size(str(p["featureSubsetStrategy"]), n_features), int(p["minInstancesPerNode"]), int(p["minInstancesToSplit"]), bool(p["bootstrap"]), float(p["subsamplingRate"]), seed)
     splits: dict = {}
     trees = range(int(p["numTrees"]))
+    if isinstance(rows, Held):
+        return HeldForest(rows, rules, single, cuts, features, targets, p)
+    if isinstance(own := held(rows, n_rows, n_features, n_targets, local_rows), Held):
+        return Forest(HeldForest(own, rules, single, cuts, features, targets, p).parts, splits, list(cuts), list(features), list(targets), dict(p))
     frontier = [(t, 1) for t in trees] if n_rows > local_rows else []
     depth = 0
     per_group = max(1, SUM_BYTES // (rules.subset * BINS * (n_targets + 3) * 8))

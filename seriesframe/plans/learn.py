@@ -117,8 +117,8 @@ def select_features(train_df, features, targets=S.TARGETS, k=150, params=None, s
     return [f for _, f in sorted(zip(-imp, features))[:k]]
 
 
-#: Forests of the search that are fitted at the same time.
-SIDE = 4
+#: Forests of the search that are fitted at the same time, and trials whose sure folds are begun ahead.
+SIDE, AHEAD = 8, 8
 
 SEARCH_SPACE = {
     "numTrees": (100, 500), "maxDepth": (5, 30),
@@ -169,13 +169,14 @@ def search_params(df_idx, features, targets=S.TARGETS, n_trials=50, n_splits=5,
     t = n // (n_splits + 1)
     if t == 0:
         raise ValueError(f"{n} rows are too few for {n_splits} folds")
-    folds = []
-    for fold in range(n_splits):
+
+    def prepare(fold):
         start = n - (n_splits - fold) * t
         train = data.where(F.col(pos_col) < start)
         cuts = FO._cuts(train, features)
-        folds.append((FO._bin_table(train, features, targets, cuts), start, cuts,
-                      data.where((F.col(pos_col) >= start) & (F.col(pos_col) < start + t))))
+        rows = FO.held(FO._bin_table(train, features, targets, cuts), start, len(features), len(targets))
+        return rows, start, cuts, data.where((F.col(pos_col) >= start) & (F.col(pos_col) < start + t))
+
     def fit(p, fold):
         rows, n_rows, cuts, val = fold
         return _fold_score(FO.train_binned(rows, n_rows, cuts, features, targets, {**FO.DEFAULTS, **p}, seed), val, targets)
@@ -184,9 +185,11 @@ def search_params(df_idx, features, targets=S.TARGETS, n_trials=50, n_splits=5,
     params = [sample_params(rng, space) for _ in range(n_trials)]
     pool, ahead = ThreadPoolExecutor(SIDE), {}
     try:
+        folds = list(pool.map(prepare, range(n_splits)))
         for trial in range(len(trials), n_trials):
-            # folds that no pruning can skip, of this trial and of the next one, are fitted side by side
-            for k in range(trial, min(n_trials, trial + 2)):
+            # folds that no pruning can skip, of this trial and of the next ones, are fitted side by side;
+            # start-up trials, which have more of them, begin fewer trials ahead
+            for k in range(trial, min(n_trials, trial + (3 if trial < n_startup else AHEAD))):
                 if k not in ahead:
                     sure = n_splits if k < n_startup else n_warmup + 1
                     ahead[k] = [pool.submit(fit, params[k], fold) for fold in folds[:sure]]

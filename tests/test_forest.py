@@ -190,3 +190,60 @@ def test_search_fits_side_by_side_what_no_pruning_skips(spark, monkeypatch):
             completed.append(want)
     assert any(t["pruned"] for t in trials) and most[0] > 1
     assert len(fitted) == sum(len(t["scores"]) for t in trials)
+
+
+@pytest.mark.parametrize("bootstrap", [True, False])
+def test_trees_side_by_side_equal_trees_alone(bootstrap, monkeypatch):
+    rng = np.random.default_rng(6)
+    bins, y = rng.integers(0, 32, (300, 12)).astype(np.uint8), rng.normal(size=(300, 3))
+    bins[:20], y[:20] = bins[20:40], y[20:40]                        # equal rows
+    r = rules(bootstrap=bootstrap, rate=0.8 if bootstrap else 1.0, subset=8, max_depth=9, least=2)
+    items = []
+    for t in range(10):
+        w = r.weights(np.arange(300), t)
+        items.append((t, 1, 0, np.flatnonzero(w), w[w > 0]))
+    alone = [FO.grow(bins[own], y[own], w, t, 1, 0, r) for t, _, _, own, w in items]
+    pairs, real = [], FO._sorted_rows
+    monkeypatch.setattr(FO, "_sorted_rows", lambda flat, src, feature, *rest: (pairs.append(feature.shape[0] * len(src)), real(flat, src, feature, *rest))[1])
+    for s, t in zip(FO.grow_all(bins, y, items, r), alone):
+        assert all(np.allclose(getattr(s, f), getattr(t, f)) for f in FO.Subtree.FIELDS)
+    together, pairs[:] = sum(pairs), []
+    for item in items:
+        FO.grow_all(bins, y, [item], r)
+    assert together == sum(pairs) if bootstrap else together < sum(pairs)
+
+
+def test_a_target_that_is_not_a_number_spoils_only_its_own_trees():
+    rng = np.random.default_rng(7)
+    bins, y = rng.integers(0, 32, (80, 4)).astype(np.uint8), rng.normal(size=(80, 2))
+    y[5, 0] = np.nan
+    with_, without = np.arange(80), np.delete(np.arange(80), 5)
+    spoiled, whole = FO.grow_all(bins, y, [(0, 1, 0, with_, np.ones(80)), (1, 1, 0, without, np.ones(79))], rules())
+    alone = FO.grow(bins[without], y[without], np.ones(79), 1, 1, 0, rules())
+    assert len(spoiled.feature) == 1 and np.isnan(spoiled.value[0, 0])
+    assert all(np.allclose(getattr(whole, f), getattr(alone, f)) for f in FO.Subtree.FIELDS) and len(alone.feature) > 1
+
+
+def test_held_forest_scores_where_it_grows(spark):
+    df, new = data(spark, 240), data(spark, 90, seed=3)
+    cuts = FO._cuts(df, NAMES)
+    rows = FO._bin_table(df, NAMES, ["y", "z"], cuts)
+    assert FO.held(rows, 240, 5, 2, local_rows=100) is rows and FO.held(rows, 1 << 30, 5, 2, local_rows=1 << 31) is rows
+    for p in ({"numTrees": 7, "maxDepth": 6}, {"numTrees": 30, "maxDepth": 4, "bootstrap": False, "featureSubsetStrategy": "0.7"}):
+        p = {**FO.DEFAULTS, **p}
+        at_once = FO.train_binned(FO.held(rows, 240, 5, 2), 240, cuts, NAMES, ["y", "z"], p)
+        written = FO.train_binned(rows, 240, cuts, NAMES, ["y", "z"], p)
+        dealt = FO.train_binned(rows, 240, cuts, NAMES, ["y", "z"], p, local_rows=60)
+        got, same, other = (sorted(map(tuple, m.transform(new).collect())) for m in (at_once, written, dealt))
+        assert "parts" not in at_once.__dict__ and len(got) == 90
+        assert np.allclose(np.array(got), np.array(same)) and np.allclose(np.array(got), np.array(other))
+        assert at_once.transform(new.where("_pos < 0")).count() == 0
+        assert np.allclose(at_once.importance(), written.importance()) and at_once.parts.count() == p["numTrees"]
+
+
+def test_search_writes_no_trees(spark, monkeypatch):
+    written, real = [], FO.table
+    monkeypatch.setattr(FO, "table", lambda df, name: (written.append(name), real(df, name))[1])
+    space = {**LN.SEARCH_SPACE, "numTrees": (2, 5), "maxDepth": (2, 5)}
+    LN.search_params(data(spark, 120), NAMES, ["y", "z"], n_trials=2, n_splits=2, space=space)
+    assert sorted(written) == ["forest-rows"] * 2
