@@ -11,6 +11,10 @@ over the partitions, and the best split of each node comes back to the driver.
 Smaller nodes are sent whole to one task each, which grows the rest of the tree
 there. Both ways choose the same split from the same sums.
 
+Rows that are few from the start are held by all tasks instead (``Held``), and
+a task grows many trees side by side. Such a forest scores few rows in the
+tasks that grow it, and its trees are written only when they are asked for.
+
 Row weights (Poisson bootstrap) and feature subsets come from hashes of the
 row's values, the tree and the node, so they do not depend on how the data are
 dealt. Equal rows share a weight.
